@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import packing, sharding, warc, wavelet
+from marketlens.llm import html, packing, quality, secrets, sharding, warc, wavelet
 from marketlens.llm.common import table
 
 
@@ -19,6 +19,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -28,14 +36,21 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), "word", 2)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "byte", 0)
 
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_secrets": op2_secrets,
+    "op3_html": op3_html,
     "op5_sharding": op5_sharding,
     "op7_token_ids": op7_token_ids,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
 }
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import filterfalse, islice
 
 import numpy as np
 
@@ -16,14 +17,19 @@ import numpy as np
 _WS = "\t-\r \x85\xa0  -     　"
 CHUNKS = {
     # white space is dropped between words
-    "word": re.compile(f"[^{_WS}]+"),
+    "word": re.compile(f"[^{_WS}]+").findall,
     # one space belongs to the word after it; other runs of white space are chunks of their own
-    "byte": re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
+    "byte": re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall,
 }
-CACHE_ENTRIES = 600_000
+# the same in a text without the separators that Python alone takes for white space
+SEPARATORS = re.compile("[\x1c-\x1f]").search
+SIMPLE = {"word": str.split, "byte": re.compile(r" ?\S+|\s+(?!\S)|\s+").findall}
+CACHE_ENTRIES = 1_000_000
 LONGEST_CACHED = 64
 TEXTS_AT_ONCE = 256
 JOINED = 2048
+# ASCII marks that end a run of letters or digits and never start a contraction by themselves
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 class ChunkEncoder:
@@ -39,11 +45,26 @@ class ChunkEncoder:
         self.joiner = Tokenizer.from_file(path)
         self.mark_id, mark = min((i, t.content) for i, t in self.joiner.get_added_tokens_decoder().items())
         self.mark, self.marks = mark, [t.content for t in self.joiner.get_added_tokens_decoder().values()]
-        self.find = CHUNKS[cut].findall
+        self.exact, self.simple = CHUNKS[cut], SIMPLE[cut]
         self.cache: dict[str, bytes] = {}
 
     def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of chunks; one in which a special token's text could begin or end is encoded alone."""
+        """The ids of chunks; a run of marks at the end is a piece of its own, so words are encoded without it."""
+        cut = {}
+        for c in chunks:
+            word = c.rstrip(TAIL)
+            if len(word) < len(c) and word[-1:].isalnum() and word[-1].lower().isalnum():
+                cut[c] = (word, c[len(word) :])
+        known = self.cache
+        plain = {c for c in chunks if c not in cut}
+        parts = {p for pair in cut.values() for p in pair if p not in known} | plain
+        out = self._encode(list(parts))
+        for c, (word, tail) in cut.items():
+            out[c] = (known[word] if word in known else out[word]) + (known[tail] if tail in known else out[tail])
+        return out
+
+    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
+        """One in which a special token's text could begin or end is encoded alone."""
         alone = [c for c in chunks if "<" in c or ">" in c or "|" in c or any(m in c for m in self.marks)]
         out = {c: np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in alone}
         rest = [c for c in chunks if c not in out]
@@ -63,17 +84,18 @@ class ChunkEncoder:
         """The ids of each text and then ``end_id``, as little-endian unsigned 32-bit bytes; a null text is empty."""
         end, known, out = int(end_id).to_bytes(4, "little"), self.cache, []
         for first in range(0, len(texts), TEXTS_AT_ONCE):
-            cut = [self.find(t) if t else [] for t in texts[first : first + TEXTS_AT_ONCE]]
-            seen = set().union(*cut)
-            new = list(seen.difference(known))
-            if len(known) + len(new) > CACHE_ENTRIES:
-                new = list(seen)
-                known.clear()
-            known.update(self._new(new))
-            out += [b"".join([known[c] for c in chunks]) + end for chunks in cut]
+            cut = [(self.exact if SEPARATORS(t) else self.simple)(t) if t else [] for t in texts[first : first + TEXTS_AT_ONCE]]
+            if len(known) > CACHE_ENTRIES:
+                for c in list(islice(known, CACHE_ENTRIES // 4)):
+                    del known[c]
+            new = set()
+            for chunks in cut:
+                new.update(filterfalse(known.__contains__, chunks))
+            known.update(self._new(list(new)))
+            out += [b"".join(map(known.__getitem__, chunks)) + end for chunks in cut]
             for c in new:
                 if len(c) > LONGEST_CACHED:
-                    del known[c]
+                    known.pop(c, None)
         return out
 
 
