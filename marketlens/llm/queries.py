@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import html, packing, quality, secrets, sharding, warc, wavelet
+from marketlens.llm import decontaminate, html, jaccard, packing, quality, secrets, sharding, warc, wavelet
 from marketlens.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -44,14 +48,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "byte", 0)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
     "op3_html": op3_html,
+    "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op7_token_ids": op7_token_ids,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_jaccard": op10_jaccard,
 }
 
 _B32 = " || ".join(
