@@ -346,3 +346,15 @@ def components(docs: DataFrame) -> DataFrame:
     known = least.join(names, "label").select("node", "component_id")
     linked = nodes.where("n > 0").join(known, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, that with the smallest id; documents without an id or a word stay."""
+    found = materialize(components(docs), "components")
+    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)

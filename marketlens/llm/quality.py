@@ -189,3 +189,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2, thres
     usable = labels.where(fold_of(F.col("doc_id")) != held_out).select("doc_id", F.col("quality").alias("label"))
     out = score(stats, fit(stats, usable), threshold)
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score at least ``threshold``; statistics are taken again as rows stream by, so no text is shuffled."""
+    stats = materialize(statistics_of(docs), "quality-stats")
+    model = fit(stats, labels.where(fold_of(F.col("doc_id")) != held_out).select("doc_id", F.col("quality").alias("label")))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            x = np.asarray([statistics(t.as_py()) for t in batch.column(at)], np.float32).astype(np.float64).reshape(-1, STATISTICS)
+            yield batch.filter(pa.array(model.score(x) >= threshold)) if len(x) else batch
+
+    return docs.mapInArrow(run, docs.schema)

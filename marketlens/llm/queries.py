@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontaminate, html, jaccard, packing, quality, secrets, sharding, warc, wavelet
+from marketlens.llm import decontaminate, html, jaccard, neighbours, packing, quality, secrets, sharding, warc, wavelet
 from marketlens.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), "word", 2)
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_html": op3_html,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
+    "op6_neighbours": op6_neighbours,
     "op7_token_ids": op7_token_ids,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
