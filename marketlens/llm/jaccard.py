@@ -7,8 +7,11 @@
 3. In a block each set is a point: its shingles counted by hash group.  An R-tree over the points prunes with the bound
    "overlap <= sum of coordinate minima", on node corners first and on points then; surviving pairs are verified on the whole
    sets.  A pair that is already connected needs no check.  Blocks over ``BLOCK`` sets become pairs of chunks by size.
-4. A first round settles each set's largest block; blocks that lie inside one component afterwards hold no new
-   link and are left out, the others are searched in a second round.  Components come from star contraction.
+4. In a first round each set meets only those that have the same largest block, which joins families of copies at one
+   row a set.  Blocks that lie inside one component hold no new link and are left out from then on.  In the others
+   only points travel and the R-tree gives pairs across components: in one round each set's nearest alone, which
+   joins what is left of the families, at last all of them.  Pairs are verified on the whole sets.  Components come from
+   star contraction.
 
 Nulls: a null or blank text has no shingle and no link; a null doc_id takes part and is never a component's name unless all of its
 members have none.  Repeated rows are copies.  Extra columns are ignored; an empty table gives no rows.
@@ -27,7 +30,9 @@ from marketlens.llm.common import materialize
 
 NUM, DEN = 75, 100
 WIDTH = 5
-GROUPS = 64
+GROUPS = 256
+LEAF = 32
+NEAREST_ROUNDS = 1
 BLOCK = 1500
 BUCKET_ENTRIES = 1_500_000
 SAMPLE_DOCS = 4000
@@ -133,8 +138,45 @@ class CountRTree:
         return next(i for i, level in enumerate(self.levels) if level[0] is top)
 
 
+def groups_for(size: int) -> int:
+    """Hash groups of a point, a power of four times ``GROUPS``: about as many as the set has members, at most four a group."""
+    groups = GROUPS
+    while size >= 4 * groups:
+        groups *= 4
+    return groups
+
+
 def counts_of(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((s >> _U(17)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
+    return np.bincount((s >> _U(17)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.int32)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """The same sets counted in fewer groups."""
+    return points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.int32)
+
+
+def candidates(points: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, positions j that may link with i); each pair comes at least once.  Points of each number of groups have a
+    tree; a set asks its own and, folded, the next coarser, since linked sizes differ by a third at most."""
+    width = np.array([len(p) for p in points])
+    trees: dict[int, tuple] = {}
+    for groups in np.unique(width).tolist():
+        own = np.flatnonzero(width == groups)
+        block = np.stack([points[i] for i in own])
+        trees[groups] = (own, block, CountRTree(block, sizes[own]) if len(own) > LEAF else None)
+    for groups, (own, block, _) in trees.items():
+        for other in (groups, groups // 4):
+            if other not in trees:
+                continue
+            theirs, boxes, tree = trees[other]
+            asked = block if other == groups else folded(block, other)
+            for i, point in zip(own.tolist(), asked):
+                if tree is None:  # one leaf
+                    fits = (NUM * sizes[theirs] <= DEN * sizes[i]) & (NUM * sizes[i] <= DEN * sizes[theirs])
+                    bound = np.minimum(boxes, point).sum(axis=1, dtype=np.int64)
+                    yield i, theirs[fits & (bound >= least_overlap(sizes[i], sizes[theirs]))]
+                else:
+                    yield i, theirs[tree.search(point, int(sizes[i]))]
 
 
 def links_in_block(sets: list[np.ndarray], known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -269,17 +311,64 @@ def _blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
 
 
 def _verified(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of blocks given as rows (block, node, label, hashes)."""
+    """Links (a, b) of blocks given as rows (block, node, label, text)."""
 
     def run(group):
         import pyarrow as pa
 
         node = group.column("node").to_numpy()
-        sets = [np.frombuffer(h.as_py(), np.uint64) for h in group.column("hashes")]
+        sets = [shingles(t.as_py()) for t in group.column("text")]
         pairs = links_in_block(sets, group.column("label").to_numpy())
         return pa.table({"a": pa.array([node[i] for i, _ in pairs], pa.int64()), "b": pa.array([node[j] for _, j in pairs], pa.int64())})
 
-    return rows.select("block", "node", "label", "hashes").groupBy("block").applyInArrow(run, "a long, b long")
+    return rows.select("block", "node", "label", "text").groupBy("block").applyInArrow(run, "a long, b long")
+
+
+def _survivors(rows: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) from rows (block, node, label, size, counts) that the R-tree cannot rule out, across labels.
+
+    ``nearest`` keeps of each node in a block only the pair with the highest bound.
+    """
+
+    def run(group):
+        import pyarrow as pa
+
+        node, size = group.column("node").to_numpy(), group.column("size").to_numpy()
+        label = group.column("label").to_numpy()
+        points, a, b = [np.frombuffer(c.as_py(), np.uint8).astype(np.int32) for c in group.column("counts")], [], []
+        for p in points:
+            p[p == 255] = 2**20  # a count that did not fit bounds nothing
+        for i, near in candidates(points, size):
+            near = near[label[near] != label[i]]
+            if nearest and len(near) > 1:
+                least = min(len(points[i]), *[len(points[j]) for j in near.tolist()])
+                at = folded(np.stack([points[i]]), least)[0]
+                bound = [np.minimum(folded(np.stack([points[j]]), least)[0], at).sum(dtype=np.int64) / (size[j] + size[i]) for j in near.tolist()]
+                near = near[[int(np.argmax(bound))]]
+            a.append(np.full(len(near), node[i]))
+            b.append(node[near])
+        one, two = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return rows.select("block", "node", "label", "size", "counts").groupBy("block").applyInArrow(run, "a long, b long")
+
+
+def _verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                s, t = shingles(x.as_py()), shingles(y.as_py())
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(DEN * both >= NUM * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -288,16 +377,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates large and small stars; each round is a stored table, and the number of rounds grows with the logarithm.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
-    while True:
+    state = lambda: tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    last = state()
+    while last[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "stars")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == last or not now[0]:
+        now = state()
+        if now == last:
             break
         last = now
     tops = edges.select(F.col("v").alias("node")).distinct()
@@ -322,23 +412,28 @@ def components(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             held = [shingles(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest_of(s)[0] for s in held], pa.int64()), pa.array([s.tobytes() for s in held], pa.binary())], ["node", "own", "hashes"])
+            cols = [pa.array([digest_of(s)[0] for s in held], pa.int64()), pa.array([len(s) for s in held], pa.int64())]
+            cols += [pa.array([np.minimum(counts_of(s, groups_for(len(s))), 255).astype(np.uint8).tobytes() for s in held], pa.binary()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["node", "own", "size", "counts", "text"])
 
     texts = docs.select("doc_id", "text").join(named, "doc_id").select("node", "text")
-    sets = texts.mapInArrow(sets_of, "node long, own long, hashes binary").where("node = own").select("node", "hashes").dropDuplicates(["node"])
-    lone = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("node"), "text").mapInArrow(sets_of, "node long, own long, hashes binary")
-    sets = materialize(sets.unionByName(lone.select(F.col("own").alias("node"), "hashes")).dropDuplicates(["node"]), "sets")
-
-    chosen = members.groupBy("node").agg(F.max(F.struct("m", "block")).alias("best")).select(F.col("best.block").alias("block")).distinct()
-    first = members.join(chosen, "block").join(sets, "node").withColumn("label", F.col("node"))
-    links = materialize(_verified(first), "links")
-    labels = materialize(connected_components(links), "labels")
-    rest = members.join(chosen, "block", "left_anti").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = materialize(rest, "rest")
-    mixed = rest.groupBy("block").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("block")
-    more = _verified(rest.join(mixed, "block").join(sets, "node"))
-    links = materialize(links.unionByName(more), "all-links")
+    sets = texts.mapInArrow(sets_of, "node long, own long, size long, counts binary, text string").where("node = own").select("node", "size", "counts", "text").dropDuplicates(["node"])
+    lone = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("node"), "text").mapInArrow(sets_of, "node long, own long, size long, counts binary, text string")
+    sets = materialize(sets.unionByName(lone.select(F.col("own").alias("node"), "size", "counts", "text")).dropDuplicates(["node"]), "sets")
+
+    # every set in one block only: families of copies are joined here at the cost of one row a set
+    pick = members.groupBy("node").agg(F.max(F.struct("m", "block")).alias("best")).select("node", F.col("best.block").alias("block"), F.col("node").alias("label"))
+    pick = materialize(pick, "picks")
+    pick = pick.join(pick.groupBy("block").count().where("count > 1").select("block"), "block")
+    links = materialize(_verified(pick.join(sets, "node")), "links")
     labels = materialize(connected_components(links), "labels")
+    points = sets.drop("text")
+    for last in [False] * NEAREST_ROUNDS + [True]:
+        left = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = left.groupBy("block").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("block")
+        pairs = materialize(_survivors(left.join(open_, "block").join(points, "node"), not last).distinct(), "survivors")
+        links = materialize(links.unionByName(_verified_pairs(pairs, sets)), "links")
+        labels = materialize(connected_components(links), "labels")
 
     least = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = materialize(least, "least")
