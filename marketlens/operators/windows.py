@@ -7,20 +7,22 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("symbol").orderBy("date")
 
+def by_day() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("date")
 
-def frame(width: int, series: WindowSpec = SERIES) -> WindowSpec:
-    return series.rowsBetween(-width + 1, 0)
 
+def frame(width: int, series: WindowSpec | None = None) -> WindowSpec:
+    return (series or by_day()).rowsBetween(-width + 1, 0)
 
-def full(value: Column, of: Column, width: int, series: WindowSpec = SERIES) -> Column:
+
+def full(value: Column, of: Column, width: int, series: WindowSpec | None = None) -> Column:
     """The rolling value once the frame holds ``width`` non-null inputs."""
     return F.when(F.count(of).over(frame(width, series)) == width, value)
 
 
 def log_return(df: DataFrame, price: str = "close", out: str = "ret") -> DataFrame:
-    return df.withColumn(out, F.ln(F.col(price) / F.lag(price).over(SERIES)))
+    return df.withColumn(out, F.ln(F.col(price) / F.lag(price).over(by_day())))
 
 
 def realised_volatility(df: DataFrame, width: int, periods: int = 1, out: str = "rv") -> DataFrame:
@@ -47,13 +49,13 @@ def corwin_schultz(df: DataFrame, scale: float = 10_000.0, beta_days: int = 2, o
 def abdi_ranaldo(df: DataFrame, width: int = 20, out: str = "ar") -> DataFrame:
     eta = (F.ln("high") + F.ln("low")) / 2
     df = df.withColumn("_eta", eta)
-    x = (F.ln(F.lag("close").over(SERIES)) - F.lag("_eta").over(SERIES)) * (F.ln(F.lag("close").over(SERIES)) - F.col("_eta"))
+    x = (F.ln(F.lag("close").over(by_day())) - F.lag("_eta").over(by_day())) * (F.ln(F.lag("close").over(by_day())) - F.col("_eta"))
     df = df.withColumn("_x", x)
     return df.withColumn(out, full(2 * F.sqrt(F.greatest(F.avg("_x").over(frame(width)), F.lit(0.0))), F.col("_x"), width)).drop("_eta", "_x")
 
 
 def roll_measure(df: DataFrame, width: int = 20, out: str = "roll") -> DataFrame:
-    df = df.withColumn("_lag", F.lag("ret").over(SERIES))
+    df = df.withColumn("_lag", F.lag("ret").over(by_day()))
     cov = full(F.covar_samp("ret", "_lag").over(frame(width)), F.col("_lag"), width)
     return df.withColumn(out, 2 * F.sqrt(F.greatest(-cov, F.lit(0.0)))).drop("_lag")
 
@@ -72,7 +74,7 @@ def rolling_correlation(df: DataFrame, a: str, b: str, width: int, out: str) ->
 
 def expanding_min_max(df: DataFrame, col: str, least: int = 30, out: str = "scaled") -> DataFrame:
     """Min-max by history strictly before the row; 0.5 on flat history."""
-    before = SERIES.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_day().rowsBetween(Window.unboundedPreceding, -1)
     lo, hi = F.min(col).over(before), F.max(col).over(before)
     value = F.when(hi > lo, (F.col(col) - lo) / (hi - lo)).otherwise(0.5)
     return df.withColumn(out, F.when(F.count(col).over(before) >= least, value))
@@ -85,7 +87,7 @@ def rolling_min_max(df: DataFrame, col: str, width: int = 252, least: int = 30,
 
 def transitions(df: DataFrame) -> DataFrame:
     """Flags of entering and leaving extreme and neutral regimes."""
-    before = F.lag("regime").over(SERIES)
+    before = F.lag("regime").over(by_day())
     extreme = ["extreme_fear", "extreme_greed"]
     return df.withColumns({
         "enter_extreme": F.col("regime").isin(extreme) & ~before.isin(extreme), "exit_extreme": ~F.col("regime").isin(extreme) & before.isin(extreme),
@@ -95,8 +97,8 @@ def transitions(df: DataFrame) -> DataFrame:
 
 def spells(df: DataFrame, col: str = "regime") -> DataFrame:
     """Runs of equal values: spell number and day in the spell."""
-    changed = F.when(F.col(col) == F.lag(col).over(SERIES), 0).otherwise(1)
-    df = df.withColumn("_c", changed).withColumn("spell", F.sum("_c").over(SERIES)).drop("_c")
+    changed = F.when(F.col(col) == F.lag(col).over(by_day()), 0).otherwise(1)
+    df = df.withColumn("_c", changed).withColumn("spell", F.sum("_c").over(by_day())).drop("_c")
     return df.withColumn("age", F.row_number().over(Window.partitionBy("symbol", "spell").orderBy("date")))
 
 
@@ -109,11 +111,11 @@ def quantile_bins(df: DataFrame, col: str, bins: int, key: str = "symbol", out:
 
 def divergence_log(df: DataFrame, value: str, price: str, threshold: float, ahead: int = 24) -> DataFrame:
     """Events where abs(value) reaches the threshold, with what follows in the next ``ahead`` rows."""
-    after = SERIES.rowsBetween(1, ahead)
-    df = df.withColumn("_r", F.ln(F.col(price) / F.lag(price).over(SERIES))).withColumn("_n", F.row_number().over(SERIES))
+    after = by_day().rowsBetween(1, ahead)
+    df = df.withColumn("_r", F.ln(F.col(price) / F.lag(price).over(by_day()))).withColumn("_n", F.row_number().over(by_day()))
     calm = F.min(F.when(F.abs(value) < threshold, F.col("_n"))).over(after) - F.col("_n")
     complete = F.count(F.lit(1)).over(after) == ahead
     events = df.withColumns({
-        "forward_vol": F.when(complete, F.stddev_pop("_r").over(SERIES.rowsBetween(2, ahead))), "forward_change": F.when(complete, F.last(price).over(after) / F.col(price) - 1), "steps_to_converge": F.when(complete, calm),
+        "forward_vol": F.when(complete, F.stddev_pop("_r").over(by_day().rowsBetween(2, ahead))), "forward_change": F.when(complete, F.last(price).over(after) / F.col(price) - 1), "steps_to_converge": F.when(complete, calm),
     })
     return events.where(F.abs(value) >= threshold).drop("_r", "_n")

@@ -113,7 +113,7 @@ def flt03_outliers(spark, sf):
 @query(f"{DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back, row_number() {S} AS n FROM daily) SELECT symbol, date, round(close, 4) AS close FROM n WHERE back <= 100 AND n % 4 = 1")
 def flt06_last_and_every_fourth(spark, sf):
     d = V.bars(spark, sf).join(V.index_daily(spark, sf), "date")
-    d = d.withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date").desc()))).withColumn("n", F.row_number().over(W.SERIES))
+    d = d.withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date").desc()))).withColumn("n", F.row_number().over(W.by_day()))
     return d.where("back <= 100 and n % 4 = 1").select("symbol", "date", r("close", 4).alias("close"))
 
 
@@ -268,11 +268,11 @@ def agg13_hourly_bars(spark, sf):
     return V.ticks(spark, sf).groupBy("symbol", F.unix_micros(F.date_trunc("hour", "ts")).alias("hour_us")).agg(r(F.min(p)).alias("low"), r(F.max(p)).alias("high"), r(F.min_by(p, "ts")).alias("first"), r(F.max_by(p, "ts")).alias("last"), F.count(F.lit(1)).alias("n"), r(F.try_divide(F.max(p) - F.min(p), mid) * 10_000, 4).alias("range_bps"))
 
 
-@query(f"""SELECT l_suppkey % {V.SYMBOLS} AS symbol, CAST(l_shipdate AS DATE) AS day, count(*) AS n, round(sum(l_extendedprice) / sum(l_quantity), 6) AS vwap, round(avg(l_extendedprice / l_quantity), 6) AS mean_price, round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE -l_quantity END), 4) AS net
+@query(f"""SELECT l_suppkey % {V.SYMBOLS} AS symbol, CAST(l_shipdate AS DATE) AS day, count(*) AS n, round(sum(l_extendedprice) / sum(l_quantity), 9) AS vwap, round(avg(l_extendedprice / l_quantity), 9) AS mean_price, round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE -l_quantity END), 4) AS net
  FROM lineitem GROUP BY 1, 2""")
 def agg12_trade_days(spark, sf):
     t = V.trades(spark, sf)
-    return t.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.col("price") * F.col("size")) / F.sum("size")).alias("vwap"), r(F.avg("price")).alias("mean_price"), r(F.sum(F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))), 4).alias("net"))
+    return t.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.col("price") * F.col("size")) / F.sum("size"), 9).alias("vwap"), r(F.avg("price"), 9).alias("mean_price"), r(F.sum(F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))), 4).alias("net"))
 
 
 @query(f"""{DAILY}, a AS (SELECT symbol, date, strength = 'extreme' AS x FROM daily), q AS (SELECT symbol, quantile_cont(rv, 0.8) AS cut FROM daily GROUP BY 1), b AS (SELECT symbol, date, rv > cut AS y FROM daily JOIN q USING (symbol) WHERE rv IS NOT NULL)
@@ -301,12 +301,12 @@ _w("win01_realised_volatility", f"SELECT symbol, date, round(CASE WHEN count(ret
 _w("win02_parkinson", f"SELECT symbol, date, round(sqrt(CASE WHEN count(*) {over(10)} = 10 THEN avg(pow(ln(high / low), 2)) {over(10)} END / (4 * ln(2)) * 365), 6) AS x FROM daily", lambda d: W.parkinson(d, 10, 365, "x"))
 _w("win03_corwin_schultz", "SELECT symbol, date, round(cs, 4) AS x FROM daily", lambda d: d.withColumn("x", F.col("cs")), 4)
 _w("win04_abdi_ranaldo", f", e AS (SELECT *, (ln(high) + ln(low)) / 2 AS eta FROM daily), f AS (SELECT *, (ln(lag(close) {S}) - lag(eta) {S}) * (ln(lag(close) {S}) - eta) AS v FROM e) SELECT symbol, date, round(CASE WHEN count(v) {over(20)} = 20 THEN 2 * sqrt(greatest(avg(v) {over(20)}, 0)) END, 6) AS x FROM f", lambda d: W.abdi_ranaldo(d, 20, "x"))
-_w("win05_roll", f", e AS (SELECT *, lag(ret) {S} AS l FROM daily) SELECT symbol, date, round(2 * sqrt(greatest(-(CASE WHEN count(l) {over(20)} = 20 THEN covar_samp(ret, l) {over(20)} END), CASE WHEN count(l) {over(20)} = 20 THEN 0 END)), 6) AS x FROM e", lambda d: W.roll_measure(d, 20, "x").withColumn("x", F.when(F.count("ret").over(W.SERIES) >= 21, F.col("x"))))
+_w("win05_roll", f", e AS (SELECT *, lag(ret) {S} AS l FROM daily) SELECT symbol, date, round(2 * sqrt(greatest(-(CASE WHEN count(l) {over(20)} = 20 THEN covar_samp(ret, l) {over(20)} END), CASE WHEN count(l) {over(20)} = 20 THEN 0 END)), 6) AS x FROM e", lambda d: W.roll_measure(d, 20, "x").withColumn("x", F.when(F.count("ret").over(W.by_day()) >= 21, F.col("x"))))
 _w("win06_amihud", f", e AS (SELECT *, abs(ret) / nullif(volume, 0) AS i FROM daily) SELECT symbol, date, round(CASE WHEN count(i) {over(20)} = 20 THEN avg(i) {over(20)} END * 1e6, 6) AS x FROM e", lambda d: W.amihud(d, 20, "x"))
 _w("win09_rolling_correlation", f"SELECT symbol, date, round(CASE WHEN count(ret) {over(60)} = 60 THEN corr(ret, fg) {over(60)} END, 6) AS x FROM daily", lambda d: W.rolling_correlation(d, "ret", "fg", 60, "x"))
 _w("win13_expanding_min_max", f", e AS (SELECT *, min(cs) OVER w AS lo, max(cs) OVER w AS hi, count(cs) OVER w AS n FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT symbol, date, round(CASE WHEN n >= 30 THEN CASE WHEN hi > lo THEN (cs - lo) / (hi - lo) ELSE 0.5 END END, 6) AS x FROM e", lambda d: W.expanding_min_max(d, "cs", 30, "x"))
 _w("win14_rolling_min_max", f", e AS (SELECT *, min(cs) {over(252)} AS lo, max(cs) {over(252)} AS hi, count(cs) {over(252)} AS n FROM daily) SELECT symbol, date, round(CASE WHEN n >= 30 THEN CASE WHEN hi > lo THEN (cs - lo) / (hi - lo) ELSE 0.5 END END, 6) AS x FROM e", lambda d: W.rolling_min_max(d, "cs", 252, 30, "x"))
-_w("exp06_forward_return", f"SELECT symbol, date, round(lead(close, 5) {S} / close - 1, 6) AS x FROM daily", lambda d: d.withColumn("x", F.lead("close", 5).over(W.SERIES) / F.col("close") - 1))
+_w("exp06_forward_return", f"SELECT symbol, date, round(lead(close, 5) {S} / close - 1, 6) AS x FROM daily", lambda d: d.withColumn("x", F.lead("close", 5).over(W.by_day()) / F.col("close") - 1))
 
 
 @query(f"""{DAILY}, c AS (SELECT *, CASE WHEN regime = lag(regime) {S} THEN 0 ELSE 1 END AS ch FROM daily), s AS (SELECT *, sum(ch) {S} AS spell FROM c), e AS (SELECT symbol, spell, regime, count(*) AS n FROM s GROUP BY 1, 2, 3)
@@ -318,7 +318,7 @@ def win17_durations(spark, sf):
 
 @query(f"""{DAILY}, t AS (SELECT symbol, regime AS a, lead(regime) {S} AS b FROM daily), g AS (SELECT symbol, a, b, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY 1, 2, 3) SELECT symbol, a AS from_regime, b AS to_regime, n, round(n / sum(n) OVER (PARTITION BY symbol, a), 6) AS p FROM g""")
 def win18_transition_matrix(spark, sf):
-    t = daily(spark, sf).select("symbol", F.col("regime").alias("from_regime"), F.lead("regime").over(W.SERIES).alias("to_regime")).where("to_regime is not null")
+    t = daily(spark, sf).select("symbol", F.col("regime").alias("from_regime"), F.lead("regime").over(W.by_day()).alias("to_regime")).where("to_regime is not null")
     g = t.groupBy("symbol", "from_regime", "to_regime").agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("p", r(F.col("n") / F.sum("n").over(Window.partitionBy("symbol", "from_regime"))))
 
@@ -347,7 +347,7 @@ def win22_divergence_log(spark, sf):
 
 @query()
 def win23_spaced_events(spark, sf):
-    d = daily(spark, sf).withColumn("n", F.row_number().over(W.SERIES)).where("abs(fg - 50) / 50 >= 0.8").select("symbol", "date", "n", "fg")
+    d = daily(spark, sf).withColumn("n", F.row_number().over(W.by_day())).where("abs(fg - 50) / 50 >= 0.8").select("symbol", "date", "n", "fg")
     return scans.spaced_events(d, 5)
 
 
@@ -493,7 +493,7 @@ def reg08_residual_gaps(spark, sf):
 
 @query(f"{DAILY}, l AS (SELECT symbol, fg, lag(fg) {S} AS b FROM daily) SELECT symbol, round(regr_slope(fg, b), 6) AS phi, round(regr_intercept(fg, b), 6) AS c FROM l GROUP BY 1")
 def reg13_ar1(spark, sf):
-    d = daily(spark, sf).withColumn("b", F.lag("fg").over(W.SERIES))
+    d = daily(spark, sf).withColumn("b", F.lag("fg").over(W.by_day()))
     return d.groupBy("symbol").agg(r(F.regr_slope("fg", "b")).alias("phi"), r(F.regr_intercept("fg", "b")).alias("c"))
 
 
@@ -502,7 +502,7 @@ _ROWS = f"{DAILY}, n AS (SELECT *, row_number() {S} AS n FROM daily WHERE cs IS
 
 
 def _numbered(spark, sf):
-    return daily(spark, sf).where("cs is not null").withColumn("n", F.row_number().over(W.SERIES).cast("long"))
+    return daily(spark, sf).where("cs is not null").withColumn("n", F.row_number().over(W.by_day()).cast("long"))
 
 
 @query(f"""{_ROWS}, x AS (SELECT symbol, rep, cs, strength, {_HASH} AS h FROM n, range(200) t(rep) WHERE strength IN ('extreme', 'neutral')), w AS (SELECT *, CASE WHEN h < 3679 THEN 0 WHEN h < 7358 THEN 1 WHEN h < 9197 THEN 2 WHEN h < 9810 THEN 3 WHEN h < 9963 THEN 4 WHEN h < 9994 THEN 5 ELSE 6 END AS w FROM x),
@@ -548,7 +548,7 @@ def rsp05_weight_grid(spark, sf):
 @query(f"""{DAILY}, f AS (SELECT symbol, fg, close, lead(close, 1) {S} / close - 1 AS r1, lead(close, 3) {S} / close - 1 AS r3, lead(close, 5) {S} / close - 1 AS r5, lead(close, 7) {S} / close - 1 AS r7 FROM daily),
  l AS (SELECT symbol, h, CASE h WHEN 1 THEN r1 WHEN 3 THEN r3 WHEN 5 THEN r5 ELSE r7 END AS x FROM f, (VALUES (1), (3), (5), (7)) t(h) WHERE abs(fg - 50) / 50 >= 0.8) SELECT symbol, h, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(avg((x > 0)::INT), 6) AS hit FROM l GROUP BY 1, 2""")
 def evt01_event_study(spark, sf):
-    ahead = {h: F.lead("close", h).over(W.SERIES) / F.col("close") - 1 for h in (1, 3, 5, 7)}
+    ahead = {h: F.lead("close", h).over(W.by_day()) / F.col("close") - 1 for h in (1, 3, 5, 7)}
     d = daily(spark, sf).select("symbol", "fg", F.array(*[F.struct(F.lit(h).alias("h"), x.alias("x")) for h, x in ahead.items()]).alias("e"))
     e = d.where("abs(fg - 50) / 50 >= 0.8").select("symbol", F.explode("e").alias("e")).select("symbol", "e.*")
     return e.groupBy("symbol", "h").agg(F.count("x").alias("n"), r(F.avg("x")).alias("mean"), r(F.stddev_samp("x")).alias("std"), r(F.avg((F.col("x") > 0).cast("int"))).alias("hit"))
