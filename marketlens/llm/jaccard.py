@@ -38,9 +38,13 @@ BUCKET_ENTRIES = 1_500_000
 SAMPLE_DOCS = 4000
 SAMPLE_OFTEN = 4
 MOST_FREQUENT = 200_000
+CHUNK_BYTES = 1 << 19
+BUNDLE_BYTES = 24 << 20
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 _U = np.uint64
+_STEP = _U(0x2545F4914F6CDD1D)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -56,42 +60,93 @@ def _letters() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 
 
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS["up"]) <= n:
-        size = max(1 << 16, 2 * n)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            step = np.full(size, base, np.uint64)
-            step[0] = 1
-            _POWERS[key] = np.cumprod(step, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(n: int) -> np.ndarray:
+    """The first ``n`` powers, or more, of an odd base modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        step = np.full(max(1 << 12, 2 * n), _BASE, np.uint64)
+        step[0] = 1
+        _POWERS[:] = [np.cumprod(step, dtype=np.uint64)]
+    return _POWERS[0]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One hash per word, words as runs without ASCII white space, A-Z lower-cased."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
-    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(raw) + 1)
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_letters()[raw] * up[: len(raw)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def _word_hashes(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one hash per word, first word of each text and the end) of texts that lie in ``raw`` between ``cuts``.
+
+    Words are runs without ASCII white space, A-Z lower-cased; the end of a text ends a word.
+    """
+    raw = _LOWER[raw]
+    solid = ~_SPACE[raw]
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[cuts] = True
+    start, end = solid.copy(), solid.copy()
+    start[1:] &= ~solid[:-1] | begins[1:-1]
+    end[:-1] &= ~solid[1:] | begins[1:-1]
+    starts, length = np.flatnonzero(start), np.flatnonzero(end) + 1
+    length -= starts
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(cuts), np.int64)
+    first = np.cumsum(length) - length
+    value = _letters()[raw[solid]]
+    value *= _powers(int(length.max()))[np.arange(len(value)) - np.repeat(first, length)]
+    return mix(np.add.reduceat(value, first) + length.astype(np.uint64)), np.searchsorted(starts, cuts)
+
+
+def shingle_sets(raw: np.ndarray, cuts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): for each text in ``raw`` the sorted distinct hashes of all runs of ``width`` words; of the whole
+    sequence if it is shorter."""
+    words, first = _word_hashes(raw, cuts)
+    count = np.diff(first)
+    each = np.where(count >= width, count - width + 1, np.minimum(count, 1))
+    at = np.concatenate([[0], np.cumsum(each)])
+    out = np.zeros(at[-1], np.uint64)
+    if len(words) >= width:
+        total = np.full(len(words) - width + 1, width, np.uint64)
+        for i in range(width):
+            total = total * _STEP + words[i : len(words) - width + 1 + i]
+        left = np.repeat(first[1:], count)[: len(total)] - np.arange(len(total))
+        out[np.repeat(count >= width, each)] = total[left >= width]
+    for k in np.flatnonzero((count > 0) & (count < width)).tolist():
+        total = _U(count[k])
+        with np.errstate(over="ignore"):
+            for w in words[first[k] : first[k + 1]]:
+                total = total * _STEP + w
+        out[at[k]] = total
+    out = mix(out)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        out[a:b].sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = out[1:] != out[:-1]
+    fresh[at[:-1][each > 0]] = True
+    return out[fresh], np.concatenate([[0], np.cumsum(fresh)])[at]
+
+
+def shingled(column, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, hashes, offsets) for runs of rows of an Arrow column of texts, about ``chunk`` bytes at a time."""
+    import pyarrow as pa
+
+    held = column.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int64)
+    data = held.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(held):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + chunk, "right")) - 1)
+        yield row, *shingle_sets(raw[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row])
+        row = stop
+
+
+def sets_in(column) -> Iterator[np.ndarray]:
+    """The shingle set of every row."""
+    for _, hashes, offsets in shingled(column):
+        yield from np.split(hashes, offsets[1:-1])
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct hashes of all runs of ``width`` words; of the whole sequence if it is shorter."""
-    words = word_hashes(text)
-    if not len(words):
-        return words
-    size = min(width, len(words))
-    total = np.full(len(words) - size + 1, size, np.uint64)
-    for i in range(size):
-        total = total * _U(0x2545F4914F6CDD1D) + words[i : len(words) - size + 1 + i]
-    return np.unique(mix(total))
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return shingle_sets(raw, np.array([0, len(raw)]), width)[0]
 
 
 def least_overlap(a, b):
@@ -99,10 +154,14 @@ def least_overlap(a, b):
     return -((-NUM * (a + b)) // (DEN + NUM))
 
 
-def digest_of(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that name a set."""
-    a, b = mix(s).sum(dtype=np.uint64), mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return int(mix(np.array([a + _U(len(s))]))[0].view(np.int64)), int(b.view(np.int64))
+def digests_of(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums that name each set."""
+    sums = []
+    for x in (hashes, hashes ^ _U(0xA5A5A5A5A5A5A5A5)):
+        run = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(mix(x), out=run[1:])
+        sums.append(run[offsets[1:]] - run[offsets[:-1]])
+    return mix(sums[0] + np.diff(offsets).astype(np.uint64)).view(np.int64), sums[1].view(np.int64)
 
 
 class CountRTree:
@@ -155,28 +214,32 @@ def folded(points: np.ndarray, groups: int) -> np.ndarray:
     return points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.int32)
 
 
-def candidates(points: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, positions j that may link with i); each pair comes at least once.  Points of each number of groups have a
-    tree; a set asks its own and, folded, the next coarser, since linked sizes differ by a third at most."""
+def candidates(points: list[np.ndarray], sizes: np.ndarray, asked: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, positions j that may link with i) for every i that is asked, by default all; i may come more than once.
+
+    Points of each number of groups have a tree; a set asks its own and, at the coarser of both widths, the next on either
+    side, since linked sizes differ by a third at most.
+    """
     width = np.array([len(p) for p in points])
-    trees: dict[int, tuple] = {}
-    for groups in np.unique(width).tolist():
-        own = np.flatnonzero(width == groups)
-        block = np.stack([points[i] for i in own])
-        trees[groups] = (own, block, CountRTree(block, sizes[own]) if len(own) > LEAF else None)
-    for groups, (own, block, _) in trees.items():
-        for other in (groups, groups // 4):
-            if other not in trees:
+    asked = np.ones(len(points), bool) if asked is None else asked
+    blocks = {groups: (own := np.flatnonzero(width == groups), np.stack([points[i] for i in own])) for groups in np.unique(width).tolist()}
+    for groups, (own, block) in blocks.items():
+        for other in (groups // 4, groups, groups * 4):
+            if other not in blocks or not asked[own].any():
                 continue
-            theirs, boxes, tree = trees[other]
-            asked = block if other == groups else folded(block, other)
-            for i, point in zip(own.tolist(), asked):
-                if tree is None:  # one leaf
-                    fits = (NUM * sizes[theirs] <= DEN * sizes[i]) & (NUM * sizes[i] <= DEN * sizes[theirs])
-                    bound = np.minimum(boxes, point).sum(axis=1, dtype=np.int64)
-                    yield i, theirs[fits & (bound >= least_overlap(sizes[i], sizes[theirs]))]
-                else:
+            level = min(groups, other)
+            theirs, boxes = blocks[other][0], folded(blocks[other][1], level)
+            mine = own[asked[own]]
+            ask = folded(block[asked[own]], level)
+            if len(theirs) > LEAF:
+                tree = CountRTree(boxes, sizes[theirs])
+                for i, point in zip(mine.tolist(), ask):
                     yield i, theirs[tree.search(point, int(sizes[i]))]
+                continue
+            for i, point in zip(mine.tolist(), ask):  # one leaf
+                bound = np.minimum(boxes, point).sum(axis=1, dtype=np.int64)
+                fits = (NUM * sizes[theirs] <= DEN * sizes[i]) & (NUM * sizes[i] <= DEN * sizes[theirs])
+                yield i, theirs[fits & (bound >= least_overlap(sizes[i], sizes[theirs]))]
 
 
 def links_in_block(sets: list[np.ndarray], known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -206,9 +269,9 @@ def nodes_of(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(len(s), *digest_of(s)) for s in (shingles(t.as_py()) for t in batch.column(1))]
-            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols], ["doc_id", "n", "node", "check"])
+            for row, hashes, offsets in shingled(batch.column(1)):
+                cols = [pa.array(c, pa.int64()) for c in (np.diff(offsets), *digests_of(hashes, offsets))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(offsets) - 1).cast(pa.int64()), *cols], ["doc_id", "n", "node", "check"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, check long")
 
@@ -220,8 +283,8 @@ def frequent_shingles(docs: DataFrame, rows: int) -> np.ndarray:
         import pyarrow as pa
 
         for batch in batches:
-            held = [shingles(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64) if held else [], pa.int64())], ["h"])
+            for _, hashes, _ in shingled(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["h"])
 
     share = min(1.0, SAMPLE_DOCS / max(1, rows))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2**30)) < F.lit(share * 2**30)).select("text").distinct()
@@ -239,13 +302,13 @@ def _blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             node, size, owner, heads = [], [], [], []
-            for text in batch.column(0):
-                s = shingles(text.as_py())
-                if len(s):
-                    name = digest_of(s)[0]
-                    if name not in seen:
+            for _, hashes, offsets in shingled(batch.column(0)):
+                where = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
+                unusual = frequent[where] != hashes if len(frequent) else np.ones(len(hashes), bool)
+                for name, a, b in zip(digests_of(hashes, offsets)[0].tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                    if b > a and name not in seen:
                         seen.add(name)
-                        rare = ~np.isin(s, frequent, assume_unique=True) if len(frequent) else np.ones(len(s), bool)
+                        s, rare = hashes[a:b], unusual[a:b]
                         head = np.concatenate([s[rare], s[~rare]])[: len(s) - (-(-NUM * len(s) // DEN)) + 1]
                         owner.append(np.full(len(head), len(node), np.uint32))
                         heads.append(head)
@@ -290,68 +353,106 @@ def _blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         cut = np.ones(len(tag), bool)
         cut[1:] = (tag[1:] != tag[:-1]) | (NUM * size[1:] > DEN * size[:-1])
         starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(tag))
+        length = np.diff(np.append(starts, len(tag)))
+        code = np.append(np.uint64(0), np.cumsum(mix(name.view(np.uint64)), dtype=np.uint64))
+        keys = mix(code[starts + length] - code[starts] + length.astype(np.uint64)).view(np.int64)
+        some = np.flatnonzero(length > 1)
+        some = some[np.unique(keys[some], return_index=True)[1]]
         found: dict[int, np.ndarray] = {}
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            if b - a < 2:
+        half = BLOCK // 2
+        for key, a, n in zip(keys[some].tolist(), starts[some].tolist(), length[some].tolist()):
+            b = a + n
+            if n <= BLOCK:
+                found[key] = name[a:b]
                 continue
-            if b - a <= BLOCK:
-                members = [name[a:b]]
-            else:  # pairs of chunks by size, where sizes allow a link
-                half = BLOCK // 2
-                chunks = [(i, min(i + half, b)) for i in range(a, b, half)]
-                members = [np.concatenate([name[i:j], name[k:m]]) if k > i else name[i:j] for i, j in chunks for k, m in chunks if k >= i and NUM * size[k] <= DEN * size[j - 1]]
-            for m in members:
-                key = int(mix(np.array([mix(m.view(np.uint64)).sum(dtype=np.uint64) + _U(len(m))]))[0].view(np.int64))
-                found.setdefault(key, m)
-        return pa.table({"block": pa.array(list(found), pa.int64()), "members": pa.array([m.tolist() for m in found.values()], pa.list_(pa.int64()))})
+            # pairs of chunks by size, where sizes allow a link
+            chunks = [(i, min(i + half, b)) for i in range(a, b, half)]
+            for x, (i, j) in enumerate(chunks):
+                for k, m in chunks[x:]:
+                    if NUM * size[k] <= DEN * size[j - 1]:
+                        both = np.concatenate([name[i:j], name[k:m]]) if k > i else name[i:j]
+                        found[int(mix(np.array([mix(both.view(np.uint64)).sum(dtype=np.uint64) + _U(len(both))]))[0].view(np.int64))] = both
+        at = np.concatenate([[0], np.cumsum([len(m) for m in found.values()])]).astype(np.int32)
+        members = np.concatenate([np.zeros(0, np.int64), *found.values()])
+        return pa.table({"block": pa.array(list(found), pa.int64()), "members": pa.ListArray.from_arrays(pa.array(at), pa.array(members))})
 
     dealt = docs.select("text").mapInArrow(leading, "bucket long, tags binary, at binary, names binary, sizes binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "block long, members array<long>").dropDuplicates(["block"])
 
 
+def _bundled(rows: DataFrame, weight: int) -> DataFrame:
+    """``rows`` with a column ``bundle``: whole blocks together, about ``BUNDLE_BYTES`` of the ``weight`` in each."""
+    return rows.withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(max(12, -(-weight // BUNDLE_BYTES)))))
+
+
+def _each_block(group, columns: list[str]) -> Iterator[list]:
+    """The columns of one block after the other."""
+    import pyarrow as pa
+
+    group = group.sort_by("block") if isinstance(group, pa.Table) else pa.Table.from_batches([group]).sort_by("block")
+    block = group.column("block").to_numpy()
+    cuts = np.append(np.flatnonzero(np.diff(block, prepend=block[:1] ^ 1)), len(block))
+    held = [group.column(c).combine_chunks() for c in columns]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield [c.slice(a, b - a) for c in held]
+
+
 def _verified(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of blocks given as rows (block, node, label, text)."""
+    """Links (a, b) of blocks given as rows (bundle, block, node, label, text)."""
 
     def run(group):
         import pyarrow as pa
 
-        node = group.column("node").to_numpy()
-        sets = [shingles(t.as_py()) for t in group.column("text")]
-        pairs = links_in_block(sets, group.column("label").to_numpy())
-        return pa.table({"a": pa.array([node[i] for i, _ in pairs], pa.int64()), "b": pa.array([node[j] for _, j in pairs], pa.int64())})
+        a, b = [], []
+        for node, label, text in _each_block(group, ["node", "label", "text"]):
+            node = node.to_numpy()
+            pairs = links_in_block(list(sets_in(text)), label.to_numpy())
+            a += [node[i] for i, _ in pairs]
+            b += [node[j] for _, j in pairs]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("block", "node", "label", "text").groupBy("block").applyInArrow(run, "a long, b long")
+    return rows.select("bundle", "block", "node", "label", "text").groupBy("bundle").applyInArrow(run, "a long, b long")
 
 
 def _survivors(rows: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) from rows (block, node, label, size, counts) that the R-tree cannot rule out, across labels.
+    """Pairs (a, b) from rows (bundle, block, node, label, size, counts) that the R-tree cannot rule out, across labels.
 
-    ``nearest`` keeps of each node in a block only the pair with the highest bound.
+    ``nearest`` keeps of each asked node in a block only the pair with the highest bound.
     """
 
     def run(group):
         import pyarrow as pa
 
-        node, size = group.column("node").to_numpy(), group.column("size").to_numpy()
-        label = group.column("label").to_numpy()
-        points, a, b = [np.frombuffer(c.as_py(), np.uint8).astype(np.int32) for c in group.column("counts")], [], []
-        for p in points:
-            p[p == 255] = 2**20  # a count that did not fit bounds nothing
-        for i, near in candidates(points, size):
-            near = near[label[near] != label[i]]
-            if nearest and len(near) > 1:
-                least = min(len(points[i]), *[len(points[j]) for j in near.tolist()])
-                at = folded(np.stack([points[i]]), least)[0]
-                bound = [np.minimum(folded(np.stack([points[j]]), least)[0], at).sum(dtype=np.int64) / (size[j] + size[i]) for j in near.tolist()]
-                near = near[[int(np.argmax(bound))]]
-            a.append(np.full(len(near), node[i]))
-            b.append(node[near])
-        one, two = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for node, label, size, counts in _each_block(group, ["node", "label", "size", "counts"]):
+            node, label, size = node.to_numpy(), label.to_numpy(), size.to_numpy()
+            points = [np.frombuffer(c, np.uint8).astype(np.int32) for c in counts.to_pylist()]
+            for p in points:
+                p[p == 255] = 2**20  # a count that did not fit bounds nothing
+            # a pair across labels has a member outside the commonest one
+            names, at, count = np.unique(label, return_inverse=True, return_counts=True)
+            best: dict[int, tuple[float, int]] = {}
+            for i, near in candidates(points, size, at != int(count.argmax())):
+                near = near[at[near] != at[i]]
+                if not len(near):
+                    continue
+                if nearest:
+                    least = min(len(points[i]), *{len(points[j]) for j in near.tolist()})
+                    own = folded(points[i][None], least)
+                    share = np.minimum(np.concatenate([folded(points[j][None], least) for j in near.tolist()]), own).sum(axis=1, dtype=np.int64) / (size[near] + size[i])
+                    k = int(share.argmax())
+                    best[i] = max(best.get(i, (-1.0, -1)), (float(share[k]), int(near[k])))
+                else:
+                    a.append(np.full(len(near), node[i]))
+                    b.append(node[near])
+            if best:
+                a.append(node[list(best)])
+                b.append(node[[j for _, j in best.values()]])
+        one, two = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return rows.select("block", "node", "label", "size", "counts").groupBy("block").applyInArrow(run, "a long, b long")
+    return rows.select("bundle", "block", "node", "label", "size", "counts").groupBy("bundle").applyInArrow(run, "a long, b long")
 
 
 def _verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -360,8 +461,7 @@ def _verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = shingles(x.as_py()), shingles(y.as_py())
+            for s, t in zip(sets_in(batch.column(2)), sets_in(batch.column(3))):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(DEN * both >= NUM * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -411,10 +511,10 @@ def components(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            held = [shingles(t.as_py()) for t in batch.column(1)]
-            cols = [pa.array([digest_of(s)[0] for s in held], pa.int64()), pa.array([len(s) for s in held], pa.int64())]
-            cols += [pa.array([np.minimum(counts_of(s, groups_for(len(s))), 255).astype(np.uint8).tobytes() for s in held], pa.binary()), batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["node", "own", "size", "counts", "text"])
+            for row, hashes, offsets in shingled(batch.column(1)):
+                counts = [np.minimum(counts_of(s, groups_for(len(s))), 255).astype(np.uint8).tobytes() for s in np.split(hashes, offsets[1:-1])]
+                cols = [pa.array(digests_of(hashes, offsets)[0]), pa.array(np.diff(offsets)), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(counts)), *cols, batch.column(1).slice(row, len(counts))], ["node", "own", "size", "counts", "text"])
 
     texts = docs.select("doc_id", "text").join(named, "doc_id").select("node", "text")
     sets = texts.mapInArrow(sets_of, "node long, own long, size long, counts binary, text string").where("node = own").select("node", "size", "counts", "text").dropDuplicates(["node"])
@@ -425,15 +525,19 @@ def components(docs: DataFrame) -> DataFrame:
     pick = members.groupBy("node").agg(F.max(F.struct("m", "block")).alias("best")).select("node", F.col("best.block").alias("block"), F.col("node").alias("label"))
     pick = materialize(pick, "picks")
     pick = pick.join(pick.groupBy("block").count().where("count > 1").select("block"), "block")
-    links = materialize(_verified(pick.join(sets, "node")), "links")
+    held = members.join(sets.select("node", F.length("counts").alias("w")), "node").agg(F.sum("w")).first()[0]
+    whole = sets.agg(F.sum(F.length("text"))).first()[0]
+    links = materialize(_verified(_bundled(pick, whole or 0).join(sets, "node")), "links")
     labels = materialize(connected_components(links), "labels")
     points = sets.drop("text")
     for last in [False] * NEAREST_ROUNDS + [True]:
         left = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_ = left.groupBy("block").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("block")
-        pairs = materialize(_survivors(left.join(open_, "block").join(points, "node"), not last).distinct(), "survivors")
-        links = materialize(links.unionByName(_verified_pairs(pairs, sets)), "links")
-        labels = materialize(connected_components(links), "labels")
+        pairs = materialize(_survivors(_bundled(left.join(open_, "block"), held or 0).join(points, "node"), not last).distinct(), "survivors")
+        links = materialize(_verified_pairs(pairs, sets), "links")
+        if not links.isEmpty():
+            stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = materialize(connected_components(stars.unionByName(links)), "labels")
 
     least = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = materialize(least, "least")
