@@ -7,9 +7,12 @@ and kept as little-endian bytes; a text is then one join of cached bytes.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import filterfalse, islice
+from functools import partial
+from itertools import compress, islice
+from operator import is_
 
 import numpy as np
 
@@ -30,6 +33,10 @@ TEXTS_AT_ONCE = 256
 JOINED = 2048
 # ASCII marks that end a run of letters or digits and never start a contraction by themselves
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+# letters that composition leaves alone and whose lower case does not depend on their neighbours
+PLAIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f]+").fullmatch
+PLAIN_JOINED = 512
+absent = partial(is_, None)
 
 
 class ChunkEncoder:
@@ -47,6 +54,40 @@ class ChunkEncoder:
         self.mark, self.marks = mark, [t.content for t in self.joiner.get_added_tokens_decoder().values()]
         self.exact, self.simple = CHUNKS[cut], SIMPLE[cut]
         self.cache: dict[str, bytes] = {}
+        self.plain = self._plain_words(path)
+
+    def _plain_words(self, path: str):
+        """A tokenizer for words of plain lower-case letters, and which ids end a word, if the file folds case and marks
+        the ends of words; such words need none of its normalising."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        suffix = spec["model"].get("end_of_word_suffix")
+        if steps != ["NFC", "Replace", "Lowercase"] or not suffix:
+            return None
+        words = Tokenizer.from_file(path)
+        words.normalizer = None
+        words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = words.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        return words, last
+
+    def _encode_plain(self, words: list[str]) -> dict[str, bytes]:
+        tokenizer, last = self.plain
+        out = {}
+        for i in range(0, len(words), PLAIN_JOINED):
+            part = words[i : i + PLAIN_JOINED]
+            ids = np.asarray(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(last[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("a word was cut at an end mark")
+            data, start = ids.tobytes(), 0
+            for w, end in zip(part, ends):
+                out[w] = data[4 * start : 4 * end]
+                start = end
+        return out
 
     def _new(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of chunks; a run of marks at the end is a piece of its own, so words are encoded without it."""
@@ -65,8 +106,14 @@ class ChunkEncoder:
 
     def _encode(self, chunks: list[str]) -> dict[str, bytes]:
         """One in which a special token's text could begin or end is encoded alone."""
+        out = {}
+        if self.plain:
+            known, lower = self.cache, {c: c.lower() for c in chunks if PLAIN(c)}
+            fresh = self._encode_plain(list({w for w in lower.values() if w not in known}))
+            out = {c: known[w] if w in known else fresh[w] for c, w in lower.items()}
+            chunks = [c for c in chunks if c not in lower]
         alone = [c for c in chunks if "<" in c or ">" in c or "|" in c or any(m in c for m in self.marks)]
-        out = {c: np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in alone}
+        out |= {c: np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in alone}
         rest = [c for c in chunks if c not in out]
         for i in range(0, len(rest), JOINED):
             part = rest[i : i + JOINED]
@@ -88,11 +135,15 @@ class ChunkEncoder:
             if len(known) > CACHE_ENTRIES:
                 for c in list(islice(known, CACHE_ENTRIES // 4)):
                     del known[c]
-            new = set()
-            for chunks in cut:
-                new.update(filterfalse(known.__contains__, chunks))
+            got = [list(map(known.get, chunks)) for chunks in cut]
+            missing = [list(compress(range(len(ids)), map(absent, ids))) for ids in got]
+            new = {chunks[i] for chunks, where in zip(cut, missing) for i in where}
             known.update(self._new(list(new)))
-            out += [b"".join(map(known.__getitem__, chunks)) + end for chunks in cut]
+            for chunks, ids, where in zip(cut, got, missing):
+                for i in where:
+                    ids[i] = known[chunks[i]]
+                ids.append(end)
+                out.append(b"".join(ids))
             for c in new:
                 if len(c) > LONGEST_CACHED:
                     known.pop(c, None)
