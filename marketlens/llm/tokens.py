@@ -29,7 +29,7 @@ SEPARATORS = re.compile("[\x1c-\x1f]").search
 SIMPLE = {"word": str.split, "byte": re.compile(r" ?\S+|\s+(?!\S)|\s+").findall}
 CACHE_ENTRIES = 1_000_000
 LONGEST_CACHED = 64
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 64
 JOINED = 2048
 # ASCII marks that end a run of letters or digits and never start a contraction by themselves
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -93,6 +93,8 @@ class ChunkEncoder:
         """The ids of chunks; a run of marks at the end is a piece of its own, so words are encoded without it."""
         cut = {}
         for c in chunks:
+            if c.isalpha():
+                continue
             word = c.rstrip(TAIL)
             if len(word) < len(c) and word[-1:].isalnum() and word[-1].lower().isalnum():
                 cut[c] = (word, c[len(word) :])
