@@ -148,3 +148,14 @@ def test_archive_round_trip(spark, tmp_path):
         assert body[:-4] == (b"" if b"Type: revisit" in head else bytes(r.payload))
         assert b"Type: revisit" not in head or len(r.payload) >= 5
     assert warc.archive_and_read(data.limit(0)).count() == 0
+
+
+def test_encoder_matches_the_library_on_letters_and_marks():
+    texts = ["ΟΔΥΣΣΕΥΣ Σ İstanbul ÉTÉ Straße ŉ ª º µ Ĳ", None, "", "don't IT'S x's (word), \"Word\"... word word$$$ 12ab", "ñ" * 70 + " ẞß é É ﬁ Å", "<|endoftext|> a<|x \x1c b", "Same same SAME same,"]
+    for name, cut in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        path = queries.tokenizer_path(name)
+        library, ours = Tokenizer.from_file(path), ChunkEncoder(path, cut)
+        library.encode_special_tokens = True
+        expected = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+        for _ in range(2):  # the second time from the cache
+            assert [np.frombuffer(b, "<u4").tolist() for b in ours.encode(texts, 2)] == expected
