@@ -2,9 +2,12 @@
 
 Inner products become distances by one more coordinate that brings every vector to the greatest norm.  A bounded sample is
 halved again and again along the line between two means, at the median, so that its leaves are balanced; their means are the
-centroids.  A neighbour graph over the centroids, searched best-first in memory, finds the lists near a vector: a vector is
-stored in each list whose centroid is nearly as close as its closest (boundary vectors in several), and a query reads
-the lists whose distance is within a ratio of its closest.  Lists and their queries are split into parts of bounded size.
+centroids.  A neighbour graph over the centroids, searched best-first in memory, finds the lists to store a vector in: each
+list whose centroid is nearly as close as its closest (boundary vectors in several).  A query reads every list whose
+distance is within a ratio of its closest, however many these are.  The ratio is measured: it is the one at which queries
+drawn from the sample find ``RECALL`` of their nearest in the sample; the nearest in the whole table are closer still.
+The closest lists come first; the others return only what is no worse than the last of the ``k`` found there.
+Lists and their queries are split into parts of bounded size.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null
 ids.  Repeated rows count once.  Extra columns are ignored; empty tables give no rows.
@@ -26,17 +29,18 @@ LIST_SIZE = 256
 SAMPLE_PER_LIST = 12
 COPIES = 4
 STORE_RATIO = 1.08
-READ_RATIO = 1.30
+RECALL = 0.998
+RATIO_QUERIES = 256
 LEAST_LISTS = 12
-MOST_LISTS = 64
 PART = 4096
 QUERY_PART = 1024
 DEGREE = 16
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v as doubles) of the rows that take part."""
-    v = F.col(vector_col).cast("array<double>")
+    """(id, v as doubles, or as floats if it holds these) of the rows that take part."""
+    v = F.col(vector_col)
+    v = v if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else v.cast("array<double>")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     rows = rows.where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
@@ -107,8 +111,33 @@ class CentroidGraph:
         return np.array([i for _, i in found]), np.sqrt(np.maximum(np.array([d for d, _ in found]) + size, 0))
 
 
+def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(axis=1), 0))
+
+
+def read_ratio(points: np.ndarray, centroids: np.ndarray, k: int, seed: int = 7) -> float:
+    """The ratio of distances up to which lists are read, so that ``RECALL`` of the sample's nearest are found.
+
+    ``points`` are lifted; equal ones count once, as copies are found at any ratio.
+    """
+    points = np.unique(points, axis=0)
+    drawn = np.random.default_rng(seed).permutation(len(points))[:RATIO_QUERIES]
+    need, k = [np.ones(1)], min(k, len(points) - 1)
+    for i in drawn.tolist() if k else []:
+        x = np.append(points[i, :-1], 0)
+        score = points @ x
+        score[i] = -np.inf
+        near = np.argpartition(score, -k)[-k:]
+        d = distances(x[None] / max(float(np.sqrt(x @ x)), 1e-300), centroids)[0]
+        theirs = distances(points[near], centroids)
+        at = np.argsort(theirs, axis=1, kind="stable")[:, :COPIES]
+        held = np.take_along_axis(theirs, at, axis=1) <= theirs.min(axis=1)[:, None] * STORE_RATIO + 1e-12
+        need.append(np.where(held, d[at], np.inf).min(axis=1) / max(float(d.min()), 1e-300))
+    return float(np.quantile(np.concatenate(need), RECALL, method="higher"))
+
+
 def _rows(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
@@ -120,7 +149,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     data = data.where(F.size("v") == by_length["n"])
     total = by_length["count"]
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    kind = data.schema["v"].dataType.simpleString()
     top2 = data.agg(F.max(norm2)).first()[0]
     drawn = data.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(2**30)) < F.lit(min(1.0, sample / total) * 2**30)).orderBy("id").select("v").collect()
 
@@ -130,45 +160,44 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
 
     lists = max(1, min(total // LIST_SIZE, len(drawn) // SAMPLE_PER_LIST))
     points = lift(np.array([r.v for r in drawn], np.float64).reshape(len(drawn), -1)) if drawn else np.zeros((1, by_length["n"] + 1))
-    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(points, lists)))
-
-    def near(is_query: bool):
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            g = graph.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v, out, which = _rows(batch.column(1)), [], []
-                for i, x in enumerate(lift(v, is_query)):
-                    if is_query:
-                        x = x / max(float(np.sqrt(x @ x)), 1e-300)
-                    at, d = g.search(x, MOST_LISTS if is_query else 4 * COPIES)
-                    keep = d <= d[0] * (READ_RATIO if is_query else STORE_RATIO) + 1e-12
-                    if is_query:
-                        keep[:LEAST_LISTS] = True
-                    else:
-                        keep[COPIES:] = False
-                    at = at[keep]
-                    out += at.tolist()
-                    which += [i] * len(at)
-                rows = batch.take(pa.array(which, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), rows.column(0), rows.column(1)], ["list", "id", "v"])
-
-        return run
-
-    schema = "list long, id long, v array<double>"
-    stored = materialize(data.select("id", "v").mapInArrow(near(False), schema), "postings")
-    asked = materialize(data.where(queries).select("id", "v").repartition(spark.sparkContext.defaultParallelism).mapInArrow(near(True), schema), "probes")
-    # a row for each list, and there are at most sample / SAMPLE_PER_LIST lists
-    parts = F.broadcast(
-        stored.groupBy("list").count().select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts")).join(asked.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERY_PART).cast("int").alias("q_parts")), "list")
-    )
-    hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = stored.join(parts, "list").select("list", hashed("parts").alias("part"), spread("q_parts").alias("q_part"), "id", "v")
-    right = asked.join(parts, "list").select("list", spread("parts").alias("part"), hashed("q_parts").alias("q_part"), "id", "v")
+    del drawn
+    centroids = balanced_centroids(points, lists)
+    ratio = read_ratio(points, centroids, k)
+    graph = spark.sparkContext.broadcast(CentroidGraph(centroids))
+
+    def store(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        g = graph.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, out, which = _rows(batch.column(1)), [], []
+            for i, x in enumerate(lift(v)):
+                at, d = g.search(x, 4 * COPIES)
+                at = at[:COPIES][d[:COPIES] <= d[0] * STORE_RATIO + 1e-12]
+                out += at.tolist()
+                which += [i] * len(at)
+            rows = batch.take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), rows.column(0), rows.column(1)], ["list", "id", "v"])
+
+    def ask(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        c = graph.value.c
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x = lift(_rows(part.column(1)), True)
+                d = distances(x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None], c)
+                order = np.argsort(d, axis=1, kind="stable")
+                inside = np.take_along_axis(d, order, axis=1) <= d.min(axis=1)[:, None] * ratio + 1e-12
+                lists = [pa.array(order[:, :LEAST_LISTS].tolist(), pa.list_(pa.int64()))]
+                lists.append(pa.array([o[LEAST_LISTS:][i[LEAST_LISTS:]].tolist() for o, i in zip(order, inside)], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([*lists, part.column(0), part.column(1)], ["closest", "others", "id", "v"])
+
+    stored = materialize(data.select("id", "v").mapInArrow(store, f"list long, id long, v {kind}"), "postings")
+    asked = materialize(data.where(queries).select("id", "v").repartition(spark.sparkContext.defaultParallelism).mapInArrow(ask, f"closest array<long>, others array<long>, id long, v {kind}"), "probes")
 
     def best(stored_part, asked_part):
         import pyarrow as pa
@@ -176,11 +205,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         rows: tuple[list, list, list] = ([], [], [])
         if stored_part.num_rows and asked_part.num_rows:
             ids, x = stored_part.column("id").to_numpy(), _rows(stored_part.column("v").combine_chunks())
-            for q_ids, q in ((b.column(b.schema.get_field_index("id")).to_numpy(), _rows(b.column(b.schema.get_field_index("v")))) for b in asked_part.to_batches(256)):
+            for q_ids, q, floors in ((b.column("id").to_numpy(), _rows(b.column("v")), b.column("floor").to_numpy()) for b in asked_part.to_batches(256)):
                 rough = q @ x.T
-                for i, own in enumerate(q_ids.tolist()):
+                for i, (own, floor) in enumerate(zip(q_ids.tolist(), floors.tolist())):
                     score = np.where(ids == own, -np.inf, rough[i])
-                    least = np.partition(score, -k)[-k] if len(score) > k else -np.inf
+                    least = max(floor, np.partition(score, -k)[-k] if len(score) > k else -np.inf)
                     # near-ties are scored the same way for equal vectors, then ordered by id
                     at = np.flatnonzero((score >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else score > -np.inf) & (score > -np.inf))
                     exact = (x[at] * q[i]).sum(axis=1)
@@ -190,8 +219,26 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                     rows[2].extend(exact[at_best].tolist())
         return pa.table({"query_id": pa.array(rows[0], pa.int64()), "vec_id": pa.array(rows[1], pa.int64()), "score": pa.array(rows[2], pa.float64())})
 
-    keys = ("list", "part", "q_part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def read(asked: DataFrame) -> DataFrame:
+        # a row for each list, and there are at most sample / SAMPLE_PER_LIST lists
+        parts = F.broadcast(
+            stored.groupBy("list").count().select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts")).join(asked.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERY_PART).cast("int").alias("q_parts")), "list")
+        )
+        hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = stored.join(parts, "list").select("list", hashed("parts").alias("part"), spread("q_parts").alias("q_part"), "id", "v")
+        right = asked.join(parts, "list").select("list", spread("parts").alias("part"), hashed("q_parts").alias("q_part"), "id", "v", "floor")
+        keys = ("list", "part", "q_part")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+        return found.where(F.col("rank") <= k)
+
+    lowest = F.lit(float("-inf"))
+    first = materialize(ranked(read(asked.select(F.explode("closest").alias("list"), "id", "v", lowest.alias("floor")))), "closest")
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    others = asked.join(floors, "id", "left").select(F.explode("others").alias("list"), "id", "v", F.coalesce("floor", lowest).alias("floor"))
+    found = first.drop("rank").unionByName(read(others))
+    return ranked(found).select("query_id", "rank", "vec_id", "score")
