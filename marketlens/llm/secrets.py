@@ -2,8 +2,9 @@
 
 Two first-order character models are trained from labelled samples: random strings (digests in hex, base64 and
 upper-case base32) and ordinary identifiers (joined programming words in the usual styles, and words of the corpus).
-A run of 20 or more token characters is a secret if the log-likelihood ratio of the two passes a threshold.
-Runs that touch a pattern's span are left to the pattern.
+A run of 20 or more token characters holds a secret if the log-likelihood ratio of its best segment passes a threshold:
+names, paths and words round a secret take nothing from it.  The span is the whole run.  What a pattern's span covers is left
+to the pattern and ends a run; what is left of the run on either side is scored.
 
 Spans are (kind, start, end) in code points, end exclusive.  Nulls: a null text is empty and has no span.  Repeated rows
 are scanned again; extra columns are kept by ``redact`` and ignored by ``scan``; an empty table gives no rows.
@@ -89,12 +90,16 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def ratio(token: Column, model: list[float]) -> Column:
-    """The log-likelihood ratio of a token: random over ordinary."""
+    """The highest log-likelihood ratio, random over ordinary, of any segment of a token; 0 at least."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(LETTERS), c))
-    start = F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("sum"))
-    step = lambda acc, c: F.struct(c.alias("a"), (acc["sum"] + F.when(c > 0, F.get(table, acc["a"] * len(LETTERS) + c - 1)).otherwise(0.0)).alias("sum"))
-    return F.aggregate(codes, start, step)["sum"]
+    start = F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def step(acc: Column, c: Column) -> Column:
+        run = F.greatest(F.lit(0.0), acc["sum"] + F.when(c > 0, F.get(table, acc["a"] * len(LETTERS) + c - 1)).otherwise(0.0))
+        return F.struct(c.alias("a"), run.alias("sum"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(codes, start, step)["best"]
 
 
 NO_SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -126,13 +131,26 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of sorted spans, so that positions stay."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(acc["at"], s["start"])))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+
+
 def with_spans(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
     """Adds ``base_spans`` and ``all_spans``, each sorted by start and kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(F.concat(*[_matches(text, k) for k in KINDS[:3]]))
-    found = docs.withColumn("base_spans", base).withColumn("markov_spans", _matches(text, "markov", model))
-    apart = F.filter("markov_spans", lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", apart))).drop("markov_spans")
+    found = docs.withColumn("base_spans", base)
+    rest = F.when(F.size("base_spans") > 0, _blanked(text, F.col("base_spans"))).otherwise(text)
+    found = found.withColumn("rest", rest).withColumn("markov_spans", _matches(F.col("rest"), "markov", model))
+    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", "markov_spans"))).drop("rest", "markov_spans")
 
 
 def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from marketlens.llm import neighbours
+from marketlens.llm import neighbours, secrets
 
 
 def test_neighbours_over_hundreds_of_lists(spark, monkeypatch):
@@ -16,3 +16,17 @@ def test_neighbours_over_hundreds_of_lists(spark, monkeypatch):
         score[q] = -np.inf
         want |= {(q, int(i)) for i in np.argsort(-score)[:20]}
     assert len(got) == len(want) and len(got & want) >= 0.98 * len(want)
+
+
+def test_secrets_inside_longer_runs(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    made = ["".join(rng.choice(letters, 20)) for _ in range(10)]
+    names = ("", "storage_connection_key=", "service_account_private_key=", "api/v1/service/account/session/user/profile/")
+    texts = [f"é {n}{s} end" for n in names for s in made]
+    cut = "é " + "q8Zt4Lw0Xv3Rk7Jp2Hn6Bd1Ys5Gf9Mc" + "_password=abcdef and get_user_account_balance_from_remote_server/config/session/user/profile"
+    docs = spark.createDataFrame(list(enumerate([*texts, cut])), "doc_id long, text string")
+    model = secrets.train(secrets.labelled_samples(docs))
+    found = {r.doc_id: r.spans for r in secrets.scan(docs, model).collect()}
+    assert all(found[i] == f"markov:2:{len(t) - 4}" for i, t in enumerate(texts))
+    assert found[len(texts)] == "markov:2:34,assign:34:49"
