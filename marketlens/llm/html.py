@@ -3,7 +3,8 @@
 A page becomes a flat list of text blocks.  Each block has its word count and link density and those of its two
 neighbours, whether it stands in a container that a page uses for other things than its article (menus, footers,
 adverts, forms, comments ...) and whether it stands in the article's own container.  A decision tree, trained on the small
-labelled table below, keeps or drops it.  A block break is any block-level tag; ``br`` is white space.
+labelled table below, keeps or drops it.  A class, id or form that only hints at such a container does not count where it holds
+most of the page's text and no article stands outside it, nor for an article or main element inside.  A block break is any block-level tag; ``br`` is white space.
 
 Nulls: a null html has an empty text; pages without a kept block as well.  Repeated rows are extracted again, extra columns
 are ignored, an empty table gives no rows.  Unclosed tags end with their parents.
@@ -32,6 +33,8 @@ HINTS = re.compile(
     r"search|copyright|legal|disclaimer|skip|hidden|screen-reader)(?:$|[\s_-])|(?:^|\s)(?:site|page)-?header",
     re.I,
 )
+LAYOUT = re.compile(r"(?:^|[\s_-])(?:has|with|without|no)[_-]\S*", re.I)
+WRAPPER_WORDS = 50
 ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -121,28 +124,34 @@ def trained_tree() -> tuple | float:
     return grow_tree(table)
 
 
-def _is_chrome(name: str, attrs: str, in_main: bool) -> bool:
-    if name in CHROME_TAGS or name == "header" and not in_main:
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
-    if re.search(r"\shidden(?:\s|$|=)|display:\s*none", attrs, re.I):
-        return True
+def _chrome(name: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is a container of other things for certain, and whether it has a hint at that."""
+    if attrs and name not in ("html", "body") and re.search(r"\shidden(?:\s|$|=)|display:\s*none", attrs, re.I) and name not in MAIN_TAGS:
+        return True, False
+    if name in CHROME_TAGS and name != "form" or name == "header" and not in_main:
+        return True, False
+    if not attrs or name in ("html", "body"):
+        return False, name == "form"
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
-    return bool(HINTS.search(f"{found.get('class', '')} {found.get('id', '')}") or ROLES.search(found.get("role", "")) or found.get("aria-hidden") == "true")
+    role = found.get("role", "").lower()
+    sure = name not in MAIN_TAGS and (bool(ROLES.search(role)) and role != "form" or found.get("aria-hidden") == "true")
+    named = LAYOUT.sub(" ", found.get("class", "")) + " " + LAYOUT.sub(" ", found.get("id", ""))
+    return sure, name == "form" or role == "form" or bool(HINTS.search(named))
 
 
 def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     """(text, link density, in a container of other things, in the article's container) of each block in page order."""
-    out: list[tuple[str, float, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    out: list[tuple[str, float, bool, frozenset[int], bool]] = []
+    # name, in a sure container, numbers of the hinted ones round it, in the article
+    stack: list[tuple[str, bool, frozenset[int], bool]] = [("", False, frozenset(), False)]
+    hinted = 0
     links, text, linked = 0, [], 0
 
     def flush() -> None:
         nonlocal text, linked
         words = " ".join(entities.unescape("".join(text)).split())
         if words:
-            out.append((words, min(1.0, linked / len(words)), stack[-1][1], stack[-1][2]))
+            out.append((words, min(1.0, linked / len(words)), *stack[-1][1:]))
         text, linked = [], 0
 
     def add(piece: str) -> None:
@@ -180,7 +189,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         if m["close"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == name:
-                    if name == "span" and stack[depth][1] and not stack[depth - 1][1]:
+                    if name == "span" and stack[depth][1:3] != stack[depth - 1][1:3]:
                         flush()
                     del stack[depth:]
                     break
@@ -189,14 +198,28 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         else:
             if name == stack[-1][0] and name in ("p", "li", "td", "th", "tr", "option", "dt", "dd"):
                 stack.pop()
-            _, chrome, main = stack[-1]
-            own = _is_chrome(name, m["attrs"], main)
-            if own and not chrome and name not in BLOCK:
+            _, sure, hints, main = stack[-1]
+            own, hint = _chrome(name, m["attrs"], main)
+            own |= sure
+            inner = hints
+            if name in MAIN_TAGS:
+                # a comment or teaser can be an article as well
+                inner = frozenset() if name == "main" or not hint else hints
+            elif hint:
+                hinted += 1
+                inner = hints | {hinted}
+            if (own, inner) != (sure, hints) and name not in BLOCK:
                 flush()
-            stack.append((name, chrome or own, (main or name in MAIN_TAGS or 'role="main"' in m["attrs"]) if name in BLOCK else main))
+            stack.append((name, own, inner, (main or name in MAIN_TAGS or 'role="main"' in m["attrs"]) if name in BLOCK else main))
     add(page[at:] if "<" not in page[at:] else page[at : page.index("<", at)] if re.match(r"[^<]*<[/!A-Za-z]", page[at:]) else page[at:])
     flush()
-    return out
+    words = [0 if sure else len(t.split()) * (1 - d) for t, d, sure, _, _ in out]
+    layout = set()
+    for k in range(1, hinted + 1):
+        inside = sum(n for n, row in zip(words, out) if k in row[3])
+        if inside >= WRAPPER_WORDS and 2 * inside > sum(words) and not any(row[4] and not row[2] and k not in row[3] for row in out):
+            layout.add(k)
+    return [(t, d, sure or bool(hints - layout), main) for t, d, sure, hints, main in out]
 
 
 def main_text(page: str | None) -> str:

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from marketlens.llm import neighbours, secrets
+from marketlens.llm import html, neighbours, secrets
 
 
 def test_neighbours_over_hundreds_of_lists(spark, monkeypatch):
@@ -30,3 +30,17 @@ def test_secrets_inside_longer_runs(spark):
     found = {r.doc_id: r.spans for r in secrets.scan(docs, model).collect()}
     assert all(found[i] == f"markov:2:{len(t) - 4}" for i, t in enumerate(texts))
     assert found[len(texts)] == "markov:2:34,assign:34:49"
+
+
+def test_main_text_inside_layout_wrappers():
+    body = " ".join(f"word{i}" for i in range(40)) + "."
+    page = f"<nav><a>Home</a></nav>{{}}<h1>Title</h1><p>{body}</p><p>{body}</p>{{}}<footer>Legal</footer>"
+    plain, whole = html.main_text(page.format("", "")), f"Title\n{body}\n{body}"
+    assert body in plain
+    for tag in ('div class="layout has-sidebar"', 'div class="content with-sidebar"', 'div class="post no-comments"', 'div class="widget"', "form action=x"):
+        end = f"</{tag.split()[0]}>"
+        assert html.main_text(page.format(f"<{tag}>", end)) == plain
+        for main in ("article", "main"):
+            assert html.main_text(page.format(f"<{tag}><{main}>", f"</{main}>{end}")) == whole
+    comments = f"<section id=comments><article class=comment><p>{body} {body} {body} {body}</p></article></section>"
+    assert html.main_text(page.format("<article>", "</article>" + comments)) == whole
