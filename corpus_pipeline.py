@@ -24,9 +24,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a copy, edited or not, of a benchmark item."""
-    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Drops the rows that hold a copy, edited or not, of a benchmark item; each row by its own text."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

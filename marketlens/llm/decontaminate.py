@@ -168,7 +168,8 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]
         yield held
 
 
-def _leaks_of(docs: DataFrame, items: list, least: float) -> DataFrame:
+def _rare_seeds(docs: DataFrame, items: list):
+    """The items' seeds, broadcast, with each item's rarer half of n-grams by document counts."""
     spark = docs.sparkSession
     seeds = Seeds(items)
     sent = spark.sparkContext.broadcast(seeds)
@@ -188,7 +189,11 @@ def _leaks_of(docs: DataFrame, items: list, least: float) -> DataFrame:
     for row in docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
         seen[row.gram] = row.n
     seeds.keep_rare(seen)
-    rare = spark.sparkContext.broadcast(seeds)
+    return spark.sparkContext.broadcast(seeds)
+
+
+def _leaks_of(docs: DataFrame, items: list, least: float) -> DataFrame:
+    rare = _rare_seeds(docs, items)
 
     def align(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -210,3 +215,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
     for more in found[1:]:
         out = out.unionByName(more)
     return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose own text aligns with no item; ids, null or repeated, play no part."""
+    at, kept = docs.columns.index("text"), docs
+    for items in _slices(benchmark):
+        rare = _rare_seeds(docs, items)
+
+        def clean(batches: Iterator, rare=rare) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                yield batch.filter(pa.array([not leaks_in(text.as_py(), rare.value, least) for text in batch.column(at)], pa.bool_()))
+
+        kept = materialize(kept.mapInArrow(clean, docs.schema), "clean")
+    return kept

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marketlens.llm import html, neighbours, secrets
@@ -44,3 +45,13 @@ def test_main_text_inside_layout_wrappers():
             assert html.main_text(page.format(f"<{tag}><{main}>", f"</{main}>{end}")) == whole
     comments = f"<section id=comments><article class=comment><p>{body} {body} {body} {body}</p></article></section>"
     assert html.main_text(page.format("<article>", "</article>" + comments)) == whole
+
+
+def test_decontamination_stage_decides_by_row(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = " ".join(f"item{k}" for k in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"a {item} z"), (None, "clean without id"), (5, f"b {item} z"), (5, "clean with the same id"), (6, None), (7, "clean"), (7, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
