@@ -1,20 +1,24 @@
 """Similarity join on word shingles: Jaccard of at least 0.75, through count-vector R-trees.
 
-1. Every text becomes its set of shingle hashes; texts with the same set are one node from here on.
+1. Every text becomes its set of shingle hashes; texts with the same set are one node from here on, named by 64 bits.
 2. Two sets that link must share one of the first ``n - ceil(t n) + 1`` shingles of each in any common order.  Shingles that are
-   frequent in a bounded sample come last in that order, which changes the work and never the result.  The leading
-   shingles are dealt by hash to buckets; documents that share one and whose sizes allow a link form a block.
+   frequent in a sample of a fixed share of the documents come last in that order, which changes the work and never the
+   result.  The leading shingles are dealt by hash to buckets, very frequent ones to several; sets that share one and whose
+   sizes allow a link form a block.  A block over ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles is cut by size into chunks.
 3. In a block each set is a point: its shingles counted by hash group.  An R-tree over the points prunes with the bound
    "overlap <= sum of coordinate minima", on node corners first and on points then; surviving pairs are verified on the whole
-   sets.  A pair that is already connected needs no check.  Blocks over ``BLOCK`` sets become pairs of chunks by size.
-4. In a first round each set meets only those that have the same largest block, which joins families of copies at one
+   sets.  A pair that is already connected needs no check.
+4. In a first round each set meets only those that have the same largest chunk, which joins families of copies at one
    row a set.  Blocks that lie inside one component hold no new link and are left out from then on.  In the others
-   only points travel and the R-tree gives pairs across components: in one round each set's nearest alone, which
-   joins what is left of the families, at last all of them.  Pairs are verified on the whole sets.  Components come from
-   star contraction.
+   only points travel, once for each bundle of blocks with the same least component, and beside them integers say which
+   point is in which chunk.  Every pair across components has a member outside the commonest one of its block: such members
+   alone visit the block's other chunks.  The R-tree gives pairs across components: in one round each set's nearest
+   alone, which joins what is left of the families, at last all of them.  Components come from star contraction.
 
 Nulls: a null or blank text has no shingle and no link; a null doc_id takes part and is never a component's name unless all of its
-members have none.  Repeated rows are copies.  Extra columns are ignored; an empty table gives no rows.
+members have none.  Repeated rows are copies, and so are rows of one doc_id with the same shingles; rows of one doc_id with
+other texts are documents of their own.  Texts of any length are taken whole.  Extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import materialize
+from marketlens.llm.common import materialize, release
 
 NUM, DEN = 75, 100
 WIDTH = 5
@@ -34,12 +38,15 @@ GROUPS = 256
 LEAF = 32
 NEAREST_ROUNDS = 1
 BLOCK = 1500
+BLOCK_SHINGLES = 2_000_000
 BUCKET_ENTRIES = 1_500_000
-SAMPLE_DOCS = 4000
-SAMPLE_OFTEN = 4
-MOST_FREQUENT = 200_000
+SPLIT_ENTRIES = 200_000
+SAMPLE_SHARE = 1 / 16
+SAMPLE_OFTEN = 2
+MOST_FREQUENT = 1_000_000
 CHUNK_BYTES = 1 << 19
 BUNDLE_BYTES = 24 << 20
+BUNDLE_ROWS = 10_000
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
@@ -154,14 +161,11 @@ def least_overlap(a, b):
     return -((-NUM * (a + b)) // (DEN + NUM))
 
 
-def digests_of(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that name each set."""
-    sums = []
-    for x in (hashes, hashes ^ _U(0xA5A5A5A5A5A5A5A5)):
-        run = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(mix(x), out=run[1:])
-        sums.append(run[offsets[1:]] - run[offsets[:-1]])
-    return mix(sums[0] + np.diff(offsets).astype(np.uint64)).view(np.int64), sums[1].view(np.int64)
+def names_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each set."""
+    run = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes), out=run[1:])
+    return mix(run[offsets[1:]] - run[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
 class CountRTree:
@@ -214,32 +218,62 @@ def folded(points: np.ndarray, groups: int) -> np.ndarray:
     return points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.int32)
 
 
-def candidates(points: list[np.ndarray], sizes: np.ndarray, asked: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, positions j that may link with i) for every i that is asked, by default all; i may come more than once.
-
-    Points of each number of groups have a tree; a set asks its own and, at the coarser of both widths, the next on either
-    side, since linked sizes differ by a third at most.
-    """
-    width = np.array([len(p) for p in points])
-    asked = np.ones(len(points), bool) if asked is None else asked
-    blocks = {groups: (own := np.flatnonzero(width == groups), np.stack([points[i] for i in own])) for groups in np.unique(width).tolist()}
-    for groups, (own, block) in blocks.items():
-        for other in (groups // 4, groups, groups * 4):
-            if other not in blocks or not asked[own].any():
-                continue
-            level = min(groups, other)
-            theirs, boxes = blocks[other][0], folded(blocks[other][1], level)
-            mine = own[asked[own]]
-            ask = folded(block[asked[own]], level)
-            if len(theirs) > LEAF:
-                tree = CountRTree(boxes, sizes[theirs])
-                for i, point in zip(mine.tolist(), ask):
-                    yield i, theirs[tree.search(point, int(sizes[i]))]
-                continue
-            for i, point in zip(mine.tolist(), ask):  # one leaf
-                bound = np.minimum(boxes, point).sum(axis=1, dtype=np.int64)
-                fits = (NUM * sizes[theirs] <= DEN * sizes[i]) & (NUM * sizes[i] <= DEN * sizes[theirs])
-                yield i, theirs[fits & (bound >= least_overlap(sizes[i], sizes[theirs]))]
+class Points:
+    """The points of many sets, kept by their number of groups."""
+
+    def __init__(self, counts: list[bytes], sizes: np.ndarray):
+        self.sizes = sizes
+        self.width = np.array([len(c) for c in counts], np.int64)
+        self.row = np.zeros(len(counts), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for groups in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == groups)
+            self.row[own] = np.arange(len(own))
+            self.of[groups] = np.frombuffer(b"".join([counts[i] for i in own.tolist()]), np.uint8).reshape(len(own), groups)
+
+    def at(self, which: np.ndarray, groups: int, level: int) -> np.ndarray:
+        """Points of sets that are counted in ``groups``, folded to ``level``; a count that did not fit bounds nothing."""
+        points = self.of[groups][self.row[which]].astype(np.int32)
+        points[points == 255] = 2**20
+        return folded(points, level)
+
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The most that the sets of each pair can share."""
+        out = np.zeros(len(a), np.int64)
+        kind = self.width[a] * (1 << 32) + self.width[b]
+        for k in np.unique(kind).tolist():
+            pairs, wide, other = np.flatnonzero(kind == k), k >> 32, k & 0xFFFFFFFF
+            level = min(wide, other)
+            step = max(1, (1 << 20) // max(wide, other))
+            for i in range(0, len(pairs), step):
+                own = pairs[i : i + step]
+                out[own] = np.minimum(self.at(a[own], wide, level), self.at(b[own], other, level)).sum(axis=1, dtype=np.int64)
+        return out
+
+    def sized(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs whose sizes allow a link."""
+        return (NUM * self.sizes[a] <= DEN * self.sizes[b]) & (NUM * self.sizes[b] <= DEN * self.sizes[a])
+
+    def near(self, members: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (a, b) of members that may link, each with at least one asked one, by R-trees over the members' points.
+
+        Points of each number of groups have a tree; a set asks its own and, at the coarser of both widths, the next on either
+        side, since linked sizes differ by a third at most.
+        """
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        width = self.width[members]
+        for groups in np.unique(width[asked]).tolist():
+            mine = members[asked & (width == groups)]
+            for other in (groups // 4, groups, groups * 4):
+                theirs = members[width == other]
+                if len(theirs):
+                    level = min(groups, other)
+                    tree = CountRTree(self.at(theirs, other, level), self.sizes[theirs])
+                    for i, point in zip(mine.tolist(), self.at(mine, groups, level)):
+                        found = theirs[tree.search(point, int(self.sizes[i]))]
+                        a.append(np.full(len(found), i))
+                        b.append(found)
+        return np.concatenate(a), np.concatenate(b)
 
 
 def links_in_block(sets: list[np.ndarray], known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -263,21 +297,26 @@ def links_in_block(sets: list[np.ndarray], known: np.ndarray | None = None) -> l
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, number of shingles and the set's two names per document."""
+    """doc_id, the text's hash, the number of shingles and the set's name per document."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for row, hashes, offsets in shingled(batch.column(1)):
-                cols = [pa.array(c, pa.int64()) for c in (np.diff(offsets), *digests_of(hashes, offsets))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(offsets) - 1).cast(pa.int64()), *cols], ["doc_id", "n", "node", "check"])
+            for row, hashes, offsets in shingled(batch.column(2)):
+                cols = [pa.array(c, pa.int64()) for c in (np.diff(offsets), names_of(hashes, offsets))]
+                some = batch.slice(row, len(offsets) - 1)
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), some.column(1), *cols], ["doc_id", "hash", "n", "node"])
+
+    return docs.select("doc_id", _text_hash(), "text").mapInArrow(run, "doc_id long, hash long, n long, node long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, check long")
 
+def _text_hash():
+    return F.xxhash64("text").alias("hash")
 
-def frequent_shingles(docs: DataFrame, rows: int) -> np.ndarray:
-    """Shingles met often in a bounded sample of documents, for the order only."""
+
+def frequent_shingles(docs: DataFrame, share: float = SAMPLE_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, estimated number of documents) of shingles met often in a sample, for the order and the split only."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -286,38 +325,47 @@ def frequent_shingles(docs: DataFrame, rows: int) -> np.ndarray:
             for _, hashes, _ in shingled(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["h"])
 
-    share = min(1.0, SAMPLE_DOCS / max(1, rows))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2**30)) < F.lit(share * 2**30)).select("text").distinct()
+    drawn = docs.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(2**30)) < F.lit(share * 2**30)).select("text").distinct()
     often = drawn.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= SAMPLE_OFTEN)
-    top = often.orderBy(F.col("count").desc(), "h").limit(MOST_FREQUENT).collect()
-    return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
+    top = often.orderBy(F.col("count").desc(), "h").limit(MOST_FREQUENT).toArrow()
+    hashes, count = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy() / share
+    order = np.argsort(hashes)
+    return hashes[order], count[order]
 
 
-def _blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """(block, members): sets that share a leading shingle and whose sizes allow a link, each membership once."""
+def _blocks(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int, split: int = SPLIT_ENTRIES) -> DataFrame:
+    """(block, chunk, m, lo, hi, whole, members): sets that share a leading shingle and whose sizes allow a link, each
+    membership once; ``whole`` if the block has one chunk, lo and hi the sizes in it."""
+    frequent, number = frequent
+    hot = np.flatnonzero(number > split)
+    parts = np.ones(len(frequent) + 1, np.int64)
+    parts[hot] = -(-number[hot] // split).astype(np.int64)
+    hot_tags = np.unique((frequent[hot] >> _U(32)).astype(np.uint32))
 
     def leading(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         seen: set[int] = set()
         for batch in batches:
-            node, size, owner, heads = [], [], [], []
+            node, size, owner, heads, salts = [], [], [], [], []
             for _, hashes, offsets in shingled(batch.column(0)):
                 where = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
                 unusual = frequent[where] != hashes if len(frequent) else np.ones(len(hashes), bool)
-                for name, a, b in zip(digests_of(hashes, offsets)[0].tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                split_in = parts[np.where(unusual, len(frequent), where)]
+                for name, a, b in zip(names_of(hashes, offsets).tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     if b > a and name not in seen:
                         seen.add(name)
-                        s, rare = hashes[a:b], unusual[a:b]
-                        head = np.concatenate([s[rare], s[~rare]])[: len(s) - (-(-NUM * len(s) // DEN)) + 1]
-                        owner.append(np.full(len(head), len(node), np.uint32))
-                        heads.append(head)
+                        rare = unusual[a:b]
+                        order = np.concatenate([np.flatnonzero(rare), np.flatnonzero(~rare)])[: b - a - (-(-NUM * (b - a) // DEN)) + 1] + a
+                        owner.append(np.full(len(order), len(node), np.uint32))
+                        heads.append(hashes[order])
+                        salts.append(np.full(len(order), name) % split_in[order])
                         node.append(name)
-                        size.append(len(s))
+                        size.append(b - a)
             if not node:
                 continue
-            head, owner_ = np.concatenate(heads), np.concatenate(owner)
-            bucket = (head % _U(buckets)).astype(np.int64)
+            head, owner_, salt = np.concatenate(heads), np.concatenate(owner), np.concatenate(salts)
+            bucket = ((head + salt.astype(np.uint64) * _U(7919)) % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             names, sizes = np.array(node, np.int64), np.array(size, np.uint32)
@@ -340,11 +388,12 @@ def _blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 tags.append(np.frombuffer(t.as_py(), np.uint32))
                 names.append(np.frombuffer(nm.as_py(), np.int64)[at])
                 sizes.append(np.frombuffer(sz.as_py(), np.uint32)[at])
+        bucket = group.column("bucket")[0].as_py()
         tag, name, size = np.concatenate(tags), np.concatenate(names), np.concatenate(sizes).astype(np.int64)
+        del tags, names, sizes, group
         order = np.argsort(tag, kind="stable")
         again = np.diff(tag[order], prepend=tag[order[:1]] ^ 1) == 0
-        shared = again | np.append(again[1:], False)
-        own = order[shared]
+        own = order[again | np.append(again[1:], False) | np.isin(tag[order], hot_tags)]
         own = own[np.lexsort((name[own], size[own], tag[own]))]
         tag, name, size = tag[own], name[own], size[own]
         fresh = np.ones(len(tag), bool)
@@ -356,103 +405,138 @@ def _blocks(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         length = np.diff(np.append(starts, len(tag)))
         code = np.append(np.uint64(0), np.cumsum(mix(name.view(np.uint64)), dtype=np.uint64))
         keys = mix(code[starts + length] - code[starts] + length.astype(np.uint64)).view(np.int64)
-        some = np.flatnonzero(length > 1)
-        some = some[np.unique(keys[some], return_index=True)[1]]
-        found: dict[int, np.ndarray] = {}
-        half = BLOCK // 2
-        for key, a, n in zip(keys[some].tolist(), starts[some].tolist(), length[some].tolist()):
-            b = a + n
-            if n <= BLOCK:
-                found[key] = name[a:b]
-                continue
-            # pairs of chunks by size, where sizes allow a link
-            chunks = [(i, min(i + half, b)) for i in range(a, b, half)]
-            for x, (i, j) in enumerate(chunks):
-                for k, m in chunks[x:]:
-                    if NUM * size[k] <= DEN * size[j - 1]:
-                        both = np.concatenate([name[i:j], name[k:m]]) if k > i else name[i:j]
-                        found[int(mix(np.array([mix(both.view(np.uint64)).sum(dtype=np.uint64) + _U(len(both))]))[0].view(np.int64))] = both
-        at = np.concatenate([[0], np.cumsum([len(m) for m in found.values()])]).astype(np.int32)
-        members = np.concatenate([np.zeros(0, np.int64), *found.values()])
-        return pa.table({"block": pa.array(list(found), pa.int64()), "members": pa.ListArray.from_arrays(pa.array(at), pa.array(members))})
-
+        split_ = np.isin(tag[starts], hot_tags) if len(starts) else np.zeros(0, bool)
+        keys[split_] = mix(tag[starts[split_]].astype(np.uint64)).view(np.int64)  # one block over all buckets
+        some = np.flatnonzero((length > 1) & ~split_)
+        some = np.concatenate([some[np.unique(keys[some], return_index=True)[1]], np.flatnonzero(split_)])
+        weight = np.append(0, np.cumsum(size))
+        rows: tuple[list, ...] = ([], [], [], [])
+        for key, a, n, parted in zip(keys[some].tolist(), starts[some].tolist(), length[some].tolist(), split_[some].tolist()):
+            if n <= BLOCK and weight[a + n] - weight[a] <= BLOCK_SHINGLES:
+                ends = [a, a + n]
+            else:
+                run = np.arange(n) // BLOCK + (weight[a + 1 : a + n + 1] - weight[a]) // BLOCK_SHINGLES
+                ends = [a, *(np.flatnonzero(np.diff(run)) + 1 + a).tolist(), a + n]
+            whole = len(ends) == 2 and not parted
+            for i, (x, y) in enumerate(zip(ends, ends[1:])):
+                for c, v in zip(rows, (key, (bucket << 32) + (starts_at(a) if parted else 0) + i, whole, (x, y))):
+                    c.append(v)
+        spans = np.array(rows[3], np.int64).reshape(-1, 2)
+        take = np.repeat(spans[:, 0], spans[:, 1] - spans[:, 0]) + _within(spans[:, 1] - spans[:, 0])
+        at = np.concatenate([[0], np.cumsum(spans[:, 1] - spans[:, 0])]).astype(np.int32)
+        chunk = [0 if w else c for c, w in zip(rows[1], rows[2])]
+        members = pa.ListArray.from_arrays(pa.array(at), pa.array(name[take]))
+        return pa.table({
+            "block": pa.array(rows[0], pa.int64()), "chunk": pa.array(chunk, pa.int64()), "m": pa.array(spans[:, 1] - spans[:, 0]), "lo": pa.array(size[spans[:, 0]]), "hi": pa.array(size[spans[:, 1] - 1]),
+            "whole": pa.array(rows[2], pa.bool_()), "members": members,
+        })
+
+    starts_at = lambda a: a << 8  # noqa: E731  # chunks of a block that is split over buckets have names of their own
     dealt = docs.select("text").mapInArrow(leading, "bucket long, tags binary, at binary, names binary, sizes binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "block long, members array<long>").dropDuplicates(["block"])
+    return dealt.groupBy("bucket").applyInArrow(meet, "block long, chunk long, m long, lo long, hi long, whole boolean, members array<long>").dropDuplicates(["block", "chunk"])
 
 
-def _bundled(rows: DataFrame, weight: int) -> DataFrame:
-    """``rows`` with a column ``bundle``: whole blocks together, about ``BUNDLE_BYTES`` of the ``weight`` in each."""
-    return rows.withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(max(12, -(-weight // BUNDLE_BYTES)))))
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, 2 ... within each run."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _each_block(group, columns: list[str]) -> Iterator[list]:
-    """The columns of one block after the other."""
-    import pyarrow as pa
+def _bundles(weight: int) -> int:
+    return max(12, -(-weight // BUNDLE_BYTES))
+
 
-    group = group.sort_by("block") if isinstance(group, pa.Table) else pa.Table.from_batches([group]).sort_by("block")
-    block = group.column("block").to_numpy()
-    cuts = np.append(np.flatnonzero(np.diff(block, prepend=block[:1] ^ 1)), len(block))
-    held = [group.column(c).combine_chunks() for c in columns]
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        yield [c.slice(a, b - a) for c in held]
+def _runs(*keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers of each run of equal keys."""
+    order = np.lexsort(keys)
+    new = np.zeros(max(0, len(order) - 1), bool)
+    for k in keys:
+        new |= np.diff(k[order]) != 0
+    yield from np.split(order, np.flatnonzero(new) + 1) if len(order) else ()
 
 
 def _verified(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of blocks given as rows (bundle, block, node, label, text)."""
+    """Links (a, b) of chunks given as rows (bundle, block, chunk, node, text)."""
 
     def run(group):
         import pyarrow as pa
 
         a, b = [], []
-        for node, label, text in _each_block(group, ["node", "label", "text"]):
-            node = node.to_numpy()
-            pairs = links_in_block(list(sets_in(text)), label.to_numpy())
-            a += [node[i] for i, _ in pairs]
-            b += [node[j] for _, j in pairs]
+        node, texts = group.column("node").to_numpy(), group.column("text").combine_chunks()
+        for own in _runs(group.column("chunk").to_numpy(), group.column("block").to_numpy()):
+            pairs = links_in_block(list(sets_in(texts.take(pa.array(own)))))
+            a += [node[own[i]] for i, _ in pairs]
+            b += [node[own[j]] for _, j in pairs]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("bundle", "block", "node", "label", "text").groupBy("bundle").applyInArrow(run, "a long, b long")
+    return rows.select("bundle", "block", "chunk", "node", "text").groupBy("bundle").applyInArrow(run, "a long, b long")
 
 
-def _survivors(rows: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) from rows (bundle, block, node, label, size, counts) that the R-tree cannot rule out, across labels.
+def _open_rows(chunks: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(home, block, chunk, node, label, asked) of the blocks with more than one component; ``home`` is the least of them.
 
-    ``nearest`` keeps of each asked node in a block only the pair with the highest bound.
+    Members outside the commonest component are asked, and visit the other chunks of their block where sizes allow a link.
     """
+    rows = chunks.select("block", "chunk", F.explode("members").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by = rows.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
+    state = by.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.min("label").alias("home"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    of_chunk = chunks.select("block", "chunk", "whole").join(state.select("block", "common", "home"), "block")
+    own = rows.join(of_chunk, ["block", "chunk"]).select("home", "block", "chunk", "node", "label", (F.col("label") != F.col("common")).alias("asked"), "whole")
+    visit = own.where("asked and not whole").drop("chunk").join(sizes, "node").join(chunks.where("not whole").select("block", "chunk", "lo", "hi"), "block")
+    visit = visit.where(f"{NUM} * lo <= {DEN} * size and {NUM} * size <= {DEN} * hi")
+    columns = ("home", "block", "chunk", "node", "label", "asked")
+    return own.select(*columns).unionByName(visit.select(*columns)).distinct()
 
-    def run(group):
+
+def _survivors(rows: DataFrame, points: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) across labels that the R-tree cannot rule out, from memberships and points (node, size, counts).
+
+    ``nearest`` keeps of each set only the pair with the highest bound.
+    """
+
+    def run(own, points):
         import pyarrow as pa
 
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for node, label, size, counts in _each_block(group, ["node", "label", "size", "counts"]):
-            node, label, size = node.to_numpy(), label.to_numpy(), size.to_numpy()
-            points = [np.frombuffer(c, np.uint8).astype(np.int32) for c in counts.to_pylist()]
-            for p in points:
-                p[p == 255] = 2**20  # a count that did not fit bounds nothing
-            # a pair across labels has a member outside the commonest one
-            names, at, count = np.unique(label, return_inverse=True, return_counts=True)
-            best: dict[int, tuple[float, int]] = {}
-            for i, near in candidates(points, size, at != int(count.argmax())):
-                near = near[at[near] != at[i]]
-                if not len(near):
-                    continue
-                if nearest:
-                    least = min(len(points[i]), *{len(points[j]) for j in near.tolist()})
-                    own = folded(points[i][None], least)
-                    share = np.minimum(np.concatenate([folded(points[j][None], least) for j in near.tolist()]), own).sum(axis=1, dtype=np.int64) / (size[near] + size[i])
-                    k = int(share.argmax())
-                    best[i] = max(best.get(i, (-1.0, -1)), (float(share[k]), int(near[k])))
-                else:
-                    a.append(np.full(len(near), node[i]))
-                    b.append(node[near])
-            if best:
-                a.append(node[list(best)])
-                b.append(node[[j for _, j in best.values()]])
-        one, two = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return rows.select("bundle", "block", "node", "label", "size", "counts").groupBy("bundle").applyInArrow(run, "a long, b long")
+        if not (own.num_rows and points.num_rows):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        names = points.column("node").to_numpy()
+        order = np.argsort(names)
+        names = names[order]
+        held = Points(points.column("counts").take(pa.array(order)).to_pylist(), points.column("size").to_numpy()[order])
+        at = np.searchsorted(names, own.column("node").to_numpy())
+        label = np.zeros(len(names), np.int64)
+        label[at] = own.column("label").to_numpy()
+        asked = own.column("asked").combine_chunks().to_numpy(zero_copy_only=False)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for run_ in _runs(own.column("chunk").to_numpy(), own.column("block").to_numpy()):
+            if len(run_) <= LEAF:  # one leaf
+                x, y = np.triu_indices(len(run_), 1)
+                left.append(at[run_[x]])
+                right.append(at[run_[y]])
+            else:
+                a, b = held.near(at[run_], asked[run_])
+                other = label[a] != label[b]
+                left.append(a[other])
+                right.append(b[other])
+        a, b = np.concatenate(left), np.concatenate(right)
+        other = (label[a] != label[b]) & held.sized(a, b)
+        low, high = np.minimum(a[other], b[other]), np.maximum(a[other], b[other])
+        a, b = np.divmod(np.unique(low * len(names) + high), len(names))
+        bound = held.bounds(a, b)
+        fits = bound >= least_overlap(held.sizes[a], held.sizes[b])
+        a, b, bound = a[fits], b[fits], bound[fits]
+        if nearest:
+            share = bound / (held.sizes[a] + held.sizes[b])
+            ends, pair = np.concatenate([a, b]), np.concatenate([np.arange(len(a))] * 2)
+            order = np.lexsort((-share[pair], ends))
+            best = np.unique(pair[order][np.unique(ends[order], return_index=True)[1]])
+            a, b = a[best], b[best]
+        one, two = names[a], names[b]
+        return pa.table({"a": pa.array(np.minimum(one, two), pa.int64()), "b": pa.array(np.maximum(one, two), pa.int64())})
+
+    own = rows.select("bundle", "block", "chunk", "node", "label", "asked")
+    sent = own.select(F.col("bundle").alias("to"), F.col("node").alias("of")).distinct()
+    sent = sent.join(points, sent["of"] == points["node"]).select("to", "node", "size", "counts")
+    return own.groupBy("bundle").cogroup(sent.groupBy("to")).applyInArrow(run, "a long, b long")
 
 
 def _verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -494,66 +578,97 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(tops.select("node", F.col("node").alias("label")))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id per document."""
-    nodes = materialize(nodes_of(docs), "nodes")
-    total, rows = nodes.agg(F.sum("n"), F.count(F.lit(1))).first()
-    if not rows:
-        return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    buckets = max(12, -(-int((total or 0) * (DEN - NUM) / DEN) // BUCKET_ENTRIES))
-    blocks = materialize(_blocks(docs, frequent_shingles(docs, rows), buckets), "blocks")
-    members = materialize(blocks.select("block", F.size("members").alias("m"), F.explode("members").alias("node")), "members")
+def sets_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, size, counts, text) of the chosen nodes, by one document for each."""
 
-    # the sets of the documents in blocks, one document for each
-    named = members.select("node").distinct().join(nodes.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-
-    def sets_of(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for row, hashes, offsets in shingled(batch.column(1)):
                 counts = [np.minimum(counts_of(s, groups_for(len(s))), 255).astype(np.uint8).tobytes() for s in np.split(hashes, offsets[1:-1])]
-                cols = [pa.array(digests_of(hashes, offsets)[0]), pa.array(np.diff(offsets)), pa.array(counts, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(counts)), *cols, batch.column(1).slice(row, len(counts))], ["node", "own", "size", "counts", "text"])
+                some = batch.slice(row, len(counts))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(offsets)), pa.array(counts, pa.binary()), some.column(1)], ["node", "size", "counts", "text"])
 
-    texts = docs.select("doc_id", "text").join(named, "doc_id").select("node", "text")
-    sets = texts.mapInArrow(sets_of, "node long, own long, size long, counts binary, text string").where("node = own").select("node", "size", "counts", "text").dropDuplicates(["node"])
-    lone = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("node"), "text").mapInArrow(sets_of, "node long, own long, size long, counts binary, text string")
-    sets = materialize(sets.unionByName(lone.select(F.col("own").alias("node"), "size", "counts", "text")).dropDuplicates(["node"]), "sets")
+    first = nodes.where("n > 0").groupBy("node").agg(F.min(F.struct("hash", "doc_id")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    first = first.join(chosen, "node").select("node", F.col("x.hash").alias("hash"), F.col("x.doc_id").alias("id"))
+    rows = docs.select("doc_id", _text_hash(), "text")
+    texts = rows.join(first, (rows["hash"] == first["hash"]) & rows["doc_id"].eqNullSafe(first["id"])).select("node", "text")
+    sets = texts.mapInArrow(run, "node long, size long, counts binary, text string")
+    # a row that is repeated comes more than once
+    repeated = nodes.where("n > 0").groupBy("doc_id", "hash").count().where("count > 1")
+    return sets if repeated.isEmpty() else sets.dropDuplicates(["node"])
 
-    # every set in one block only: families of copies are joined here at the cost of one row a set
-    pick = members.groupBy("node").agg(F.max(F.struct("m", "block")).alias("best")).select("node", F.col("best.block").alias("block"), F.col("node").alias("label"))
+
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, labels): the stored rows of ``nodes_of`` and the component (node, label) of every node with a link."""
+    nodes = materialize(nodes_of(docs), "nodes")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(12, -(-int(total * (DEN - NUM) / DEN) // BUCKET_ENTRIES))
+    chunks = materialize(_blocks(docs, frequent_shingles(docs), buckets), "chunks")
+    members = chunks.select("block", "chunk", "m", F.explode("members").alias("node"))
+    sets = materialize(sets_of(docs, nodes, members.select("node").distinct()), "sets")
+    held = sets.agg(F.sum(F.length("text")).alias("text"), F.avg(F.length("counts")).alias("point")).first()
+
+    # every set in one chunk only: families of copies are joined here at the cost of one row a set
+    pick = members.groupBy("node").agg(F.max(F.struct("m", "block", "chunk")).alias("best")).select("node", "best.block", "best.chunk")
     pick = materialize(pick, "picks")
-    pick = pick.join(pick.groupBy("block").count().where("count > 1").select("block"), "block")
-    held = members.join(sets.select("node", F.length("counts").alias("w")), "node").agg(F.sum("w")).first()[0]
-    whole = sets.agg(F.sum(F.length("text"))).first()[0]
-    links = materialize(_verified(_bundled(pick, whole or 0).join(sets, "node")), "links")
+    met = pick.join(pick.groupBy("block", "chunk").count().where("count > 1").select("block", "chunk"), ["block", "chunk"])
+    met = met.withColumn("bundle", F.pmod(F.xxhash64("block", "chunk"), F.lit(_bundles(held["text"] or 0))))
+    links = materialize(_verified(met.join(sets.select("node", "text"), "node")), "links")
     labels = materialize(connected_components(links), "labels")
-    points = sets.drop("text")
+    release(pick)
+
+    points, sizes = sets.select("node", "size", "counts"), sets.select("node", "size")
     for last in [False] * NEAREST_ROUNDS + [True]:
-        left = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = left.groupBy("block").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("block")
-        pairs = materialize(_survivors(_bundled(left.join(open_, "block"), held or 0).join(points, "node"), not last).distinct(), "survivors")
+        rows = materialize(_open_rows(chunks, labels, sizes), "rows")
+        # a part of a home has a bounded number of bytes and of memberships
+        weight = max((held["point"] or 0) + 64, BUNDLE_BYTES / BUNDLE_ROWS)
+        homes = rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) * F.lit(weight) / F.lit(BUNDLE_BYTES)).alias("parts")).where("parts > 1")
+        salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("block", "chunk"), F.col("parts"))).otherwise(0)
+        bundled = rows.join(homes, "home", "left").withColumn("bundle", F.pmod(F.xxhash64("home", salt), F.lit(_bundles(int(rows.count() * weight)))))
+        pairs = materialize(_survivors(bundled, points, not last).distinct(), "survivors")
         links = materialize(_verified_pairs(pairs, sets), "links")
         if not links.isEmpty():
             stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
             labels = materialize(connected_components(stars.unionByName(links)), "labels")
+        release(rows, pairs)
+    release(chunks, sets)
+    return nodes, labels
+
+
+def _components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, hash, n_shingles and the component's label of the rows with shingles."""
+    some = nodes.where("n > 0").join(labels, "node", "left")
+    return some.select("doc_id", "hash", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("label"))
+
 
-    least = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = materialize(least, "least")
-    names = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = least.join(names, "label").select("node", "component_id")
-    linked = nodes.where("n > 0").join(known, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id per document."""
+    nodes, labels = labelled(docs)
+    rows = materialize(_components(nodes, labels), "components")
+    # a label's rows meet by partial minima, so a hot component sends one row from each task
+    names = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    linked = rows.join(names, "label").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest id; documents without an id or a word stay."""
-    found = materialize(components(docs), "components")
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    """One row of each component, that with the smallest id, and of such rows that with the least text hash.
+
+    Rows are judged by their own texts: rows that share an id and nothing else stay apart.  Rows without an id take part and
+    stay only where their component has no id at all; rows without a word stay.
+    """
+    nodes, labels = labelled(docs)
+    rows = materialize(_components(nodes, labels), "components")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("x")
+    kept = rows.groupBy("label").agg(best).select(F.col("x.doc_id").alias("id"), F.col("x.hash").alias("hash"))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    same = lambda d: (F.col("_hash") == d["hash"]) & F.col("doc_id").eqNullSafe(d["id"])
+    out = hashed.where(~wordless).join(kept, same(kept), "left_semi")
+    repeated = nodes.where("n > 0").groupBy(F.col("doc_id").alias("id"), "hash").count().where("count > 1").drop("count")
+    if not repeated.isEmpty():
+        again = out.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_hash"])
+        out = out.join(repeated, same(repeated), "left_anti").unionByName(again)
+    return out.select(*docs.columns).unionByName(docs.where(wordless))

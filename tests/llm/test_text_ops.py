@@ -82,7 +82,8 @@ def test_points_bound_overlap():
     sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (900, 1000, 1030, 1100, 4000, 4200)]
     sets += [np.unique(np.concatenate([s[: int(len(s) * 0.9)], rng.integers(0, 2**63, len(s) // 12).astype(np.uint64)])) for s in sets]
     sizes = np.array([len(s) for s in sets])
-    found = {frozenset((i, j)) for i, near in jaccard.candidates([jaccard.counts_of(s, jaccard.groups_for(len(s))) for s in sets], sizes) for j in near.tolist()}
+    held = jaccard.Points([np.minimum(jaccard.counts_of(s, jaccard.groups_for(len(s))), 255).astype(np.uint8).tobytes() for s in sets], sizes)
+    found = {frozenset(pair) for pair in zip(*(x.tolist() for x in held.near(np.arange(len(sets)), np.ones(len(sets), bool))))}
     for i in range(len(sets)):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
