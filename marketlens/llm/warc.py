@@ -7,7 +7,7 @@ header blocks, verifies each payload against its address and joins the two; ``re
 
 Nulls: a null html is an empty payload; a null url leaves out the target header; a null page_id never becomes the record
 that others refer to unless all of a payload's pages have none.  Repeated rows with the smallest id are all responses.
-Extra columns are ignored; empty tables give no records.
+A header block holds a url of any length whole, with line feeds and carriage returns as percent codes; payloads are whole.  Extra columns are ignored; empty tables give no records.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(F.col("page_id"))),
         line("WARC-Date", F.lit(date)),
-        when(F.col("url").isNotNull(), line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", ""))),
+        when(F.col("url").isNotNull(), line("WARC-Target-URI", _one_line(F.coalesce("url", F.lit(""))))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("first_id"))))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -59,8 +59,14 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
     rows.select("address", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
+def _one_line(value: Column) -> Column:
+    """Line ends of a header's value as percent codes."""
+    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def _field(name: str) -> Column:
-    found = F.regexp_extract("header", rf"(?m)^{name}: (.*)$", 1)
+    """The first header of that name; only a line feed ends a line, as ``(?d)`` says."""
+    found = F.regexp_extract("header", rf"(?md)^{name}: ([^\r\n]*)", 1)
     return F.when(found != "", found)
 
 
