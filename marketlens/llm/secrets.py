@@ -7,7 +7,8 @@ names, paths and words round a secret take nothing from it.  The span is the who
 to the pattern and ends a run; what is left of the run on either side is scored.
 
 Spans are (kind, start, end) in code points, end exclusive.  Nulls: a null text is empty and has no span.  Repeated rows
-are scanned again; extra columns are kept by ``redact`` and ignored by ``scan``; an empty table gives no rows.
+are scanned again; extra columns are kept by ``redact``, whatever their names, and ignored by ``scan``; an empty table gives no
+rows.  Texts of any length are scanned whole; where spans of kinds overlap, each is reported and ``redact`` puts one mark.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ SAMPLES = 4000
 CORPUS_DOCS = 2000
 SMOOTHING = 0.5
 LEAST_RATIO = 14.0
+SPAN_BLOCK = 128
 
 
 def _pick(*salt) -> Column:
@@ -64,7 +66,7 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     styles = F.array(F.concat_ws("_", *parts), F.concat_ws("-", *parts[:3]), F.concat(parts[0], *[F.initcap(p) for p in parts[1:]]), F.concat(*[F.initcap(p) for p in parts]), F.upper(F.concat_ws("_", *parts[:3])), F.concat_ws("/", *parts), F.concat(parts[0], F.initcap(parts[1]), number))
     named = ids.select(F.lit(0).alias("label"), F.explode(styles).alias("word"))
     share = min(1.0, CORPUS_DOCS / max(1, docs.count()))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2**30)) < F.lit(share * 2**30)).where(F.length("text") < 20_000)
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2**30)) < F.lit(share * 2**30))
     words = drawn.select(F.lit(0).alias("label"), F.explode(F.split("text", r"[^A-Za-z]+")).alias("word")).where(F.length("word") >= 6)
     return random.unionByName(named).unionByName(words)
 
@@ -115,7 +117,6 @@ def _matches(text: Column, kind: str, model: list[float] | None = None) -> Colum
     if model is not None:
         keep = lambda m: ratio(m, model) >= LEAST_RATIO
     items = F.arrays_zip(between.alias("gap"), F.transform(whole, F.length).alias("n"), F.transform(measured, keep).alias("ok"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -123,7 +124,17 @@ def _matches(text: Column, kind: str, model: list[float] | None = None) -> Colum
         span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["ok"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(items, start, step)["out"]).otherwise(F.array().cast(NO_SPANS))
+    def spans_from(items: Column, at: Column) -> Column:
+        return F.aggregate(items, F.struct(at.cast("int").alias("at"), F.array().cast(NO_SPANS).alias("out")), step)["out"]
+
+    # arrays grow by copying: many matches are gathered in blocks, each from where the blocks before it end
+    block = lambda b: F.slice(items, b * SPAN_BLOCK + 1, SPAN_BLOCK)
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SPAN_BLOCK).cast("int"))
+    reach = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda a, x: a + x["gap"] + F.coalesce(x["n"], F.lit(0))))
+    starts = F.aggregate(reach, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    many = F.flatten(F.transform(blocks, lambda b: spans_from(block(b), F.get(starts, b))))
+    found = F.when(F.size(items) > SPAN_BLOCK, many).otherwise(spans_from(items, F.lit(0)))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(NO_SPANS))
 
 
 def _text_of(spans: Column) -> Column:
@@ -143,14 +154,14 @@ def _blanked(text: Column, spans: Column) -> Column:
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
 
-def with_spans(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
-    """Adds ``base_spans`` and ``all_spans``, each sorted by start and kind."""
+def with_spans(docs: DataFrame, model: list[float], text_col: str = "text", base: str = "base_spans", every: str = "all_spans") -> DataFrame:
+    """Adds two columns, named by ``base`` and ``every``: the spans of the patterns, and all, each sorted by start and kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.array_sort(F.concat(*[_matches(text, k) for k in KINDS[:3]]))
-    found = docs.withColumn("base_spans", base)
-    rest = F.when(F.size("base_spans") > 0, _blanked(text, F.col("base_spans"))).otherwise(text)
-    found = found.withColumn("rest", rest).withColumn("markov_spans", _matches(F.col("rest"), "markov", model))
-    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", "markov_spans"))).drop("rest", "markov_spans")
+    found = docs.withColumn(base, F.array_sort(F.concat(*[_matches(text, k) for k in KINDS[:3]])))
+    rest = F.when(F.size(base) > 0, _blanked(text, F.col(base))).otherwise(text)
+    found = found.withColumn(f"{every}_rest", rest)
+    markov = _matches(F.col(f"{every}_rest"), "markov", model)
+    return found.withColumn(every, F.array_sort(F.concat(F.col(base), markov))).drop(f"{every}_rest")
 
 
 def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
@@ -164,7 +175,8 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
 def redact(docs: DataFrame, model: list[float] | None = None, mark: str = "[REDACTED]", text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans become one mark, other rows stay as they are."""
     model = train(labelled_samples(docs)) if model is None else model
-    found = with_spans(docs, model, text_col)
+    base, every = "_redact_base", "_redact_all"
+    found = with_spans(docs, model, text_col, base, every)
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -172,6 +184,6 @@ def redact(docs: DataFrame, model: list[float] | None = None, mark: str = "[REDA
         piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, piece).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("all_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    done = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     rest = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    return found.withColumn(text_col, F.when(F.size("all_spans") > 0, rest).otherwise(text)).drop("base_spans", "all_spans")
+    return found.withColumn(text_col, F.when(F.size(every) > 0, rest).otherwise(text)).drop(base, every)
