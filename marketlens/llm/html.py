@@ -1,13 +1,15 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page becomes a flat list of text blocks.  Each block has its word count and link density and those of its two
-neighbours, whether it stands in a container that a page uses for other things than its article (menus, footers,
-adverts, forms, comments ...) and whether it stands in the article's own container.  A decision tree, trained on the small
-labelled table below, keeps or drops it.  A class, id or form that only hints at such a container does not count where it holds
-most of the page's text and no article stands outside it, nor for an article or main element inside.  A block break is any block-level tag; ``br`` is white space.
+A page becomes a flat list of text blocks.  Each block has its word count and link density, those of its two neighbours, the
+evidence that its container is there for other things than the article (0 none; 1 a name that can mean either, such as
+``share`` or ``notice``; 2 an element made for that, such as ``nav`` or ``form``, or a plain name, such as ``comments``) and whether it
+stands in an ``article`` or ``main`` element.  A decision tree, trained on the small labelled table below, keeps or drops it.
+A class, id or form that only hints at such a container does not count where it holds most of the page's text and no
+article stands outside it, nor for an article or main element inside.  A block break is any block-level tag; ``br`` is white space.
 
 Nulls: a null html has an empty text; pages without a kept block as well.  Repeated rows are extracted again, extra columns
-are ignored, an empty table gives no rows.  Unclosed tags end with their parents.
+are ignored, an empty table gives no rows.  Unclosed tags end with their parents.  Pages of any length and broken markup are
+read in one pass: a ``<`` without a ``>`` is text, and a tag whose quotes do not match ends at its first ``>``.
 """
 
 from __future__ import annotations
@@ -27,68 +29,87 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template svg math noframes xmp".split())
 CHROME_TAGS = frozenset("nav footer aside form menu dialog select button head search fieldset option".split())
 MAIN_TAGS = frozenset(("article", "main"))
+PLAIN_HINTS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|subscribe|newsletter|nav\w*|menu|breadcrumbs?|pagination|pager|footer|sidebar|"
+    r"related|recommend\w*|trending|social|comments?|disqus|respond|replies)(?:$|[\s_-])|(?:^|\s)(?:site|page)-?header",
+    re.I,
+)
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|subscribe|newsletter|signup|login|nav\w*|menu|"
-    r"breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|sidebar|side|widget|related|recommend\w*|trending|share|sharing|social|comments?|disqus|respond|replies|"
-    r"search|copyright|legal|disclaimer|skip|hidden|screen-reader)(?:$|[\s_-])|(?:^|\s)(?:site|page)-?header",
+    r"(?:^|[\s_-])(?:banner|notice|alert|modal|overlay|signup|login|masthead|topbar|toolbar|side|widget|share|sharing|search|copyright|legal|disclaimer|skip|hidden|screen-reader)(?:$|[\s_-])",
     re.I,
 )
 LAYOUT = re.compile(r"(?:^|[\s_-])(?:has|with|without|no)[_-]\S*", re.I)
 WRAPPER_WORDS = 50
 ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# a tag's parts are taken whole and never given back, so a failed attempt reads a bounded stretch
+TAG = re.compile(r"""<(?P<close>/?)(?P<name>[A-Za-z][^\s/><]{0,63}+)(?P<attrs>(?:[^>"']{1,4096}+|"[^"]{0,4096}+"|'[^']{0,4096}+'){0,300}+)>""")
+LOOSE_TAG = re.compile(r"<(?P<close>/?)(?P<name>[A-Za-z][^\s/><]{0,63}+)(?P<attrs>[^>]*+)>")
+ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 
-# Labelled blocks (fixed values): words, link density, words and density of the block before, of the block after,
-# in a container of other things, in the article's container; last the label.  A star stands for each of NEIGHBOURS.
+# Labelled blocks (fixed values): words, link density, words and density of the block before, of the block after, evidence of
+# another container, in the article's element; last the label.  A star stands for each of NEIGHBOURS.
 NEIGHBOURS = ("0 0.00", "1 1.00", "3 0.00", "12 0.20", "30 0.00", "90 0.00")
 LABELLED = """
+1 1.00  * * 2 0 0
+8 0.30  * * 2 0 0
+25 0.00 * * 2 0 0
+60 0.00 * * 2 0 0
+200 0.00 * * 2 0 0
+1 1.00  * * 2 1 0
+12 0.20 * * 2 1 0
+30 0.00 * * 2 1 0
+250 0.00 * * 2 1 0
 1 1.00  * * 1 0 0
-2 0.00  * * 1 0 0
-8 0.30  * * 1 0 0
-25 0.00 * * 1 0 0
-60 0.00 * * 1 0 0
-200 0.00 * * 1 0 0
-1 1.00  * * 1 1 0
-3 0.00  * * 1 1 0
-12 0.20 * * 1 1 0
-30 0.00 * * 1 1 0
-90 0.05 * * 1 1 0
-250 0.00 * * 1 1 0
+12 0.00 * * 1 0 0
+30 0.05 * * 1 0 0
+90 0.00 * * 1 0 0
+2 0.00  * * 1 1 0
+9 0.30  * * 1 1 0
+16 0.00 * * 1 1 0
+30 0.60 * * 1 1 0
+28 0.00 * * 1 1 1
+60 0.10 * * 1 1 1
+150 0.00 * * 1 1 1
 1 0.00  * * 0 1 1
-2 0.00  * * 0 1 1
 4 0.25  * * 0 1 1
 8 0.00  * * 0 1 1
 15 0.10 * * 0 1 1
 25 0.20 * * 0 1 1
-50 0.00 * * 0 1 1
 70 0.10 * * 0 1 1
-120 0.00 * * 0 1 1
 300 0.02 * * 0 1 1
 12 0.45 30 0.00 30 0.00 0 1 1
 2 1.00 30 0.00  0 0.00 0 1 0
 1 1.00  1 1.00  1 1.00 0 1 0
 4 1.00 45 0.00  4 1.00 0 1 0
-3 0.90 20 0.00  3 1.00 0 1 0
 8 1.00  8 1.00  8 1.00 0 1 0
 6 0.85 60 0.00 12 0.90 0 1 0
 15 0.90 15 0.95 15 1.00 0 1 0
-60 0.00 5 0.00 70 0.00 0 0 1
-45 0.10 60 0.00 60 0.00 0 0 1
-25 0.00 40 0.00 30 0.00 0 0 1
-16 0.05 30 0.00 28 0.00 0 0 1
-30 0.15 2 1.00 44 0.00 0 0 1
+18 0.00 * * 0 0 1
+24 0.05 * * 0 0 1
+45 0.10 * * 0 0 1
+60 0.00 * * 0 0 1
+120 0.20 * * 0 0 1
+25 0.75 * * 0 0 0
+60 0.80 * * 0 0 0
+1 1.00  * * 0 0 0
+10 0.80 * * 0 0 0
 7 0.00  2 0.50 60 0.00 0 0 1
+3 0.00  1 1.00 45 0.00 0 0 1
+1 0.00  0 0.00 30 0.00 0 0 1
 12 0.00 50 0.00 48 0.00 0 0 1
 5 0.00 40 0.00 55 0.00 0 0 1
-1 1.00  1 1.00  1 1.00 0 0 0
-3 1.00 60 0.00  4 1.00 0 0 0
-2 0.60  1 1.00  3 0.80 0 0 0
-10 0.80 4 1.00  5 1.00 0 0 0
+2 0.00 20 0.00  0 0.00 0 0 1
+9 0.00 35 0.00  0 0.00 0 0 1
+6 0.00 28 0.00  1 1.00 0 0 0
+4 0.00 60 0.00  2 1.00 0 0 0
+2 0.00  0 0.00  0 0.00 0 0 1
+9 0.00  0 0.00  0 0.00 0 0 1
 4 0.00  2 1.00  3 1.00 0 0 0
 5 0.00  3 1.00  0 0.00 0 0 0
 6 0.00  2 0.00  2 1.00 0 0 0
-20 0.70 20 0.70 20 0.70 0 0 0
+9 0.00  3 1.00  4 1.00 0 0 0
+3 0.00  0 0.00  2 1.00 0 0 0
+8 0.30  4 0.90  6 0.80 0 0 0
 """
 
 
@@ -124,27 +145,58 @@ def trained_tree() -> tuple | float:
     return grow_tree(table)
 
 
-def _chrome(name: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is a container of other things for certain, and whether it has a hint at that."""
+def _evidence(name: str, attrs: str, in_main: bool) -> tuple[bool, int]:
+    """Whether an element is a container of other things for certain, and how far it hints at that (0 to 2)."""
     if attrs and name not in ("html", "body") and re.search(r"\shidden(?:\s|$|=)|display:\s*none", attrs, re.I) and name not in MAIN_TAGS:
-        return True, False
+        return True, 0
     if name in CHROME_TAGS and name != "form" or name == "header" and not in_main:
-        return True, False
+        return True, 0
     if not attrs or name in ("html", "body"):
-        return False, name == "form"
+        return False, 2 * (name == "form")
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
     role = found.get("role", "").lower()
     sure = name not in MAIN_TAGS and (bool(ROLES.search(role)) and role != "form" or found.get("aria-hidden") == "true")
     named = LAYOUT.sub(" ", found.get("class", "")) + " " + LAYOUT.sub(" ", found.get("id", ""))
-    return sure, name == "form" or role == "form" or bool(HINTS.search(named))
+    return sure, 2 if name == "form" or role == "form" or PLAIN_HINTS.search(named) else int(bool(HINTS.search(named)))
+
+
+def tags(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
+    """(text before, tag name or none, whether it closes, attributes) in one pass; what no ``>`` ends is text."""
+    at = seek = 0
+    last, last_cdata = page.rfind(">"), page.rfind("]]>")
+    while (at_tag := page.find("<", seek)) >= 0:
+        if page.startswith("<!--", at_tag):
+            end = page.find("-->", at_tag + 4)
+            yield page[at:at_tag], None, False, ""
+            at = seek = len(page) if end < 0 else end + 3
+        elif at_tag > last:
+            break
+        elif page.startswith("<![CDATA[", at_tag) and at_tag < last_cdata:
+            end = page.find("]]>", at_tag)
+            yield page[at:at_tag] + page[at_tag + 9 : end].replace("&", "&amp;"), None, False, ""
+            at = seek = end + 3
+        elif page[at_tag + 1 : at_tag + 2] in ("!", "?"):
+            yield page[at:at_tag], None, False, ""
+            at = seek = page.find(">", at_tag) + 1
+        elif m := TAG.match(page, at_tag) or LOOSE_TAG.match(page, at_tag):
+            name = m["name"].lower()
+            yield page[at:at_tag], name, bool(m["close"]), m["attrs"]
+            at = seek = m.end()
+            if name in RAW and not m["close"] and not m["attrs"].endswith("/"):
+                end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+                at = seek = len(page) if end is None else end.start()
+        else:
+            seek = at_tag + 1
+    yield page[at:], None, False, ""
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, link density, in a container of other things, in the article's container) of each block in page order."""
-    out: list[tuple[str, float, bool, frozenset[int], bool]] = []
-    # name, in a sure container, numbers of the hinted ones round it, in the article
-    stack: list[tuple[str, bool, frozenset[int], bool]] = [("", False, frozenset(), False)]
-    hinted = 0
+def blocks(page: str) -> list[tuple[str, float, int, bool]]:
+    """(text, link density, evidence of another container, in the article's element) of each block in page order."""
+    out: list[tuple[str, float, bool, int, bool]] = []
+    # name, in a sure container, number of the innermost hinted one, in the article
+    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+    opened: dict[str, int] = {}
+    parent, level = [0], [0]
     links, text, linked = 0, [], 0
 
     def flush() -> None:
@@ -154,81 +206,82 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             out.append((words, min(1.0, linked / len(words)), *stack[-1][1:]))
         text, linked = [], 0
 
-    def add(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            text.append(piece)
+    def pop(depth: int) -> None:
+        for entry in stack[depth:]:
+            opened[entry[0]] -= 1
+        del stack[depth:]
+
+    for before, name, close, attrs in tags(page):
+        if before:
+            text.append(before)
             if links:
-                linked += len(" ".join(entities.unescape(piece).split()))
-
-    at = 0
-    while m := TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if m["name"] is None:
-            if m["cdata"]:
-                add(m["cdata"].replace("&", "&amp;"))
+                linked += len(" ".join(entities.unescape(before).split()))
+        if name is None:
             continue
-        name = m["name"].lower()
-        if not m["close"] and name in RAW and not m["attrs"].endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-            at = len(page) if end is None else end.start()
+        if not close and name in RAW and not attrs.endswith("/"):
             if name in BLOCK:
                 flush()
             continue
         if name == "a":
-            links = max(0, links + (-1 if m["close"] else 1))
+            links = max(0, links + (-1 if close else 1))
         elif name == "br":
             text.append(" ")
         if name not in BLOCK and name not in ("span", "ins", "label"):
             continue
         if name in BLOCK:
             flush()
-        if name in VOID or m["attrs"].endswith("/"):
+        if name in VOID or attrs.endswith("/"):
             continue
-        if m["close"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    if name == "span" and stack[depth][1:3] != stack[depth - 1][1:3]:
-                        flush()
-                    del stack[depth:]
-                    break
+        if close:
+            if opened.get(name):
+                depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
+                if name == "span" and stack[depth][1:3] != stack[depth - 1][1:3]:
+                    flush()
+                pop(depth)
             if name in BLOCK:
                 links = 0
         else:
             if name == stack[-1][0] and name in ("p", "li", "td", "th", "tr", "option", "dt", "dd"):
-                stack.pop()
+                pop(len(stack) - 1)
             _, sure, hints, main = stack[-1]
-            own, hint = _chrome(name, m["attrs"], main)
+            own, hint = _evidence(name, attrs, main)
             own |= sure
             inner = hints
             if name in MAIN_TAGS:
                 # a comment or teaser can be an article as well
-                inner = frozenset() if name == "main" or not hint else hints
+                inner = 0 if name == "main" or not hint else hints
             elif hint:
-                hinted += 1
-                inner = hints | {hinted}
+                parent.append(hints)
+                level.append(hint)
+                inner = len(parent) - 1
             if (own, inner) != (sure, hints) and name not in BLOCK:
                 flush()
-            stack.append((name, own, inner, (main or name in MAIN_TAGS or 'role="main"' in m["attrs"]) if name in BLOCK else main))
-    add(page[at:] if "<" not in page[at:] else page[at : page.index("<", at)] if re.match(r"[^<]*<[/!A-Za-z]", page[at:]) else page[at:])
+            opened[name] = opened.get(name, 0) + 1
+            stack.append((name, own, inner, (main or name in MAIN_TAGS or 'role="main"' in attrs) if name in BLOCK else main))
     flush()
-    words = [0 if sure else len(t.split()) * (1 - d) for t, d, sure, _, _ in out]
-    layout = set()
-    for k in range(1, hinted + 1):
-        inside = sum(n for n, row in zip(words, out) if k in row[3])
-        if inside >= WRAPPER_WORDS and 2 * inside > sum(words) and not any(row[4] and not row[2] and k not in row[3] for row in out):
-            layout.add(k)
-    return [(t, d, sure or bool(hints - layout), main) for t, d, sure, hints, main in out]
+    # words and article blocks inside each hinted container
+    inside, article = [0.0] * len(parent), [0] * len(parent)
+    for t, d, sure, k, main in out:
+        inside[k] += 0 if sure else len(t.split()) * (1 - d)
+        article[k] += main and not sure
+    words, articles = sum(inside), sum(article)
+    for k in range(len(parent) - 1, 0, -1):
+        inside[parent[k]] += inside[k] if parent[k] else 0
+        article[parent[k]] += article[k] if parent[k] else 0
+    worst = [0] * len(parent)
+    for k in range(1, len(parent)):
+        layout = inside[k] >= WRAPPER_WORDS and 2 * inside[k] > words and article[k] == articles
+        worst[k] = max(worst[parent[k]], 0 if layout else level[k])
+    return [(t, d, 2 if sure else worst[k], main) for t, d, sure, k, main in out]
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     sizes = [(float(len(t.split())), d) for t, d, _, _ in found]
     kept, tree = [], trained_tree()
-    for i, (text, _, chrome, main) in enumerate(found):
+    for i, (text, _, other, main) in enumerate(found):
         before, after = sizes[i - 1] if i else (0.0, 0.0), sizes[i + 1] if i + 1 < len(sizes) else (0.0, 0.0)
-        x = (*sizes[i], *before, *after, float(chrome), float(main))
+        x = (*sizes[i], *before, *after, float(other), float(main))
         node = tree
         while isinstance(node, tuple):
             node = node[2] if x[node[0]] <= node[1] else node[3]
