@@ -10,7 +10,8 @@ The closest lists come first; the others return only what is no worse than the l
 Lists and their queries are split into parts of bounded size.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null
-ids.  Repeated rows count once.  Extra columns are ignored; empty tables give no rows.
+ids.  Repeated rows count once; of one id's different vectors the least in order counts.  Equal scores go by the smaller id.
+The sample that places the centroids and the ratio has about ``SAMPLE`` vectors; every vector is stored.  Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     rows = rows.where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
-    return rows.dropDuplicates(["id"])
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
 def balanced_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
