@@ -1,14 +1,16 @@
 """Document quality: random Fourier features of text statistics, ridge regression, isotonic calibration.
 
-One pass over the whole texts gives each document a short vector of statistics.  Cosines of random projections of the
-standardised vector approximate a Gaussian kernel; every partition of the training rows sums its normal
+Each whole text gives a short vector of statistics.  Cosines of random projections of the standardised vector approximate a
+Gaussian kernel, and stand beside the statistics themselves and a constant; every partition of the training rows sums its normal
 equations, the sums are added, and ridge weights come from one small solve.  Out-of-fold scores, binned on a fine grid,
 are made monotone by pooling adjacent violators, which turns scores into shares of good documents.
 
-At most about ``TRAIN_ROWS`` labelled rows, drawn by hash, are used to fit; every document is scored.
+At most about ``TRAIN_ROWS`` labelled rows, drawn by hash, are used to fit, in one pass over their documents alone; a second
+pass scores every document.
 
 Nulls: a null text is empty, and empty texts are scored like any other; label rows with a null id or label are
-left out; of repeated label rows the smaller label counts.  Extra columns are ignored; without any label the score is 0.5.
+left out; of repeated label rows the smaller label counts, and of one id's different texts that with the least hash.  Equal
+texts have equal scores.  Texts of any length are read whole.  Extra columns are ignored; without any label the score is 0.5.
 """
 
 from __future__ import annotations
@@ -55,17 +57,8 @@ def statistics(text: str | None) -> list[float]:
     return [float(x) for x in out] + [min(2.0, float(seen[ord(m)]) / w) for m in MARKS]
 
 
-def statistics_of(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = [statistics(t.as_py()) for t in batch.column(1)]
-            flat = np.asarray(rows, np.float32).reshape(-1)
-            offsets = pa.array(np.arange(0, len(flat) + 1, STATISTICS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "x"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<float>")
+def _rows_of(texts) -> np.ndarray:
+    return np.asarray([statistics(t.as_py()) for t in texts], np.float32).astype(np.float64).reshape(-1, STATISTICS)
 
 
 def _matrix(column) -> np.ndarray:
@@ -94,114 +87,35 @@ class Model:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.lift(x) @ self.weights
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.interp(self.raw(x), self.at, self.to), 0.0, 1.0)
-
+    def _fitted(docs: DataFrame, labels: DataFrame, held_out: int) -> Model:
+    """Labels (doc_id, quality) of the held-out remainder are never read by the fit."""
+    return fit(docs, labels.where(fold_of(F.col("doc_id")) != held_out).select("doc_id", F.col("quality").alias("label")))
 
-def pool_adjacent_violators(value: list[float], weight: list[float]) -> list[float]:
-    """The nearest non-decreasing sequence by weighted squares."""
-    blocks: list[list[float]] = []
-    for v, w in zip(value, weight):
-        blocks.append([v, w, 1])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v2, w2, n2 = blocks.pop()
-            v1, w1, n1 = blocks[-1]
-            blocks[-1] = [(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2]
-    return [v for v, _, n in blocks for _ in range(int(n))]
-
-
-def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, parts: int = 12) -> Model:
-    """Fit on labelled rows (doc_id, label) drawn by hash; stats is the stored table of document statistics."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.min("label").cast("double").alias("y"))
-    share = min(1.0, train_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2**30)) < F.lit(share * 2**30))
-    once = stats.dropDuplicates(["doc_id"])
-    train = once.join(known, "doc_id").select((fold_of(F.col("doc_id")) % 3).cast("long").alias("fold"), "x", "y").repartition(parts)
-    train = materialize(train, "quality-train")
-
-    def sums(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        total = np.zeros(2 * STATISTICS + 1)
-        for batch in batches:
-            x = _matrix(batch.column(1))
-            total += np.concatenate([x.sum(axis=0), (x * x).sum(axis=0), [len(x)]])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
-
-    total = sum((np.frombuffer(r.s) for r in train.mapInArrow(sums, "s binary").collect()), np.zeros(2 * STATISTICS + 1))
-    n = total[-1]
-    if not n:
-        return Model(np.zeros(STATISTICS), np.ones(STATISTICS))
-    mean = total[:STATISTICS] / n
-    model = Model(mean, np.sqrt(np.maximum(total[STATISTICS:-1] / n - mean**2, 1e-8)))
-    width = len(model.weights)
-
-    def normal_equations(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        gram = np.zeros((3, width, width + 1))
-        for batch in batches:
-            fold, z, y = batch.column(0).to_numpy(), model.lift(_matrix(batch.column(1))), batch.column(2).to_numpy()
-            for k in range(3):
-                own = z[fold == k]
-                gram[k] += own.T @ np.hstack([own, y[fold == k][:, None]])
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int64()), pa.array([g.tobytes() for g in gram], pa.binary())], ["fold", "g"])
-
-    # one matrix of a fixed size for each of the few training partitions and each fold
-    gram = np.zeros((3, width, width + 1))
-    for row in train.mapInArrow(normal_equations, "fold long, g binary").toLocalIterator():
-        gram[row.fold] += np.frombuffer(row.g).reshape(width, width + 1)
-    solve = lambda g: np.linalg.solve(g[:, :-1] + (RIDGE * n + 1e-6) * np.eye(width), g[:, -1])
-    whole = gram.sum(axis=0)
-    apart = [solve(whole - g) for g in gram]
-    model.weights = solve(whole)
-
-    def bins(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            fold, z, y = batch.column(0).to_numpy(), model.lift(_matrix(batch.column(1))), batch.column(2).to_numpy()
-            raw = np.choose(fold, [z @ a for a in apart])
-            bin_ = np.clip(np.floor((raw + 1) * GRID), 0, 3 * GRID).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bin_), pa.array(y)], ["bin", "y"])
-
-    seen = train.mapInArrow(bins, "bin long, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
-    level = pool_adjacent_violators([r.y for r in seen], [r.n for r in seen])
-    model.at = np.array([(r.bin + 0.5) / GRID - 1 for r in seen])
-    model.to = np.array(level)
-    return model
 
+def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    model = _fitted(docs, labels, held_out)
 
-def score(stats: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            s = model.score(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
-
-    return stats.mapInArrow(run, "doc_id long, score double, predicted int")
+            s = model.score(_rows_of(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-
-def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted; labels (doc_id, quality) of the held-out remainder are never read by the fit."""
-    stats = materialize(statistics_of(docs), "quality-stats")
-    usable = labels.where(fold_of(F.col("doc_id")) != held_out).select("doc_id", F.col("quality").alias("label"))
-    out = score(stats, fit(stats, usable), threshold)
+    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score at least ``threshold``; statistics are taken again as rows stream by, so no text is shuffled."""
-    stats = materialize(statistics_of(docs), "quality-stats")
-    model = fit(stats, labels.where(fold_of(F.col("doc_id")) != held_out).select("doc_id", F.col("quality").alias("label")))
+    """The documents that score at least ``threshold``, decided as the rows stream by, so no text is shuffled."""
+    model = _fitted(docs, labels, held_out)
     at = docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            x = np.asarray([statistics(t.as_py()) for t in batch.column(at)], np.float32).astype(np.float64).reshape(-1, STATISTICS)
-            yield batch.filter(pa.array(model.score(x) >= threshold)) if len(x) else batch
+            yield batch.filter(pa.array(model.score(_rows_of(batch.column(at))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
