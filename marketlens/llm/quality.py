@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.common import materialize
 
-TRAIN_ROWS = 200_000
+TRAIN_ROWS = 50_000
 FOURIER = 192
 RIDGE = 1e-3
 THRESHOLD = 0.7
@@ -87,7 +87,97 @@ class Model:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.lift(x) @ self.weights
 
-    def _fitted(docs: DataFrame, labels: DataFrame, held_out: int) -> Model:
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.interp(self.raw(x), self.at, self.to), 0.0, 1.0)
+
+
+def pool_adjacent_violators(value: list[float], weight: list[float]) -> list[float]:
+    """The nearest non-decreasing sequence by weighted squares."""
+    blocks: list[list[float]] = []
+    for v, w in zip(value, weight):
+        blocks.append([v, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            v2, w2, n2 = blocks.pop()
+            v1, w1, n1 = blocks[-1]
+            blocks[-1] = [(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2]
+    return [v for v, _, n in blocks for _ in range(int(n))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, parts: int = 12) -> Model:
+    """Fit on labelled rows (doc_id, label) drawn by hash, about ``train_rows`` of them at most."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.min("label").cast("double").alias("y"))
+    share = min(1.0, train_rows / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2**30)) < F.lit(share * 2**30))
+
+    def describe(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            flat = _rows_of(batch.column(3)).astype(np.float32).ravel()
+            x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, STATISTICS, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], x], ["doc_id", "hash", "y", "x"])
+
+    # the drawn labels are a bounded table of two numbers a row, so they may be broadcast
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "hash", "y", "text")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(describe, "doc_id long, hash long, y double, x array<float>")
+    once = rows.groupBy("doc_id", "y").agg(F.min_by("x", "hash").alias("x"))
+    train = once.select((fold_of(F.col("doc_id")) % 3).cast("long").alias("fold"), "x", "y").repartition(parts)
+    train = materialize(train, "quality-train")
+
+    def sums(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(2 * STATISTICS + 1)
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            total += np.concatenate([x.sum(axis=0), (x * x).sum(axis=0), [len(x)]])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+    total = sum((np.frombuffer(r.s) for r in train.mapInArrow(sums, "s binary").collect()), np.zeros(2 * STATISTICS + 1))
+    n = total[-1]
+    if not n:
+        return Model(np.zeros(STATISTICS), np.ones(STATISTICS))
+    mean = total[:STATISTICS] / n
+    model = Model(mean, np.sqrt(np.maximum(total[STATISTICS:-1] / n - mean**2, 1e-8)))
+    width = len(model.weights)
+
+    def normal_equations(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        gram = np.zeros((3, width, width + 1))
+        for batch in batches:
+            fold, z, y = batch.column(0).to_numpy(), model.lift(_matrix(batch.column(1))), batch.column(2).to_numpy()
+            for k in range(3):
+                own = z[fold == k]
+                gram[k] += own.T @ np.hstack([own, y[fold == k][:, None]])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int64()), pa.array([g.tobytes() for g in gram], pa.binary())], ["fold", "g"])
+
+    # one matrix of a fixed size for each of the few training partitions and each fold
+    gram = np.zeros((3, width, width + 1))
+    for row in train.mapInArrow(normal_equations, "fold long, g binary").toLocalIterator():
+        gram[row.fold] += np.frombuffer(row.g).reshape(width, width + 1)
+    solve = lambda g: np.linalg.solve(g[:, :-1] + (RIDGE * n + 1e-6) * np.eye(width), g[:, -1])
+    whole = gram.sum(axis=0)
+    apart = [solve(whole - g) for g in gram]
+    model.weights = solve(whole)
+
+    def bins(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            fold, z, y = batch.column(0).to_numpy(), model.lift(_matrix(batch.column(1))), batch.column(2).to_numpy()
+            raw = np.choose(fold, [z @ a for a in apart])
+            bin_ = np.clip(np.floor((raw + 1) * GRID), 0, 3 * GRID).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bin_), pa.array(y)], ["bin", "y"])
+
+    seen = train.mapInArrow(bins, "bin long, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
+    level = pool_adjacent_violators([r.y for r in seen], [r.n for r in seen])
+    model.at = np.array([(r.bin + 0.5) / GRID - 1 for r in seen])
+    model.to = np.array(level)
+    return model
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, held_out: int) -> Model:
     """Labels (doc_id, quality) of the held-out remainder are never read by the fit."""
     return fit(docs, labels.where(fold_of(F.col("doc_id")) != held_out).select("doc_id", F.col("quality").alias("label")))
 
