@@ -2,11 +2,12 @@
 
 Overlong documents are first cut into full windows; what is left of each document is packed, longest first,
 into the open window with the least room that still holds it.  A segment tree indexed by remaining capacity
-finds that window.  Pieces are dealt by hash into groups of bounded size, each packed by one task, so that no
-task sees more than a fixed number of pieces; the last windows of the groups are the only loose ones.
+finds that window.  Pieces are dealt by the hash of their number in the stored table into groups of bounded size, each packed
+by one task, whatever ids repeat; the last windows of the groups are the only loose ones.
 
 Nulls: a null text is empty and packs as its end id alone; a null id is kept.  Rows that repeat are packed as often
-as they come.  Extra columns are ignored.  Empty tables give no rows.
+as they come.  Ties of length are packed by id, start and number.  Texts of any length are encoded whole, one at a time where
+they are long.  Extra columns are ignored.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,19 +80,24 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, cut: str, end_id: int, w
 
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        made = TaskContext.get().partitionId() << 36
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            encoded = encoder(tokenizer_path, cut).encode(batch.column(1).to_pylist(), end_id)
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded):
-                view, n = memoryview(ids), len(ids) // 4
-                for start in range(0, n, window):
-                    part = view[4 * start : 4 * (start + window)]
-                    for c, v in zip(cols, (doc, start, len(part) // 4, zlib.crc32(part), n)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECE_SCHEMA)
+            for row, ids, offsets in encoder(tokenizer_path, cut).encode(batch.column(1), end_id):
+                size = np.diff(offsets)
+                parts = -(-size // window)
+                doc = np.repeat(np.arange(len(size)), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * window
+                length = np.minimum(window, size[doc] - start)
+                view, at = memoryview(ids).cast("B"), (offsets[doc] + start) * 4
+                crcs = [zlib.crc32(view[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+                cols = [start, length, np.array(crcs, np.int64), size[doc], made + np.arange(len(doc))]
+                made += len(doc)
+                ids_of = batch.column(0).cast(pa.int64()).take(pa.array(row + doc))
+                yield pa.RecordBatch.from_arrays([ids_of, *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece"])
+
+    return docs.select("doc_id", "text").mapInArrow(pieces, PIECE_SCHEMA + ", piece long")
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, per_group: int = PIECES_PER_GROUP) -> DataFrame:
@@ -101,13 +108,13 @@ def pack(pieces: DataFrame, window: int = WINDOW, per_group: int = PIECES_PER_GR
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        group = group.take(pc.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("start", "ascending")]))
+        group = group.take(pc.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("start", "ascending"), ("piece", "ascending")]))
         where, offset = best_fit_decreasing(group.column("length").to_pylist(), window)
         first = group.column("grp")[0].as_py() << 32
-        group = group.drop_columns(["grp"])
+        group = group.drop_columns(["grp", "piece"])
         return group.append_column("sequence_id", pa.array([first + w for w in where], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("piece"), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(pack_group, PIECE_SCHEMA + ", sequence_id long, offset long")
 
 

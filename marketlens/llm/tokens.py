@@ -1,8 +1,10 @@
 """Token ids of whole texts, computed inside Arrow batches.
 
-A pre-tokenizer never joins characters across the white space it cuts at, so a text's ids are the ids of
-its chunks put one after another.  Every distinct chunk is encoded once per worker by the tokenizers library
-and kept as little-endian bytes; a text is then one join of cached bytes.
+A pre-tokenizer never joins characters across the white space it cuts at, nor a letter or digit and the marks that end its
+word, so a text's ids are the ids of its chunks put one after another.  Arrays find the chunks of many texts in their UTF-8
+bytes, Arrow's dictionary names each distinct one, the tokenizers library encodes those not met before by this worker, and
+arrays again put the ids together.  Special tokens' strings in a text are ordinary text, as the files' own description asks
+(``encode_special_tokens``).
 """
 
 from __future__ import annotations
@@ -10,36 +12,164 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import partial
-from itertools import compress, islice
-from operator import is_
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 
-# White space of the Unicode property, as the tokenizers' patterns see it (fixed values).
-_WS = "\t-\r \x85\xa0  -     　"
-CHUNKS = {
-    # white space is dropped between words
-    "word": re.compile(f"[^{_WS}]+").findall,
-    # one space belongs to the word after it; other runs of white space are chunks of their own
-    "byte": re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall,
-}
-# the same in a text without the separators that Python alone takes for white space
-SEPARATORS = re.compile("[\x1c-\x1f]").search
-SIMPLE = {"word": str.split, "byte": re.compile(r" ?\S+|\s+(?!\S)|\s+").findall}
-CACHE_ENTRIES = 1_000_000
+# ASCII white space, the other white space of the Unicode property in UTF-8, and ASCII marks that end a run of
+# letters or digits and never start a contraction by themselves.
+SPACES = b"\t\n\x0b\x0c\r "
+WIDE_SPACES = "\x85\xa0                　"
+TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+# letters that composition leaves alone and whose lower case does not depend on their neighbours
+PLAIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-į]+").fullmatch
+CACHE_ENTRIES = 600_000
 LONGEST_CACHED = 64
-TEXTS_AT_ONCE = 64
+SLICE_BYTES = 4 << 20
 JOINED = 2048
-# ASCII marks that end a run of letters or digits and never start a contraction by themselves
-TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-# letters that composition leaves alone and whose lower case does not depend on their neighbours
-PLAIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f]+").fullmatch
 PLAIN_JOINED = 512
-absent = partial(is_, None)
 
+_CODES = np.arange(256)
+_IS_SPACE = np.isin(_CODES, list(SPACES))
+_IS_TAIL = np.isin(_CODES, list(TAIL))
+_IS_WORD = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+_IS_UPPER = (_CODES >= 65) & (_CODES <= 90)
+_LEADS = np.isin(_CODES, sorted({c.encode()[0] for c in WIDE_SPACES}))
+_WIDE = np.array([int.from_bytes(c.encode().ljust(3, b"\0"), "big") for c in WIDE_SPACES])
+
+
+def _spaces(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    out = _IS_SPACE[raw]
+    at = np.flatnonzero(_LEADS[raw])
+    if len(at):
+        pad = np.append(raw, np.zeros(2, np.uint8)).astype(np.int64)
+        two = raw[at] == 0xC2
+        code = (pad[at] << 16) + (pad[at + 1] << 8) + np.where(two, 0, pad[at + 2])
+        found = np.isin(code, _WIDE)
+        for k in (0, 1, 2):
+            out[at[found & ~(two & (k == 2))] + k] = True
+    return out
+
+
+def chunks_of(raw: np.ndarray, offsets: np.ndarray, cut: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start of each chunk in them and their end, first chunk of each text and the end) of texts lying in ``raw``.
+
+    ``cut`` names how the pre-tokenizer treats white space: ``word`` drops it; for ``byte`` one space belongs to the word
+    after it, and the rest of a run is a chunk of its own, without the run's last character if a word follows.
+    """
+    n = len(raw)
+    space = _spaces(raw)
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    solid = ~space
+    start, end = solid.copy(), np.zeros(n + 1, bool)
+    start[1:] &= space[:-1] | begins[1:-1]
+    end[1:] = solid
+    end[1:-1] &= space[1:] | begins[1:-1]
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end)
+    first = np.zeros(n + 1, bool)
+    first[starts] = True
+    # marks that end a word
+    other = np.maximum.accumulate(np.where(_IS_TAIL[raw], -1, np.arange(n))) if n else np.zeros(0, np.int64)
+    tail = other[ends - 1] + 1
+    tail = tail[(tail > starts) & (tail < ends)]
+    first[tail[_IS_WORD[raw[tail - 1]]]] = True
+    if cut == "word":
+        low = np.append(raw[1:] < 0x80, True) & _IS_UPPER[raw]
+        data = np.where(low, raw + 32, raw)[solid] if n else raw
+        at = np.flatnonzero(first[:-1])
+        place = (np.cumsum(solid) - 1)[at] if n else at
+        return data, np.append(place, len(data)), np.searchsorted(at, offsets)
+    after = starts[~begins[starts]]
+    before = raw[after - 1]
+    wide = before >= 0x80
+    back = np.where(wide, np.where(raw[after - 2] == 0xC2, 2, 3), 1)
+    first[after[before == 32]] = False
+    first[after - back] = True
+    first[ends] = True
+    first[offsets[:-1]] = True
+    first[n] = False
+    at = np.flatnonzero(first[:-1])
+    return raw, np.append(at, n), np.searchsorted(at, offsets)
+
+
+class ChunkTable:
+    """Numbers for texts, chunk by chunk: each distinct chunk is looked up in a table that ``_learn`` fills."""
+
+    def __init__(self, cut: str):
+        self.cut = cut
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.end: dict[int, int] = {}
+        self.ids, self.held = np.zeros(1 << 20, np.uint32), 0
+        self.first, self.count, self.entries = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
 
-class ChunkEncoder:
+    def _learn(self, chunks: list[str]) -> np.ndarray:
+        """Store the numbers of new chunks and return their entries."""
+        raise NotImplementedError
+
+    def _store(self, ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Keep the ids of a run of chunks; ``ends`` are their ends, with ``gap`` ids between two."""
+        size = len(ids)
+        while self.held + size > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        while self.entries + len(ends) > len(self.first):
+            self.first, self.count = np.append(self.first, np.zeros_like(self.first)), np.append(self.count, np.zeros_like(self.count))
+        begins = np.append(0, ends[:-1] + gap)
+        self.ids[self.held : self.held + size] = ids
+        self.first[self.entries : self.entries + len(ends)] = begins + self.held
+        self.count[self.entries : self.entries + len(ends)] = ends - begins
+        self.held, self.entries = self.held + size, self.entries + len(ends)
+
+    def _encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow as pa
+
+        if self.entries > CACHE_ENTRIES:
+            self._forget()
+        data, starts, of_text = chunks_of(raw, offsets, self.cut)
+        texts = len(offsets) - 1
+        words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        entry = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            entry[new] = self._learn([distinct[i] for i in new.tolist()])
+        if end_id is not None and end_id not in self.end:
+            self.end[end_id] = self.entries
+            self._store(np.array([end_id], np.uint32), np.array([1]), 0)
+        chunk = entry[words.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+        after = of_text if end_id is None else np.append(0, of_text[1:] + np.arange(1, texts + 1))
+        chunk = chunk if end_id is None else np.insert(chunk, of_text[1:], self.end[end_id])
+        count = self.count[chunk]
+        upto = np.append(0, np.cumsum(count))
+        kind = np.int32 if upto[-1] + self.held < 2**31 else np.int64
+        at = np.repeat((self.first[chunk] - upto[:-1]).astype(kind), count)
+        at += np.arange(upto[-1], dtype=kind)
+        return self.ids[at], upto[after]
+
+    def encode(self, column, end_id: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, offsets) for runs of rows of an Arrow column of texts: each text's ids and then ``end_id``, if any.
+
+        A null text is empty; a run has about ``SLICE_BYTES`` of text, or one text.
+        """
+        import pyarrow as pa
+
+        held = column.cast(pa.large_string()).fill_null("")
+        ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int64)
+        data = held.buffers()[2]
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(held):
+            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + SLICE_BYTES, "right")) - 1)
+            yield row, *self._encode(raw[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row], end_id)
+            row = stop
+
+
+class ChunkEncoder(ChunkTable):
     """Encodes texts with a tokenizers file; ``cut`` names how its pre-tokenizer treats white space."""
 
     def __init__(self, path: str, cut: str):
@@ -52,9 +182,11 @@ class ChunkEncoder:
         self.joiner = Tokenizer.from_file(path)
         self.mark_id, mark = min((i, t.content) for i, t in self.joiner.get_added_tokens_decoder().items())
         self.mark, self.marks = mark, [t.content for t in self.joiner.get_added_tokens_decoder().values()]
-        self.exact, self.simple = CHUNKS[cut], SIMPLE[cut]
-        self.cache: dict[str, bytes] = {}
+        super().__init__(cut)
         self.plain = self._plain_words(path)
+        # of a byte-level file, the ids that begin with a space: chunks that begin with theirs need no mark between them
+        spaced = [i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")] if cut == "byte" else []
+        self.spaced = np.isin(np.arange(self.tokenizer.get_vocab_size()), spaced)
 
     def _plain_words(self, path: str):
         """A tokenizer for words of plain lower-case letters, and which ids end a word, if the file folds case and marks
@@ -74,82 +206,46 @@ class ChunkEncoder:
         last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         return words, last
 
-    def _encode_plain(self, words: list[str]) -> dict[str, bytes]:
-        tokenizer, last = self.plain
-        out = {}
-        for i in range(0, len(words), PLAIN_JOINED):
-            part = words[i : i + PLAIN_JOINED]
-            ids = np.asarray(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(last[ids]) + 1).tolist()
-            if len(ends) != len(part):
-                raise ValueError("a word was cut at an end mark")
-            data, start = ids.tobytes(), 0
-            for w, end in zip(part, ends):
-                out[w] = data[4 * start : 4 * end]
-                start = end
-        return out
-
-    def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of chunks; a run of marks at the end is a piece of its own, so words are encoded without it."""
-        cut = {}
+    def _alone(self, chunks: list[str]) -> None:
         for c in chunks:
-            if c.isalpha():
-                continue
-            word = c.rstrip(TAIL)
-            if len(word) < len(c) and word[-1:].isalnum() and word[-1].lower().isalnum():
-                cut[c] = (word, c[len(word) :])
-        known = self.cache
-        plain = {c for c in chunks if c not in cut}
-        parts = {p for pair in cut.values() for p in pair if p not in known} | plain
-        out = self._encode(list(parts))
-        for c, (word, tail) in cut.items():
-            out[c] = (known[word] if word in known else out[word]) + (known[tail] if tail in known else out[tail])
-        return out
-
-    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
-        """One in which a special token's text could begin or end is encoded alone."""
-        out = {}
-        if self.plain:
-            known, lower = self.cache, {c: c.lower() for c in chunks if PLAIN(c)}
-            fresh = self._encode_plain(list({w for w in lower.values() if w not in known}))
-            out = {c: known[w] if w in known else fresh[w] for c, w in lower.items()}
-            chunks = [c for c in chunks if c not in lower]
-        alone = [c for c in chunks if "<" in c or ">" in c or "|" in c or any(m in c for m in self.marks)]
-        out |= {c: np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in alone}
-        rest = [c for c in chunks if c not in out]
-        for i in range(0, len(rest), JOINED):
-            part = rest[i : i + JOINED]
-            ids = np.asarray(self.joiner.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
-            if len(ends) != len(part):
-                raise ValueError("a chunk was cut at a special token")
-            data, start = ids.tobytes(), 0
-            for c, end in zip(part, ends):
-                out[c] = data[4 * start : 4 * end]
-                start = end + 1
-        return out
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """The ids of each text and then ``end_id``, as little-endian unsigned 32-bit bytes; a null text is empty."""
-        end, known, out = int(end_id).to_bytes(4, "little"), self.cache, []
-        for first in range(0, len(texts), TEXTS_AT_ONCE):
-            cut = [(self.exact if SEPARATORS(t) else self.simple)(t) if t else [] for t in texts[first : first + TEXTS_AT_ONCE]]
-            if len(known) > CACHE_ENTRIES:
-                for c in list(islice(known, CACHE_ENTRIES // 4)):
-                    del known[c]
-            got = [list(map(known.get, chunks)) for chunks in cut]
-            missing = [list(compress(range(len(ids)), map(absent, ids))) for ids in got]
-            new = {chunks[i] for chunks, where in zip(cut, missing) for i in where}
-            known.update(self._new(list(new)))
-            for chunks, ids, where in zip(cut, got, missing):
-                for i in where:
-                    ids[i] = known[chunks[i]]
-                ids.append(end)
-                out.append(b"".join(ids))
-            for c in new:
-                if len(c) > LONGEST_CACHED:
-                    known.pop(c, None)
-        return out
+            ids = np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32)
+            self._store(ids, np.array([len(ids)]), 0)
+
+    def _together(self, tokenizer, joint: str, chunks: list[str], size: int, ends_in, gap: int) -> None:
+        """Many chunks by one call; should their number not come back, each by its own."""
+        for i in range(0, len(chunks), size):
+            part = chunks[i : i + size]
+            ids = np.asarray(tokenizer.encode_batch_fast([joint.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = ends_in(ids)
+            if len(ends) == len(part):
+                self._store(ids, ends, gap)
+            else:
+                self._alone(part)
+
+    def _learn(self, chunks: list[str]) -> np.ndarray:
+        entry = np.empty(len(chunks), np.int64)
+        plain, spaced, joined, alone = [], [], [], []
+        for i, c in enumerate(chunks):
+            if self.plain and PLAIN(c):
+                plain.append(i)
+            elif self.cut == "byte" and PLAIN(c, 1) and c[0] == " ":
+                spaced.append(i)
+            elif "<" in c or ">" in c or "|" in c or any(m in c for m in self.marks):  # a special token could begin or end here
+                alone.append(i)
+            else:
+                joined.append(i)
+        for kind, encode in (
+            (plain, lambda part: self._together(self.plain[0], " ", [c.lower() for c in part], PLAIN_JOINED, lambda ids: np.flatnonzero(self.plain[1][ids]) + 1, 0)),
+            (spaced, lambda part: self._together(self.tokenizer, "", part, PLAIN_JOINED, lambda ids: np.append(np.flatnonzero(self.spaced[ids])[1:], len(ids)), 0)),
+            (joined, lambda part: self._together(self.joiner, self.mark, part, JOINED, lambda ids: np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1)),
+            (alone, self._alone),
+        ):
+            at = self.entries
+            if kind:
+                encode([chunks[i] for i in kind])
+            entry[kind] = np.arange(at, self.entries)
+        self.known.update((c, e) for c, e in zip(chunks, entry.tolist()) if len(c) <= LONGEST_CACHED)
+        return entry
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}

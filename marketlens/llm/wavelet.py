@@ -9,8 +9,8 @@ Layout, little-endian: magic ``WMX1``, u32 number of ids, u32 planes, u32 alphab
 zeros of each plane as u32, planes (bits from the low end of each byte), ones before each block of 512 bits as u32 per
 plane, document ids as i64, their validity as u8, document lengths as u32, crc32 of all before as u32.
 
-Nulls: a null text is empty (its end id alone is stored), a null doc_id sorts first.  Repeated rows are stored again.
-Extra columns are ignored; an empty table gives no shards and no rows.
+Nulls: a null text is empty (its end id alone is stored), a null doc_id sorts first.  Repeated rows are stored again; rows of
+one id follow each other by their texts' hashes.  A very long text is encoded alone and closes its shard.  Extra columns are ignored; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -177,26 +177,30 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, cut: str = "wo
 
         def close():
             nonlocal number, held, ids, docs_in
-            body = WaveletMatrix.build(np.frombuffer(b"".join(ids), "<u4")).to_bytes(docs_in, [len(x) // 4 for x in ids])
+            body = WaveletMatrix.build(np.concatenate(ids)).to_bytes(docs_in, [len(x) for x in ids])
             row = pa.RecordBatch.from_arrays([pa.array([part << 20 | number], pa.int64()), pa.array([held], pa.int64()), pa.array([body], pa.binary())], ["shard", "n_ids", "body"])
             number, held, ids, docs_in = number + 1, 0, [], []
             return row
 
         for batch in batches:
-            encoded = encoder(tokenizer_path, cut).encode(batch.column(1).to_pylist(), end_id)
-            for doc, body in zip(batch.column(0).to_pylist(), encoded):
-                ids.append(body)
-                docs_in.append(doc)
-                held += len(body) // 4
-                if held >= shard_ids:
-                    yield close()
+            names = batch.column(0).to_pylist()
+            for row, found, offsets in encoder(tokenizer_path, cut).encode(batch.column(1), end_id):
+                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    ids.append(found[a:b])
+                    docs_in.append(names[row + k])
+                    held += b - a
+                    if held >= shard_ids:
+                        yield close()
         if ids:
             yield close()
 
     spark = docs.sparkSession
     parts = max(1, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_TEXT_BYTES) + 1)
-    ordered = docs.select("doc_id", "text").repartitionByRange(max(parts, spark.sparkContext.defaultParallelism), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(shards, "shard long, n_ids long, body binary").write.parquet(path)
+    # rows that share an id, or have none, are split by their texts' hashes and row numbers
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    order = ("doc_id", "tie", "row")
+    ordered = keyed.repartitionByRange(max(parts, spark.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(shards, "shard long, n_ids long, body binary").write.parquet(path)
 
 
 def read_documents(files: DataFrame) -> DataFrame:

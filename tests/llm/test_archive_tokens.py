@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -20,6 +21,10 @@ def hard_docs(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
+def encoded(encoder, texts, end):
+    return [ids[a:b].tobytes() for _, ids, at in encoder.encode(pa.array(texts, pa.string()), end) for a, b in zip(at[:-1], at[1:])]
+
+
 def reference_ids(name, text, end):
     t = Tokenizer.from_file(queries.tokenizer_path(name))
     t.encode_special_tokens = True
@@ -35,7 +40,7 @@ def test_chunks_give_the_tokenizers_ids(name, cut):
     random.seed(3)
     alphabet = "ab'sS 　\n\t\x1c\x85\xa0  ​́é1２.,İΣ😀\r<|>"
     texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 40))) for _ in range(1500)] + HARD
-    got = ChunkEncoder(queries.tokenizer_path(name), cut).encode(texts, 5)
+    got = encoded(ChunkEncoder(queries.tokenizer_path(name), cut), texts, 5)
     assert all(np.frombuffer(g, "<u4").tolist() == reference_ids(name, t, 5) for g, t in zip(got[-200:], texts[-200:]))
     t = Tokenizer.from_file(queries.tokenizer_path(name))
     t.encode_special_tokens = True
@@ -158,4 +163,4 @@ def test_encoder_matches_the_library_on_letters_and_marks():
         library.encode_special_tokens = True
         expected = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
         for _ in range(2):  # the second time from the cache
-            assert [np.frombuffer(b, "<u4").tolist() for b in ours.encode(texts, 2)] == expected
+            assert [np.frombuffer(b, "<u4").tolist() for b in encoded(ours, texts, 2)] == expected
