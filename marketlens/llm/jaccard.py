@@ -41,6 +41,7 @@ BLOCK = 1500
 BLOCK_SHINGLES = 2_000_000
 BUCKET_ENTRIES = 1_500_000
 SPLIT_ENTRIES = 200_000
+MOST_BROADCAST = 500_000
 SAMPLE_SHARE = 1 / 16
 SAMPLE_OFTEN = 2
 MOST_FREQUENT = 1_000_000
@@ -625,14 +626,16 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # a part of a home has a bounded number of bytes and of memberships
         weight = max((held["point"] or 0) + 64, BUNDLE_BYTES / BUNDLE_ROWS)
         homes = rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) * F.lit(weight) / F.lit(BUNDLE_BYTES)).alias("parts")).where("parts > 1")
+        homes = materialize(homes, "homes")
+        homes_ = F.broadcast(homes) if homes.count() <= MOST_BROADCAST else homes
         salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("block", "chunk"), F.col("parts"))).otherwise(0)
-        bundled = rows.join(homes, "home", "left").withColumn("bundle", F.pmod(F.xxhash64("home", salt), F.lit(_bundles(int(rows.count() * weight)))))
+        bundled = rows.join(homes_, "home", "left").withColumn("bundle", F.pmod(F.xxhash64("home", salt), F.lit(_bundles(int(rows.count() * weight)))))
         pairs = materialize(_survivors(bundled, points, not last).distinct(), "survivors")
         links = materialize(_verified_pairs(pairs, sets), "links")
         if not links.isEmpty():
             stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
             labels = materialize(connected_components(stars.unionByName(links)), "labels")
-        release(rows, pairs)
+        release(rows, pairs, homes)
     release(chunks, sets)
     return nodes, labels
 
