@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 REGIMES = ("extreme_fear", "fear", "neutral", "greed", "extreme_greed")
 CUTS = (25, 45, 55, 75)
 PLACEBO_CUTS = (25, 40, 60, 75)
-POSITIVE = ("bull", "moon", "pump", "buy", "growth", "profit", "gain", "rally")
-NEGATIVE = ("bear", "crash", "dump", "sell", "loss", "fear", "panic", "drop")
+POSITIVE = ("approved", "huge", "moon", "great", "success", "bought", "stronger")
+NEGATIVE = ("collapse", "scam", "lost", "hack", "suing", "winter")
+UNCERTAIN = ("not sure", "cautious", "either way", "conflicting")
+# Share of the macro signal by state.
+MACRO_WEIGHTS = {"crisis": 0.60, "regulatory": 0.70, "bearish": 0.45, "bullish": 0.25, "neutral": 0.30}
 
 
 def sentiment_score(v: Column) -> Column:
@@ -30,11 +33,12 @@ def is_extreme(regime: Column) -> Column:
 
 
 def strength(regime: Column) -> Column:
-    return F.when(is_extreme(regime), "extreme").when(regime.isin("fear", "greed"), "moderate").otherwise("neutral")
+    """Null for a null or unknown regime, which joins no group."""
+    return F.when(is_extreme(regime), "extreme").when(regime.isin("fear", "greed"), "moderate").when(regime == "neutral", "neutral")
 
 
 def direction(regime: Column) -> Column:
-    return F.when(regime.isin("fear", "extreme_fear"), "bearish").when(regime.isin("greed", "extreme_greed"), "bullish").otherwise("neutral")
+    return F.when(regime.isin("fear", "extreme_fear"), "bearish").when(regime.isin("greed", "extreme_greed"), "bullish").when(regime == "neutral", "neutral")
 
 
 def distance_from_neutral(v: Column) -> Column:
@@ -74,10 +78,16 @@ def book_features(bids: Column, asks: Column, depth: int = 10) -> dict[str, Colu
     }
 
 
-def keyword_score(text: Column, positive: tuple = POSITIVE, negative: tuple = NEGATIVE) -> Column:
+def found_words(text: Column, words: tuple) -> Column:
+    """How many of the words or phrases occur in the text, whatever their case."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    count = lambda words: sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
-    return count(positive) - count(negative)
+    return sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
+
+
+def keyword_class(text: Column) -> Column:
+    """positive, negative or neutral by the majority of its words."""
+    up, down = found_words(text, POSITIVE), found_words(text, NEGATIVE)
+    return F.when(up > down, "positive").when(down > up, "negative").otherwise("neutral")
 
 
 def completeness(*fields: Column) -> Column:
@@ -91,11 +101,67 @@ def weighted_mean(*pairs: tuple[Column, float]) -> Column:
     return F.try_divide(total, weight)
 
 
+def mean_risk(news: Column, vix: Column, peg: Column) -> Column:
+    """Mean of the risk terms that are there, 0 to 100; null if none is."""
+    return weighted_mean((news, 1.0), (F.when(vix.isNotNull(), clamp((vix - 15) / 35 * 100, 0.0, 100.0)), 1.0), (F.when(peg.isNotNull(), F.least(peg * 1000, F.lit(100.0))), 1.0))
+
+
 def alert_level(risk: Column) -> Column:
     out = F.when(risk.isNull(), "unknown")
-    for name, cut in (("low", 0.2), ("moderate", 0.4), ("elevated", 0.6), ("high", 0.8)):
-        out = out.when(risk < cut, name)
-    return out.otherwise("critical")
+    for name, cut in (("critical", 80), ("high", 65), ("elevated", 50), ("moderate", 35)):
+        out = out.when(risk >= cut, name)
+    return out.otherwise("low")
+
+
+def decompose_uncertainty(opacity, news, complete, micro_epistemic, dvol, realised, vix, peg, micro_aleatoric, regime) -> dict[str, Column]:
+    """Epistemic and aleatoric uncertainty, both 0 to 1, as weighted terms with defaults for what is missing."""
+    part = lambda x, low, width: F.when(x.isNotNull(), clamp((x - low) / width, 0.0, 1.0))
+    epistemic = 0.35 * F.coalesce(opacity / 100, part(news, 30, 50), F.lit(0.3)) + 0.25 * (1 - complete) + 0.40 * clamp(micro_epistemic / 0.3, 0.0, 1.0)
+    aleatoric = 0.35 * F.coalesce(part(dvol, 30, 120), part(realised, 30, 120), F.lit(0.25)) + 0.15 * F.coalesce(part(vix, 10, 40), F.lit(0.2))
+    aleatoric = aleatoric + 0.25 * F.coalesce(part(peg, 0, 0.05), F.lit(0.1)) + 0.25 * clamp(micro_aleatoric / 1.1, 0.0, 1.0)
+    more = F.when(regime == "crisis", 0.2).when(regime == "regulatory", 0.15).otherwise(0.0)
+    return {"epistemic": clamp(epistemic + more, 0.0, 1.0), "aleatoric": clamp(aleatoric + F.when(regime == "crisis", 0.3).otherwise(0.0), 0.0, 1.0)}
+
+
+def blend(macro: Column, micro: Column, state: Column, confidence: Column) -> tuple[Column, Column]:
+    """(weight of the macro signal by state and confidence, blended signal within -1 and 1)."""
+    weight = F.lit(MACRO_WEIGHTS["neutral"])
+    for name, w in MACRO_WEIGHTS.items():
+        weight = F.when(state == name, w).otherwise(weight)
+    weight = weight * confidence
+    return weight, clamp(weight * macro + (1 - weight) * micro, -1.0, 1.0)
+
+
+def sign_class(x: Column, cut: float, above: str, below: str, between: str) -> Column:
+    return F.when(x > cut, above).when(x < -cut, below).otherwise(between)
+
+
+def probability_sentiment(p: Column) -> Column:
+    return 2 * (p - 0.5)
+
+
+def bayesian_split(samples: Column, classes: int) -> dict[str, Column]:
+    """Epistemic, aleatoric and total uncertainty and mutual information of sampled class probabilities."""
+    import math
+
+    part = lambda k: F.transform(samples, lambda s: F.get(s, k))
+    epistemic = F.least(sum((F.pow(pop_std(part(k)), 2) for k in range(classes)), F.lit(0.0)) / (0.25 * classes), F.lit(1.0))
+    aleatoric = mean_of(F.transform(samples, entropy)) / math.log(classes)
+    total = entropy(F.array(*[mean_of(part(k)) for k in range(classes)])) / math.log(classes)
+    return {"epistemic": epistemic, "aleatoric": aleatoric, "entropy": total, "mutual_info": F.greatest(total - aleatoric, F.lit(0.0)), "total": F.least(epistemic + aleatoric, F.lit(1.0))}
+
+
+def valid_book(bid: Column, ask: Column) -> Column:
+    """A positive mid and a spread that is not negative."""
+    return (bid + ask > 0) & (ask >= bid)
+
+
+def market_book(bids: Column, asks: Column, depth: int = 10) -> dict[str, Column]:
+    """Best prices, depth and imbalance over the first levels (price, size), in whatever order they come."""
+    price = lambda side: F.transform(F.slice(side, 1, depth), lambda x: x["price"])
+    total = lambda side: F.aggregate(F.slice(side, 1, depth), F.lit(0.0), lambda a, x: a + x["size"])
+    b, a = total(bids), total(asks)
+    return {"best_bid": F.array_max(price(bids)), "best_ask": F.array_min(price(asks)), "bid_depth": b, "ask_depth": a, "imbalance": F.coalesce(F.try_divide(b - a, b + a), F.lit(0.0))}
 
 
 def effect_label(d: Column) -> Column:

@@ -47,3 +47,8 @@ def sweep(df: DataFrame, scenarios: list[tuple], names: list[str]) -> DataFrame:
     """Each row once per scenario; scenarios are constants inside the plan."""
     items = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, s)]) for s in scenarios])
     return df.withColumn("_s", F.explode(items)).select(*df.columns, "_s.*")
+
+
+def unit_draw(row: Column) -> Column:
+    """A number strictly between 0 and 1 from ``hashed``."""
+    return (hashed(row, F.lit(0)) + 0.5) / 10_000

@@ -1,6 +1,7 @@
 """Sequential scans per key: exponential smoothing, hysteresis, greedy event choice and a contrarian back-test.
 
-Each scan reads one key's rows in time order; keys are independent, so the work spreads over them.
+Each scan reads one key's rows in time order; keys are independent, so the work spreads over them.  The state of a row needs that
+of the row before, so one key's rows must fit a worker: these scans are for daily rows, thousands a key.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ def hysteresis(df: DataFrame, candidate: str, hold: int = 3, key: str = "symbol"
         pdf = pdf.sort_values(order, kind="stable")
         state, steps, res = "neutral", 0, []
         for c in pdf[candidate]:
-            if c != state and (steps >= hold or c == override):
-                state, steps = c, 0
-            steps += 1
+            taken = c if c == override or steps >= hold else state
+            state, steps = taken, steps + 1 if taken == state else 1
             res.append(state)
         return pdf.assign(**{out: res})
 
@@ -68,6 +68,6 @@ def contrarian_trades(df: DataFrame, hold: int = 10, cost: float = 0.002, key: s
             elif entry is not None and (r not in ("extreme_fear", "fear") or i - entry[0] >= hold):
                 out.append((pdf[key].iloc[0], entry[1], d, i - entry[0], c / entry[2] - 1 - cost))
                 entry = None
-        return pd.DataFrame(out, columns=[key, "entered", "left", "rows", "net"])
+        return pd.DataFrame(out, columns=[key, "entered", "exited", "held", "net"])
 
-    return df.select(key, "date", "close", "regime").groupBy(key).applyInPandas(run, f"{key} long, entered date, left date, rows long, net double")
+    return df.select(key, "date", "close", "regime").groupBy(key).applyInPandas(run, f"{key} long, entered date, exited date, held long, net double")

@@ -119,3 +119,12 @@ def divergence_log(df: DataFrame, value: str, price: str, threshold: float, ahea
         "forward_vol": F.when(complete, F.stddev_pop("_r").over(by_day().rowsBetween(2, ahead))), "forward_change": F.when(complete, F.last(price).over(after) / F.col(price) - 1), "steps_to_converge": F.when(complete, calm),
     })
     return events.where(F.abs(value) >= threshold).drop("_r", "_n")
+
+
+def effective_spread(df: DataFrame, price: str, buy: str, size: str, order: list[str], width: int = 50, least: int = 25, key: str = "symbol") -> DataFrame:
+    """Rolling median mid and VWAP of the last ``width`` trades, and what a trade pays over the mid, in basis points."""
+    last = Window.partitionBy(key).orderBy(*order).rowsBetween(-width + 1, 0)
+    mid = F.when(F.count(F.lit(1)).over(last) >= least, F.percentile(price, F.lit(0.5)).over(last))
+    df = df.withColumns({"mid": mid, "vwap": F.sum(F.col(price) * F.col(size)).over(last) / F.sum(size).over(last)})
+    over_mid = F.try_divide(F.col(price) - F.col("mid"), F.col("mid")) * 10_000
+    return df.withColumns({"eff": 2 * F.abs(over_mid), "signed": F.when(F.col(buy), 2).otherwise(-2) * over_mid})

@@ -49,7 +49,7 @@ def r(c: Column | str, digits: int = 6) -> Column:
 
 _REGIME = "CASE WHEN fg IS NULL THEN 'unknown' WHEN fg <= {0} THEN 'extreme_fear' WHEN fg <= {1} THEN 'fear' WHEN fg <= {2} THEN 'neutral' WHEN fg <= {3} THEN 'greed' ELSE 'extreme_greed' END"
 REGIME = _REGIME.format(*E.CUTS)
-STRENGTH = "CASE WHEN regime IN ('extreme_fear','extreme_greed') THEN 'extreme' WHEN regime IN ('fear','greed') THEN 'moderate' ELSE 'neutral' END"
+STRENGTH = "CASE WHEN regime IN ('extreme_fear','extreme_greed') THEN 'extreme' WHEN regime IN ('fear','greed') THEN 'moderate' WHEN regime = 'neutral' THEN 'neutral' END"
 S = "OVER (PARTITION BY symbol ORDER BY date)"
 
 
@@ -168,9 +168,13 @@ def exp14_probability_samples(spark, sf):
     return e.select("vec_id", r(F.get(mean, 2) - F.get(mean, 0)).alias("score"), r(epi).alias("epistemic"), r(E.entropy(mean)).alias("entropy"))
 
 
-@query("SELECT doc_id, " + " + ".join(f"(CASE WHEN contains(lower(coalesce(text, '')), '{w}') THEN 1 ELSE 0 END)" for w in E.POSITIVE) + " - (" + " + ".join(f"(CASE WHEN contains(lower(coalesce(text, '')), '{w}') THEN 1 ELSE 0 END)" for w in E.NEGATIVE) + ") AS score FROM documents")
+_FOUND = lambda words: "(" + " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INT" for w in words) + ")"
+
+
+@query(f"SELECT doc_id, {_FOUND(E.POSITIVE)} - {_FOUND(E.NEGATIVE)} AS score, CASE WHEN {_FOUND(E.POSITIVE)} > {_FOUND(E.NEGATIVE)} THEN 'positive' WHEN {_FOUND(E.POSITIVE)} < {_FOUND(E.NEGATIVE)} THEN 'negative' ELSE 'neutral' END AS class, {_FOUND(E.UNCERTAIN)} > 0 AS uncertain FROM documents")
 def exp18_keyword_score(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", E.keyword_score(F.col("text")).alias("score"))
+    t = F.col("text")
+    return V.table(spark, sf, "documents").select("doc_id", (E.found_words(t, E.POSITIVE) - E.found_words(t, E.NEGATIVE)).alias("score"), E.keyword_class(t).alias("class"), (E.found_words(t, E.UNCERTAIN) > 0).alias("uncertain"))
 
 
 @query(f"""{DAILY}, x AS (SELECT symbol, date, CASE WHEN fg > 0 THEN fg / 100 END AS a, rv AS b, CASE WHEN trades > 1 THEN pk END AS c FROM daily)
@@ -343,11 +347,17 @@ def win19_ewma(spark, sf):
     return scans.ewma(d, "fg", 0.25).select("symbol", "date", r("ewma").alias("x"))
 
 
-@query()
+_RECURSIVE = DAILY.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(f"""{_RECURSIVE}, c AS (SELECT symbol, date, row_number() {S} AS n, CASE WHEN abs(coalesce(ret, 0)) > 1 THEN 'crisis' WHEN avg((fg - 50) / 50) {over(5)} > 0.25 THEN 'bullish' WHEN avg((fg - 50) / 50) {over(5)} < -0.25 THEN 'bearish' ELSE 'neutral' END AS candidate FROM daily),
+ h AS (SELECT symbol, 0::BIGINT AS n, NULL::DATE AS date, 'neutral' AS state, 0 AS steps FROM (SELECT DISTINCT symbol FROM c) UNION ALL SELECT c.symbol, c.n, c.date, CASE WHEN c.candidate = 'crisis' OR h.steps >= 3 THEN c.candidate ELSE h.state END,
+ CASE WHEN (CASE WHEN c.candidate = 'crisis' OR h.steps >= 3 THEN c.candidate ELSE h.state END) = h.state THEN h.steps + 1 ELSE 1 END FROM h JOIN c ON c.symbol = h.symbol AND c.n = h.n + 1) SELECT symbol, date, state FROM h WHERE n > 0""")
 def win21_hysteresis(spark, sf):
+    """A day that moves by over 100 % is a crisis, which is taken at once."""
     d = daily(spark, sf).withColumn("m", F.avg(E.sentiment_score(F.col("fg"))).over(W.frame(5)))
-    candidate = F.when(F.col("m") < -0.6, "crisis").when(F.col("m") < -0.2, "bearish").when(F.col("m") > 0.2, "bullish").otherwise("neutral")
-    return scans.hysteresis(d.select("symbol", "date", candidate.alias("candidate")), "candidate")
+    candidate = F.when(F.abs(F.coalesce("ret", F.lit(0.0))) > 1, "crisis").when(F.col("m") > 0.25, "bullish").when(F.col("m") < -0.25, "bearish").otherwise("neutral")
+    return scans.hysteresis(d.select("symbol", "date", candidate.alias("candidate")), "candidate").select("symbol", "date", "state")
 
 
 @query(f"""{DAILY}, p AS (SELECT *, (fg - 50) / 50 AS v, row_number() {S} AS n, ln(close / lag(close) {S}) AS lr FROM daily), e AS (SELECT symbol, date, v, count(*) OVER w AS c, stddev_pop(lr) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 FOLLOWING AND 24 FOLLOWING) AS fv, last_value(close) OVER w / close - 1 AS fc,
@@ -358,10 +368,11 @@ def win22_divergence_log(spark, sf):
     return W.divergence_log(d, "v", "close", 0.8).select("symbol", "date", r("forward_vol").alias("forward_vol"), r("forward_change").alias("forward_change"), "steps_to_converge")
 
 
-@query()
+@query(f"""{_RECURSIVE}, n AS (SELECT symbol, date, fg, row_number() {S} AS n FROM daily), e AS (SELECT * FROM n WHERE abs(fg - 50) / 50 >= 0.8), k AS (SELECT symbol, min(n) AS n FROM e GROUP BY 1 UNION ALL SELECT k.symbol, (SELECT min(e.n) FROM e WHERE e.symbol = k.symbol AND e.n >= k.n + 5) FROM k WHERE k.n IS NOT NULL)
+ SELECT e.symbol, e.date, e.n, round(e.fg, 6) AS fg FROM e JOIN k ON e.symbol = k.symbol AND e.n = k.n""")
 def win23_spaced_events(spark, sf):
     d = daily(spark, sf).withColumn("n", F.row_number().over(W.by_day())).where("abs(fg - 50) / 50 >= 0.8").select("symbol", "date", "n", "fg")
-    return scans.spaced_events(d, 5)
+    return scans.spaced_events(d, 5).select("symbol", "date", "n", r("fg").alias("fg"))
 
 
 @query(f"""{DAILY}, q AS (SELECT symbol, quantile_cont(rv, [0.2, 0.4, 0.6, 0.8]) AS e FROM daily GROUP BY 1), b AS (SELECT d.symbol, CASE WHEN rv <= e[1] THEN 1 WHEN rv <= e[2] THEN 2 WHEN rv <= e[3] THEN 3 WHEN rv <= e[4] THEN 4 ELSE 5 END AS bin, cs, strength FROM daily d JOIN q ON d.symbol = q.symbol WHERE rv IS NOT NULL)
@@ -567,9 +578,13 @@ def evt01_event_study(spark, sf):
     return e.groupBy("symbol", "h").agg(F.count("x").alias("n"), r(F.avg("x")).alias("mean"), r(F.stddev_samp("x")).alias("std"), r(F.avg((F.col("x") > 0).cast("int"))).alias("hit"))
 
 
-@query()
+@query(f"""{_RECURSIVE}, c AS (SELECT symbol, date, close, regime, row_number() {S} AS n FROM daily), t AS (SELECT symbol, 0::BIGINT AS n, NULL::BIGINT AS at, NULL::DOUBLE AS paid, NULL::DATE AS entered, NULL::DATE AS closed, NULL::BIGINT AS held, NULL::DOUBLE AS net FROM (SELECT DISTINCT symbol FROM c)
+ UNION ALL SELECT c.symbol, c.n, CASE WHEN t.at IS NULL AND c.regime = 'extreme_fear' THEN c.n WHEN t.at IS NOT NULL AND (c.regime NOT IN ('extreme_fear', 'fear') OR c.n - t.at >= 10) THEN NULL ELSE t.at END,
+ CASE WHEN t.at IS NULL AND c.regime = 'extreme_fear' THEN c.close ELSE t.paid END, CASE WHEN t.at IS NULL AND c.regime = 'extreme_fear' THEN c.date ELSE t.entered END, c.date,
+ CASE WHEN t.at IS NOT NULL AND (c.regime NOT IN ('extreme_fear', 'fear') OR c.n - t.at >= 10) THEN c.n - t.at END, CASE WHEN t.at IS NOT NULL AND (c.regime NOT IN ('extreme_fear', 'fear') OR c.n - t.at >= 10) THEN c.close / t.paid - 1 - 0.002 END FROM t JOIN c ON c.symbol = t.symbol AND c.n = t.n + 1)
+ SELECT symbol, strftime(entered, '%Y-%m-%d') AS entered, strftime(closed, '%Y-%m-%d') AS exited, held, round(net, 6) AS net FROM t WHERE held IS NOT NULL""")
 def bt01_contrarian(spark, sf):
-    return scans.contrarian_trades(daily(spark, sf))
+    return scans.contrarian_trades(daily(spark, sf)).withColumn("net", r("net"))
 
 
 @query("SELECT user_id AS symbol, epoch_us(time_bucket(INTERVAL 1 MINUTE, ts)) AS start_us, round(avg(value), 6) AS avg_price, count(*) AS n FROM events GROUP BY 1, 2")

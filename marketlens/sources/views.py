@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,126 @@ def read_trades_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(epoch_timestamp(F.col("timestamp").try_cast("double")).alias("ts"), F.col("price").try_cast("double").alias("price"), F.col("size").try_cast("double").alias("size"), F.lower("side").alias("side"), F.col("_metadata.file_name").alias("file"))
 
 
+def _csv(spark: SparkSession, path: str, *required: str) -> DataFrame:
+    """CSV files with a header, plain or gzip; names trimmed and lower-cased, with the day that the file's name holds."""
+    raw = spark.read.csv(path, header=True)
+    raw = require_columns(raw.toDF(*[c.strip().lower() for c in raw.columns]), *required)
+    return raw.withColumns({"file": F.col("_metadata.file_name"), "file_day": F.to_date(F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")))})
+
+
+def read_books_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Best bid and ask by time; a missing spread, mid, basis points, volume or imbalance is derived from what is there."""
+    raw = _csv(spark, path, "timestamp", "bid", "ask")
+    number = lambda c: F.col(c).try_cast("double") if c in raw.columns else F.lit(None).cast("double")
+    rows = raw.select(epoch_timestamp(F.col("timestamp").try_cast("double")).alias("ts"), *[number(c).alias(c) for c in ("bid", "ask", "bid_volume", "ask_volume", "spread", "spread_bps", "imbalance")], "file", "file_day")
+    mid, b, a = (F.col("bid") + F.col("ask")) / 2, F.coalesce("bid_volume", F.lit(1.0)), F.coalesce("ask_volume", F.lit(1.0))
+    rows = with_defaults(rows.withColumns({"mid": mid, "bid_volume": b, "ask_volume": a}), spread=F.col("ask") - F.col("bid"))
+    return with_defaults(rows, spread_bps=F.try_divide("spread", "mid") * 10_000, imbalance=F.coalesce(F.try_divide(b - a, b + a), F.lit(0.0)))
+
+
+def read_sentiment_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Scores by time with defaults for uncertainties and a regime from the score where none is given."""
+    raw = _csv(spark, path, "timestamp", "sentiment")
+    number = lambda c: F.col(c).try_cast("double") if c in raw.columns else F.lit(None).cast("double")
+    rows = raw.select(epoch_timestamp(F.col("timestamp").try_cast("double")).alias("ts"), number("sentiment").alias("sentiment"), number("epistemic").alias("epistemic"), number("aleatoric").alias("aleatoric"), (F.col("regime") if "regime" in raw.columns else F.lit(None).cast("string")).alias("regime"))
+    by_score = F.when(F.col("sentiment") > 0.2, "bullish").when(F.col("sentiment") < -0.2, "bearish").otherwise("neutral")
+    return with_defaults(rows, epistemic=F.lit(0.1), aleatoric=F.lit(0.2), regime=by_score)
+
+
+def read_trade_zips(spark: SparkSession, path: str) -> DataFrame:
+    """Trade files without a header inside zip archives: a maker on the buy side means that the seller took the price.
+
+    A zip can't be split, so each archive is one row that a task unpacks line by line, in batches of bounded size.
+    """
+
+    def unpack(batches):
+        import csv
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for pdf in batches:
+            for name, body in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(body)) as z:
+                    for inner in z.namelist():
+                        rows = []
+                        for row in csv.reader(io.TextIOWrapper(z.open(inner), "utf-8")):
+                            rows.append([name, *(row + [""] * 6)[:6]])
+                            if len(rows) == 50_000:
+                                yield pd.DataFrame(rows, columns=list(fields))
+                                rows = []
+                        yield pd.DataFrame(rows, columns=list(fields))
+
+    fields = ("file", "trade_id", "price", "size", "quote", "time", "maker")
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, ", ".join(f"{f} string" for f in fields))
+    rows = raw.select("file", F.col("trade_id").try_cast("long").alias("trade_id"), epoch_timestamp(F.col("time").try_cast("double")).alias("ts"), F.col("price").try_cast("double").alias("price"), F.col("size").try_cast("double").alias("size"), F.when(F.lower("maker") == "true", "sell").otherwise("buy").alias("side"))
+    return rows.where("trade_id is not null and price > 0 and size >= 0")
+
+
+def every_kth_file(files: DataFrame, step: int, most: int | None = None, name: str = "path") -> DataFrame:
+    """A systematic sample of a list of files, by name; the list is small beside the files."""
+    kept = files.withColumn("_n", F.row_number().over(Window.orderBy(name))).where((F.col("_n") - 1) % step == 0).drop("_n")
+    return kept if most is None else kept.orderBy(name).limit(most)
+
+
+LEVEL = "array<array<string>>"
+
+
+def parse_depth(messages: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(books, rejected messages): JSON depth updates whose levels are pairs of a positive price and a size that is not negative."""
+    # keys differ by case alone, so the message is read as a map
+    m = messages.withColumn("m", F.from_json(F.col(column), "map<string,string>"))
+    m = m.withColumns({"_b": F.from_json(F.col("m")["b"], LEVEL), "_a": F.from_json(F.col("m")["a"], LEVEL)})
+    number = lambda x, i: F.get(x, i).try_cast("double")
+    fine = lambda side: side.isNotNull() & F.forall(side, lambda x: F.coalesce((F.size(x) == 2) & (number(x, 0) > 0) & (number(x, 1) >= 0), F.lit(False)))
+    m = m.withColumn("_ok", F.coalesce(F.col("m")["s"].isNotNull() & fine(F.col("_b")) & fine(F.col("_a")), F.lit(False)))
+    levels = lambda c: F.transform(c, lambda x: F.array(number(x, 0), number(x, 1)))
+    long = lambda k: F.col("m")[k].try_cast("long")
+    books = m.where("_ok").select(F.col("m")["s"].alias("symbol"), F.timestamp_millis(long("E")).alias("ts"), long("U").alias("first_id"), long("u").alias("last_id"), levels("_b").alias("bids"), levels("_a").alias("asks"))
+    return books, m.where(~F.col("_ok")).drop("m", "_ok", "_a", "_b")
+
+
+PRICE_FIELDS = ("price", "lastPrice", "last_price", "probability", "yes_price", "yesPrice", "mid", "close")
+
+
+def market_price(json: Column) -> Column:
+    """The first price field that is there, else the first side's or outcome's price, between 0 and 1."""
+    at = lambda path: F.get_json_object(json, f"$.{path}").try_cast("double")
+    found = F.coalesce(*[at(f) for f in PRICE_FIELDS], at("side_a.price"), at("yes.price"), at("outcomes[0].price"))
+    return F.when(found.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
+
+
+def market_volume(json: Column) -> Column:
+    """A day's volume; a seventh of the week's where only that is given."""
+    at = lambda path: F.get_json_object(json, f"$.{path}").try_cast("double")
+    return F.coalesce(at("volume_24h"), at("volume24h"), at("volume"), at("volume_1_week") / 7, F.lit(0.0))
+
+
+def read_markets(spark: SparkSession, path: str) -> DataFrame:
+    """Prediction markets, one JSON object a line."""
+    raw = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return raw.select(F.get_json_object("value", "$.slug").alias("market"), market_price(F.col("value")).alias("price"), market_volume(F.col("value")).alias("volume"))
+
+
+def macro_snapshot(series: DataFrame, fallback: dict[str, float]) -> DataFrame:
+    """One row of the last value of each series (name, ts, value), or its fallback, and the share of series that were there."""
+    last = [F.max_by("value", F.when((F.col("name") == n) & F.col("value").isNotNull(), F.col("ts"))).alias(n) for n in fallback]
+    row = series.agg(*last)
+    there = sum((F.col(n).isNotNull().cast("int") for n in fallback), F.lit(0)) / len(fallback)
+    return row.withColumn("completeness", there).withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in fallback.items()})
+
+
+def save_csv(df: DataFrame, path: str) -> None:
+    """A result as CSV files with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def save_json(df: DataFrame, path: str) -> None:
+    """A result as JSON lines, nested fields as they are."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per (symbol, day) from orders."""
     o = table(spark, sf_dir, "orders")

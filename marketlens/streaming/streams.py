@@ -58,6 +58,74 @@ def aligned(ticks: DataFrame, max_age_s: int = 300, decay: float = 0.99) -> Data
     return ticks.groupBy("symbol").applyInPandasWithState(step, schema, "other double, since double", "append", "NoTimeout")
 
 
+def composed_signals(signals: DataFrame, hold: int = 3, width: int = 5, alpha: float = 0.1, late: str = "1 hour", idle_s: int = 86_400) -> DataFrame:
+    """Mean of the last ``width`` blends, state with hysteresis and an exponential mean of the blend, per symbol across batches.
+
+    ``signals`` has symbol, ts, seq, blend and crisis; rows of a batch are taken by (ts, seq).  A symbol that is silent until the
+    watermark is ``idle_s`` past its last row starts anew, which bounds the state by the symbols that are live.
+    """
+    schema = "symbol long, ts timestamp, seq long, smoothed double, state string, steps long, ewma double"
+    kept = "recent array<double>, state string, steps long, ewma double"
+
+    def step(key, batches: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recent, now, steps, mean = state.get if state.exists else ([], "neutral", 0, None)
+        recent, rows = list(recent), []
+        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
+        for ts, seq, blend, crisis in zip(pdf["ts"], pdf["seq"], pdf["blend"], pdf["crisis"]):
+            recent = [*recent, float(blend)][-width:]
+            smooth = sum(recent) / len(recent)
+            candidate = "crisis" if crisis else "bullish" if smooth > 0.25 else "bearish" if smooth < -0.25 else "neutral"
+            taken = candidate if candidate == "crisis" or steps >= hold else now
+            now, steps = taken, steps + 1 if taken == now else 1
+            mean = float(blend) if mean is None else alpha * float(blend) + (1 - alpha) * mean
+            rows.append((key[0], ts, seq, smooth, now, steps, mean))
+        state.update((recent, now, steps, mean))
+        state.setTimeoutTimestamp(max(int(pdf["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_s * 1000)
+        yield pd.DataFrame(rows, columns=["symbol", "ts", "seq", "smoothed", "state", "steps", "ewma"])
+
+    return signals.withWatermark("ts", late).groupBy("symbol").applyInPandasWithState(step, schema, kept, "append", "EventTimeTimeout")
+
+
+def quotes(books: DataFrame, inventory_risk: float = 0.1, sensitivity: float = 1.0, least_bps: float = 5.0) -> DataFrame:
+    """Bid and ask around a reservation price that inventory and sentiment shift; the spread has a floor in basis points."""
+    mid, spread = (F.col("bid") + F.col("ask")) / 2, F.col("ask") - F.col("bid")
+    inventory, sentiment = -F.col("inventory") * inventory_risk, F.col("sentiment") * sensitivity
+    centre, half = mid + inventory + sentiment, F.greatest(spread / 2, mid * least_bps / 10_000)
+    return books.withColumns({"bid_price": F.round(centre - half, 2), "ask_price": F.round(centre + half, 2), "ref_price": F.round(centre, 2), "inv_skew": F.round(inventory, 4), "sent_skew": F.round(sentiment, 4)})
+
+
+def counted(df: DataFrame, name: str, bad):
+    """The rows and a count of all and of the bad ones, observed as the data flow by; (df, observation) in a batch."""
+    from pyspark.sql import Observation
+
+    counts = (F.count(F.lit(1)).alias("messages"), F.count(F.when(bad, 1)).alias("errors"))
+    if df.isStreaming:
+        return df.observe(name, *counts), None
+    seen = Observation(name)
+    return df.observe(seen, *counts), seen
+
+
+def scored(texts: DataFrame, analyse, batch_rows: int = 32, column: str = "text") -> DataFrame:
+    """Adds sentiment, epistemic and aleatoric uncertainty by ``analyse(list of texts) -> list of triples``, in batches of
+    ``batch_rows``; a null text is empty.  ``analyse`` is made once a task if it is a class."""
+    fields = ("sentiment", "epistemic", "aleatoric")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema], *[f"{f} double" for f in fields]])
+
+    def run(batches: Iterator) -> Iterator:
+        model = analyse() if isinstance(analyse, type) else analyse
+        for pdf in batches:
+            rows = pdf[column].fillna("").tolist()
+            found = [triple for i in range(0, len(rows), batch_rows) for triple in model(rows[i : i + batch_rows])]
+            yield pdf.assign(**{f: [float(t[k]) for t in found] for k, f in enumerate(fields)})
+
+    return texts.mapInPandas(run, schema)
+
+
 def dated_sink(df: DataFrame, path: str, checkpoint: str, ts: str = "ts"):
     """History as Parquet partitioned by date, each file sorted by key and time."""
 
