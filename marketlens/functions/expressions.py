@@ -101,6 +101,36 @@ def weighted_mean(*pairs: tuple[Column, float]) -> Column:
     return F.try_divide(total, weight)
 
 
+def _component(parts: list[tuple[Column, float]], confidence: float) -> tuple[Column, Column]:
+    """(weighted mean of the parts that are there within -1 to 1, their mean weight); 0 and ``confidence`` without any."""
+    n = sum((F.when(v.isNotNull(), 1).otherwise(0) for v, _ in parts), F.lit(0))
+    weight = sum((F.when(v.isNotNull(), w).otherwise(0.0) for v, w in parts), F.lit(0.0))
+    value = F.coalesce(weighted_mean(*parts), F.lit(0.0))
+    return clamp(value, -1.0, 1.0), F.coalesce(F.try_divide(weight, n), F.lit(confidence))
+
+
+def institutional_sentiment(fields: dict[str, Column]) -> dict[str, Column]:
+    """Regulatory, on-chain and market components blended by weight times confidence; risks run from 0 to 100, stress from 0 to 1.
+
+    Fields that may be given: regulatory, articles, opacity, tvl_stress, peg, stablecoin_risk, liquidity_risk, vix, yield_spread, contagion.
+    """
+    none = F.lit(None).cast("double")
+    f = lambda name: fields.get(name, none)
+    risk = lambda c: 1 - 2 * c / 100
+    within = lambda c: F.when(c.isNotNull(), clamp(c, -1.0, 1.0))
+    opaque = f("opacity").isNotNull()
+    articles = F.when(f("articles") > 0, F.least(F.lit(1.0), f("articles") / 20)).otherwise(0.5)
+    regulatory = F.coalesce(f("regulatory"), risk(f("opacity")), F.lit(0.0)), F.when(f("regulatory").isNotNull(), articles).when(opaque, 0.8).otherwise(0.3)
+    peg = F.when(f("peg").isNotNull(), 1 - F.least(f("peg") * 100, F.lit(2.0)))
+    chain = _component([(1 - 2 * f("tvl_stress"), 0.8), (peg, 0.9), (risk(f("stablecoin_risk")), 0.9), (risk(f("liquidity_risk")), 0.9)], 0.2)
+    market = _component([(within(0.5 - (f("vix") - 15) / 30), 0.9), (within(f("yield_spread") / 2), 0.7), (risk(f("contagion")), 0.85)], 0.2)
+    weights = {"regulatory": (0.40, regulatory), "chain": (0.35, chain), "market": (0.25, market)}
+    total = sum((w * conf for w, (_, conf) in weights.values()), F.lit(0.0))
+    shares = {f"{name}_contribution": w * conf * value / F.greatest(total, F.lit(0.01)) for name, (w, (value, conf)) in weights.items()}
+    blend_ = sum((w * conf * value for w, (value, conf) in weights.values()), F.lit(0.0))
+    return {"sentiment": clamp(F.coalesce(F.try_divide(blend_, total), F.lit(0.0)), -1.0, 1.0), "confidence": total, **shares}
+
+
 def mean_risk(news: Column, vix: Column, peg: Column) -> Column:
     """Mean of the risk terms that are there, 0 to 100; null if none is."""
     return weighted_mean((news, 1.0), (F.when(vix.isNotNull(), clamp((vix - 15) / 35 * 100, 0.0, 100.0)), 1.0), (F.when(peg.isNotNull(), F.least(peg * 1000, F.lit(100.0))), 1.0))

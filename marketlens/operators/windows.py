@@ -128,3 +128,12 @@ def effective_spread(df: DataFrame, price: str, buy: str, size: str, order: list
     df = df.withColumns({"mid": mid, "vwap": F.sum(F.col(price) * F.col(size)).over(last) / F.sum(size).over(last)})
     over_mid = F.try_divide(F.col(price) - F.col("mid"), F.col("mid")) * 10_000
     return df.withColumns({"eff": 2 * F.abs(over_mid), "signed": F.when(F.col(buy), 2).otherwise(-2) * over_mid})
+
+
+def institutional(df: DataFrame, retail: str, slow: str, vol: str, corr: str, out: str = "institutional") -> DataFrame:
+    """Half the smoothed index, half calm of volatility, pulled against the index where it ran against prices; within -1 to 1."""
+    low, high = 0.005, 0.065
+    calm = F.coalesce(1 - 2 * (F.greatest(F.lit(low), F.least(F.lit(high), F.col(vol))) - low) / (high - low), F.lit(0.0))
+    base = 0.5 * F.col(slow) + 0.5 * F.when(F.col(vol).isNotNull(), calm).otherwise(0.0)
+    against = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -F.coalesce(corr, F.lit(0.0))))
+    return df.withColumn(out, F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), base + 0.3 * against * (-F.col(retail) - base))), F.lit(0.0)))

@@ -157,6 +157,20 @@ def read_markets(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.get_json_object("value", "$.slug").alias("market"), market_price(F.col("value")).alias("price"), market_volume(F.col("value")).alias("volume"))
 
 
+def posts(submissions: DataFrame, comments: DataFrame) -> DataFrame:
+    """One record of submissions (id, text, author, is_self, url) and comments (id, body, author, parent_id).
+
+    A link post has no text, a text post no url; a lost author is '[deleted]'; further columns are left out.
+    """
+    author = F.coalesce("author", F.lit("[deleted]")).alias("author")
+    own = F.coalesce("is_self", F.lit(True))
+    first = submissions.select(
+        F.col("id").alias("content_id"), F.lit("submission").alias("content_type"), F.when(own, F.coalesce("text", F.lit(""))).otherwise("").alias("text"), F.when(own, "").otherwise(F.coalesce("url", F.lit(""))).alias("url"), author,
+    )
+    rest = comments.select(F.col("id").alias("content_id"), F.lit("comment").alias("content_type"), F.coalesce("body", F.lit("")).alias("text"), author, "parent_id")
+    return first.unionByName(rest, allowMissingColumns=True)
+
+
 def macro_snapshot(series: DataFrame, fallback: dict[str, float]) -> DataFrame:
     """One row of the last value of each series (name, ts, value), or its fallback, and the share of series that were there."""
     last = [F.max_by("value", F.when((F.col("name") == n) & F.col("value").isNotNull(), F.col("ts"))).alias(n) for n in fallback]
