@@ -7,7 +7,9 @@ list whose centroid is nearly as close as its closest (boundary vectors in sever
 distance is within a ratio of its closest, however many these are.  The ratio is measured: it is the one at which queries
 drawn from the sample find ``RECALL`` of their nearest in the sample; the nearest in the whole table are closer still.
 The closest lists come first; the others return only what is no worse than the last of the ``k`` found there.
-Lists and their queries are split into parts of bounded size.
+Lists that lie side by side in the tree of halves travel together: a query goes once to each bundle with the numbers of the lists
+it reads there, is compared with those alone, and returns at most ``k`` rows.  Bundles and their queries are split into parts of bounded size.
+Vectors without any structure (independent random directions in many dimensions) leave little to prune: there the ratio reads most lists.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null
 ids.  Repeated rows count once; of one id's different vectors the least in order counts.  Equal scores go by the smaller id.
@@ -29,11 +31,12 @@ SAMPLE = 50_000
 LIST_SIZE = 256
 SAMPLE_PER_LIST = 12
 COPIES = 4
-STORE_RATIO = 1.08
-RECALL = 0.998
+STORE_RATIO = 1.005
+RECALL = 0.96
 RATIO_QUERIES = 256
 LEAST_LISTS = 12
-PART = 4096
+BUNDLE = 16
+PART = 8192
 QUERY_PART = 1024
 DEGREE = 16
 
@@ -49,7 +52,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def balanced_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
-    """Means of the leaves of repeated median splits."""
+    """Means of the leaves of repeated median splits, neighbours in the tree side by side."""
     rng, out, todo = np.random.default_rng(seed), [], [(np.arange(len(x)), lists)]
     while todo:
         own, k = todo.pop()
@@ -66,7 +69,8 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
         left = k // 2
         cut = len(own) * left // k
         todo += [(order[:cut], left), (order[cut:], k - left)]
-    return np.unique(np.array(out), axis=0)
+    _, first = np.unique(np.array(out), axis=0, return_index=True)
+    return np.array(out)[np.sort(first)]
 
 
 class CentroidGraph:
@@ -137,6 +141,14 @@ def read_ratio(points: np.ndarray, centroids: np.ndarray, k: int, seed: int = 7)
     return float(np.quantile(np.concatenate(need), RECALL, method="higher"))
 
 
+def bundled(lists: list[int]) -> list[dict]:
+    """The lists of one query by bundle."""
+    out: dict[int, list[int]] = {}
+    for i in lists:
+        out.setdefault(i // BUNDLE, []).append(i)
+    return [{"bundle": b, "lists": own} for b, own in out.items()]
+
+
 def _rows(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -193,26 +205,39 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                 d = distances(x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None], c)
                 order = np.argsort(d, axis=1, kind="stable")
                 inside = np.take_along_axis(d, order, axis=1) <= d.min(axis=1)[:, None] * ratio + 1e-12
-                lists = [pa.array(order[:, :LEAST_LISTS].tolist(), pa.list_(pa.int64()))]
-                lists.append(pa.array([o[LEAST_LISTS:][i[LEAST_LISTS:]].tolist() for o, i in zip(order, inside)], pa.list_(pa.int64())))
+                kind_of = pa.list_(pa.struct([("bundle", pa.int64()), ("lists", pa.list_(pa.int64()))]))
+                lists = [pa.array([bundled(o) for o in order[:, :LEAST_LISTS].tolist()], kind_of)]
+                lists.append(pa.array([bundled(o[LEAST_LISTS:][i[LEAST_LISTS:]].tolist()) for o, i in zip(order, inside)], kind_of))
                 yield pa.RecordBatch.from_arrays([*lists, part.column(0), part.column(1)], ["closest", "others", "id", "v"])
 
-    stored = materialize(data.select("id", "v").mapInArrow(store, f"list long, id long, v {kind}"), "postings")
-    asked = materialize(data.where(queries).select("id", "v").repartition(spark.sparkContext.defaultParallelism).mapInArrow(ask, f"closest array<long>, others array<long>, id long, v {kind}"), "probes")
+    reads = "array<struct<bundle: bigint, lists: array<bigint>>>"
+    stored = materialize(data.select("id", "v").mapInArrow(store, f"list long, id long, v {kind}").withColumn("bundle", F.expr(f"list div {BUNDLE}")), "postings")
+    asked = materialize(data.where(queries).select("id", "v").repartition(spark.sparkContext.defaultParallelism).mapInArrow(ask, f"closest {reads}, others {reads}, id long, v {kind}"), "probes")
 
     def best(stored_part, asked_part):
         import pyarrow as pa
 
         rows: tuple[list, list, list] = ([], [], [])
         if stored_part.num_rows and asked_part.num_rows:
+            stored_part = stored_part.sort_by("list")
             ids, x = stored_part.column("id").to_numpy(), _rows(stored_part.column("v").combine_chunks())
-            for q_ids, q, floors in ((b.column("id").to_numpy(), _rows(b.column("v")), b.column("floor").to_numpy()) for b in asked_part.to_batches(256)):
-                rough = q @ x.T
-                for i, (own, floor) in enumerate(zip(q_ids.tolist(), floors.tolist())):
+            lists, starts = np.unique(stored_part.column("list").to_numpy(), return_index=True)
+            ends = np.append(starts[1:], len(ids))
+            for part in asked_part.combine_chunks().to_batches(256):
+                q, own_lists = _rows(part.column("v")), part.column("lists").to_pylist()
+                rough = np.full((len(q), len(ids)), -np.inf)
+                for number, start, end in zip(lists.tolist(), starts.tolist(), ends.tolist()):
+                    readers = np.array([i for i, own in enumerate(own_lists) if number in own], np.int64)
+                    if len(readers):
+                        rough[readers, start:end] = q[readers] @ x[start:end].T
+                for i, (own, floor) in enumerate(zip(part.column("id").to_pylist(), part.column("floor").to_pylist())):
                     score = np.where(ids == own, -np.inf, rough[i])
-                    least = max(floor, np.partition(score, -k)[-k] if len(score) > k else -np.inf)
+                    # a vector stands in at most COPIES lists
+                    many = k * COPIES
+                    least = max(floor, np.partition(score, -many)[-many] if len(score) > many else -np.inf)
                     # near-ties are scored the same way for equal vectors, then ordered by id
                     at = np.flatnonzero((score >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else score > -np.inf) & (score > -np.inf))
+                    at = at[np.unique(ids[at], return_index=True)[1]]
                     exact = (x[at] * q[i]).sum(axis=1)
                     at_best = np.lexsort((ids[at], -exact))[:k]
                     rows[0].extend([own] * len(at_best))
@@ -221,15 +246,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         return pa.table({"query_id": pa.array(rows[0], pa.int64()), "vec_id": pa.array(rows[1], pa.int64()), "score": pa.array(rows[2], pa.float64())})
 
     def read(asked: DataFrame) -> DataFrame:
-        # a row for each list, and there are at most sample / SAMPLE_PER_LIST lists
-        parts = F.broadcast(
-            stored.groupBy("list").count().select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts")).join(asked.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERY_PART).cast("int").alias("q_parts")), "list")
-        )
+        # a row for each bundle, and there are at most sample / SAMPLE_PER_LIST / BUNDLE bundles
+        sizes = stored.groupBy("bundle").count().select("bundle", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+        parts = F.broadcast(sizes.join(asked.groupBy("bundle").count().select("bundle", F.ceil(F.col("count") / QUERY_PART).cast("int").alias("q_parts")), "bundle"))
         hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = stored.join(parts, "list").select("list", hashed("parts").alias("part"), spread("q_parts").alias("q_part"), "id", "v")
-        right = asked.join(parts, "list").select("list", spread("parts").alias("part"), hashed("q_parts").alias("q_part"), "id", "v", "floor")
-        keys = ("list", "part", "q_part")
+        left = stored.join(parts, "bundle").select("bundle", hashed("parts").alias("part"), spread("q_parts").alias("q_part"), "list", "id", "v")
+        right = asked.join(parts, "bundle").select("bundle", spread("parts").alias("part"), hashed("q_parts").alias("q_part"), "lists", "id", "v", "floor")
+        keys = ("bundle", "part", "q_part")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
 
     def ranked(found: DataFrame) -> DataFrame:
@@ -238,8 +262,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         return found.where(F.col("rank") <= k)
 
     lowest = F.lit(float("-inf"))
-    first = materialize(ranked(read(asked.select(F.explode("closest").alias("list"), "id", "v", lowest.alias("floor")))), "closest")
+    first = materialize(ranked(read(asked.select(F.inline("closest"), "id", "v", lowest.alias("floor")))), "closest")
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    others = asked.join(floors, "id", "left").select(F.explode("others").alias("list"), "id", "v", F.coalesce("floor", lowest).alias("floor"))
+    others = asked.join(floors, "id", "left").select(F.inline("others"), "id", "v", F.coalesce("floor", lowest).alias("floor"))
     found = first.drop("rank").unionByName(read(others))
     return ranked(found).select("query_id", "rank", "vec_id", "score")
