@@ -32,7 +32,7 @@ LIST_SIZE = 256
 SAMPLE_PER_LIST = 12
 COPIES = 4
 STORE_RATIO = 1.005
-RECALL = 0.96
+RECALL = 0.998
 RATIO_QUERIES = 256
 LEAST_LISTS = 12
 BUNDLE = 16
