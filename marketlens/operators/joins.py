@@ -6,19 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, fields: list[str], tie: str, prefix: str = "r_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, fields: list[str], tie: str, prefix: str = "r_", width: str | int = "day") -> DataFrame:
     """The last right row at or before each left row, by key: one union and one sorted window, no range join.
 
-    The right row travels as one struct, so its null fields do not fall back to an older row; ``tie`` orders equal times.
+    Time is cut into slots (a unit of ``date_trunc``, or a number where ``ts`` is one), so a window holds one key's rows of one
+    slot; the last right row of each slot reaches later ones by a window over one row a slot.  The right row travels as one
+    struct, so its null fields do not fall back to an older row; ``tie`` orders equal times.  A null key or time matches nothing.
     """
+    slot = F.date_trunc(width, ts) if isinstance(width, str) else F.floor(F.col(ts) / width)
     value = F.struct(F.col(ts).alias(ts), *fields)
     kind = right.schema
     empty = F.lit(None).cast(right.select(value.alias("x")).schema["x"].dataType)
-    a = left.select(F.struct(*left.columns).alias("l"), F.col(key), F.col(ts), F.lit(1).alias("side"), F.lit(None).cast(kind[tie].dataType).alias("tie"), empty.alias("r"))
-    b = right.select(F.lit(None).cast(a.schema["l"].dataType).alias("l"), F.col(key), F.col(ts), F.lit(0).alias("side"), F.col(tie).alias("tie"), value.alias("r"))
-    upto = Window.partitionBy(key).orderBy(ts, "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("r", F.last("r", ignorenulls=True).over(upto)).where("side = 1")
-    return both.select("l.*", *[F.col(f"r.{f}").alias(prefix + f) for f in [ts, *fields]])
+    right = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    a = left.select(F.struct(*left.columns).alias("l"), F.col(key), F.col(ts), slot.alias("_slot"), F.lit(1).alias("side"), F.lit(None).cast(kind[tie].dataType).alias("tie"), empty.alias("r"))
+    b = right.select(F.lit(None).cast(a.schema["l"].dataType).alias("l"), F.col(key), F.col(ts), slot.alias("_slot"), F.lit(0).alias("side"), F.col(tie).alias("tie"), value.alias("r"))
+    both = a.unionByName(b)
+    lasts = both.groupBy(key, "_slot").agg(F.max_by("r", F.when(F.col("side") == 0, F.struct(ts, "tie"))).alias("_r"))
+    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.withColumn("_r", F.last("_r", ignorenulls=True).over(earlier)).where("_r is not null")
+    upto = Window.partitionBy(key, "_slot").orderBy(ts, "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("r", F.last("r", ignorenulls=True).over(upto)).where("side = 1").join(carried, [key, "_slot"], "left")
+    found = F.coalesce("r", "_r")
+    return both.select("l.*", *[found[f].alias(prefix + f) for f in [ts, *fields]])
 
 
 def grid(bounds: DataFrame, key: str, start: str, end: str, step: str, ts: str = "ts") -> DataFrame:

@@ -29,16 +29,32 @@ def average_rank(col: str, *by: str) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, col)) - 1) / 2
 
 
-def adjusted_p(tests: DataFrame, family: str, p: str = "p") -> DataFrame:
-    """Bonferroni, Holm and Benjamini-Hochberg values per family, monotone and capped at one."""
-    up = Window.partitionBy(family).orderBy(p, "test")
-    m = F.count(F.lit(1)).over(Window.partitionBy(family))
-    t = tests.withColumn("_m", m).withColumn("_i", F.row_number().over(up))
-    t = t.withColumn("_h", F.col(p) * (F.col("_m") - F.col("_i") + 1)).withColumn("_b", F.col(p) * F.col("_m") / F.col("_i"))
-    one = lambda c: F.least(c, F.lit(1.0))
-    return t.withColumns({
-        "bonferroni": one(F.col(p) * F.col("_m")), "holm": one(F.max("_h").over(up.rowsBetween(Window.unboundedPreceding, 0))), "bh": one(F.min("_b").over(up.rowsBetween(0, Window.unboundedFollowing))),
-    }).drop("_m", "_i", "_h", "_b")
+def adjusted_p(tests: DataFrame, family: str, p: str = "p", slots: int = 256) -> DataFrame:
+    """Bonferroni, Holm and Benjamini-Hochberg values per family, monotone and capped at one.
+
+    Equal p values get equal results, so these come from the distinct ones and their counts; approximate quantiles cut those
+    of a family into slots, each sorted by a task of its own, and what goes before or comes after a slot is summed up over one row a slot.
+    A null p stays null and is no member of its family's count.
+    """
+    some = tests.where(F.col(family).isNotNull() & F.col(p).isNotNull()).groupBy(family, p).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = some.groupBy(family).agg(F.percentile_approx(p, [i / slots for i in range(1, slots)], 10 * slots).alias("_cuts"))
+    some = some.join(cuts, family).withColumn("_s", F.size(F.filter("_cuts", lambda x: x < F.col(p)))).drop("_cuts")
+    up, down = Window.partitionBy(family, "_s").orderBy(p), Window.partitionBy(family).orderBy("_s")
+    before, after = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    sizes = some.groupBy(family, "_s").agg(F.sum("_c").alias("_n"))
+    sizes = sizes.select(family, "_s", F.coalesce(F.sum("_n").over(down.rowsBetween(*before)), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(family)).alias("_m"))
+    # among equal values the first has the greatest Holm value, the last the least Benjamini-Hochberg value
+    some = some.join(sizes, [family, "_s"]).withColumn("_i", F.col("_base") + F.sum("_c").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    some = some.withColumn("_h", F.col(p) * (F.col("_m") - F.col("_i") + F.col("_c"))).withColumn("_b", F.col(p) * F.col("_m") / F.col("_i"))
+    edges = some.groupBy(family, "_s").agg(F.max("_h").alias("_x"), F.min("_b").alias("_y"))
+    edges = edges.select(family, "_s", F.max("_x").over(down.rowsBetween(*before)).alias("_x"), F.min("_y").over(down.rowsBetween(*after)).alias("_y"))
+    one = lambda *c: F.least(*c, F.lit(1.0))
+    out = some.join(edges, [family, "_s"]).select(
+        family, p, one(F.col(p) * F.col("_m")).alias("bonferroni"),
+        F.least(F.greatest(F.max("_h").over(up.rowsBetween(Window.unboundedPreceding, 0)), "_x"), F.lit(1.0)).alias("holm"),
+        one(F.min("_b").over(up.rowsBetween(0, Window.unboundedFollowing)), F.col("_y")).alias("bh"),
+    )
+    return tests.join(out, [family, p], "left")
 
 
 def autocorrelation(df: DataFrame, col: str, lags: list[int]) -> DataFrame:

@@ -1,14 +1,15 @@
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from marketlens.operators import joins, scans
+from marketlens.operators import joins, scans, stats
 from marketlens.plans.queries import ORACLE, QUERIES
 from marketlens.sources import views
 from marketlens.streaming import streams
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PICKED = ["src01_bars", "join01_daily_features", "join06_asof", "agg01_regime_statistics", "win17_durations", "tst15_premium", "tst05_corrections", "rsp01_bootstrap", "evt01_event_study"]
+PICKED = ["src01_bars", "join01_daily_features", "join06_asof", "join07_grid_replay", "agg01_regime_statistics", "win17_durations", "tst15_premium", "tst05_corrections", "rsp01_bootstrap", "evt01_event_study"]
 
 
 def plain(rows):
@@ -29,11 +30,27 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_asof_keeps_null_fields_of_the_matched_row(spark):
-    left = spark.createDataFrame([(1, 10, 0), (1, 5, 1)], "k long, t long, id long")
-    right = spark.createDataFrame([(1, 4, 1.0, 1), (1, 10, None, 2)], "k long, t long, v double, tie long")
-    got = {r.id: (r.r_t, r.r_v) for r in joins.asof_join(left, right, "k", "t", ["v"], "tie").collect()}
-    assert got == {0: (10, None), 1: (4, 1.0)}
+@pytest.mark.parametrize("width", [1, 5, 100])
+def test_asof_keeps_null_fields_of_the_matched_row(spark, width):
+    left = spark.createDataFrame([(1, 10, 0), (1, 5, 1), (1, 3, 2), (1, 96, 3), (None, 10, 4), (1, None, 5), (2, 50, 6)], "k long, t long, id long")
+    right = spark.createDataFrame([(1, 4, 1.0, 1), (1, 10, None, 2), (1, 10, 7.0, 1), (None, 4, 1.0, 1), (1, None, 1.0, 1), (2, 51, 2.0, 1)], "k long, t long, v double, tie long")
+    got = {r.id: (r.r_t, r.r_v) for r in joins.asof_join(left, right, "k", "t", ["v"], "tie", width=width).collect()}
+    none = (None, None)
+    assert got == {0: (10, None), 1: (4, 1.0), 2: none, 3: (10, None), 4: none, 5: none, 6: none}
+
+
+@pytest.mark.parametrize("slots", [2, 7, 256])
+def test_adjusted_p_equals_the_plain_rules(spark, slots):
+    rng = np.random.default_rng(3)
+    p = [round(float(x) ** 3, 3) for x in rng.random(150)] + [0.0, 1.0]
+    rows = [("a", i, x) for i, x in enumerate(p)] + [("b", 0, 0.2), ("b", 1, None)]
+    got = {(r.family, r.test): (r.bonferroni, r.holm, r.bh) for r in stats.adjusted_p(spark.createDataFrame(rows, "family string, test long, p double"), "family", slots=slots).collect()}
+    order, m = sorted(range(len(p)), key=lambda i: p[i]), len(p)
+    holm = np.minimum(np.maximum.accumulate([p[i] * (m - n) for n, i in enumerate(order)]), 1)
+    bh = np.minimum(np.minimum.accumulate([p[i] * m / (n + 1) for n, i in reversed(list(enumerate(order)))])[::-1], 1)
+    for n, i in enumerate(order):
+        assert got["a", i] == pytest.approx((min(1, p[i] * m), holm[n], bh[n]))
+    assert got["b", 0] == pytest.approx((0.2, 0.2, 0.2)) and got["b", 1] == (None, None, None) and len(got) == len(rows)
 
 
 def test_hysteresis_waits_unless_crisis(spark):
