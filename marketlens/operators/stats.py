@@ -29,11 +29,11 @@ def average_rank(col: str, *by: str) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, col)) - 1) / 2
 
 
-def adjusted_p(tests: DataFrame, family: str, p: str = "p", slots: int = 256) -> DataFrame:
+def adjusted_p(tests: DataFrame, family: str, p: str = "p", slots: int = 32) -> DataFrame:
     """Bonferroni, Holm and Benjamini-Hochberg values per family, monotone and capped at one.
 
     Equal p values get equal results, so these come from the distinct ones and their counts; approximate quantiles cut those
-    of a family into slots, each sorted by a task of its own, and what goes before or comes after a slot is summed up over one row a slot.
+    of a family into slots, each sorted by a task of its own (more ``slots`` for larger families), and what goes before or comes after a slot is summed up over one row a slot.
     A null p stays null and is no member of its family's count.
     """
     some = tests.where(F.col(family).isNotNull() & F.col(p).isNotNull()).groupBy(family, p).agg(F.count(F.lit(1)).alias("_c"))
