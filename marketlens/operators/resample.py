@@ -33,6 +33,13 @@ def bootstrap_gap(df: DataFrame, row: str, value: str, n: int, by: str = "symbol
     return rows.groupBy(by, "rep").agg((mean("extreme") - mean("neutral")).alias("gap"))
 
 
+def bootstrap_sums(df: DataFrame, row: str, means: dict[str, tuple[Column, Column]], n: int, by: list[str]) -> DataFrame:
+    """Weighted means (each a value and its own weight) in each of ``n`` replicates: what means and slopes are made of."""
+    held = df.select(*by, F.col(row).alias("_n"), *[c.alias(f"_{k}{i}") for k, pair in means.items() for i, c in enumerate(pair)])
+    rows = held.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("w", poisson_weight(hashed(F.col("_n"), F.col("rep"))))
+    return rows.groupBy(*by, "rep").agg(*[F.try_divide(F.sum(F.col("w") * F.col(f"_{k}1") * F.col(f"_{k}0")), F.sum(F.col("w") * F.col(f"_{k}1"))).alias(k) for k in means])
+
+
 def permuted_gap(df: DataFrame, row: str, value: str, n: int, by: str = "symbol") -> DataFrame:
     """Gap under ``n`` relabellings: each replicate deals the labels out again in a hashed order of the rows."""
     rows = df.select(by, row, value, (F.col("strength") == "extreme").cast("int").alias("e"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("rep"))

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def ewma(df: DataFrame, col: str, alpha: float, key: str = "symbol", order: str = "date", out: str = "ewma") -> DataFrame:
-    """s = alpha x + (1 - alpha) s, from the first value; nulls keep the state."""
+def ewma(df: DataFrame, col: str, alpha: float, key: str = "symbol", order: str = "date", out: str = "ewma", first: float | None = None) -> DataFrame:
+    """s = alpha x + (1 - alpha) s, from ``first`` or else the first value; nulls keep the state."""
 
     def run(pdf):
         pdf = pdf.sort_values(order, kind="stable")
-        state, res = None, []
+        state, res = first, []
         for x in pdf[col]:
             if x == x and x is not None:
                 state = x if state is None else alpha * x + (1 - alpha) * state
@@ -41,8 +41,8 @@ def hysteresis(df: DataFrame, candidate: str, hold: int = 3, key: str = "symbol"
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-def spaced_events(events: DataFrame, gap: int, row: str = "n", key: str = "symbol") -> DataFrame:
-    """Greedy choice of events at least ``gap`` rows apart."""
+def spaced_events(events: DataFrame, gap: int, row: str = "n", key: str | list[str] = "symbol") -> DataFrame:
+    """Greedy choice of events at least ``gap`` rows apart, per key."""
 
     def run(pdf):
         pdf = pdf.sort_values(row, kind="stable")
@@ -52,11 +52,11 @@ def spaced_events(events: DataFrame, gap: int, row: str = "n", key: str = "symbo
             last = n if keep[-1] else last
         return pdf[keep]
 
-    return events.groupBy(key).applyInPandas(run, events.schema)
+    return events.groupBy(*([key] if isinstance(key, str) else key)).applyInPandas(run, events.schema)
 
 
 def contrarian_trades(df: DataFrame, hold: int = 10, cost: float = 0.002, key: str = "symbol") -> DataFrame:
-    """Enter on extreme fear, leave outside the fear zone or after ``hold`` rows; one row per closed trade."""
+    """Enter on extreme fear, leave outside the fear zone, after ``hold`` rows or at the last one; one row per closed trade."""
 
     def run(pdf):
         import pandas as pd
@@ -65,7 +65,7 @@ def contrarian_trades(df: DataFrame, hold: int = 10, cost: float = 0.002, key: s
         for i, (d, c, r) in enumerate(zip(pdf["date"], pdf["close"], pdf["regime"])):
             if entry is None and r == "extreme_fear":
                 entry = (i, d, c)
-            elif entry is not None and (r not in ("extreme_fear", "fear") or i - entry[0] >= hold):
+            elif entry is not None and (r not in ("extreme_fear", "fear") or i - entry[0] >= hold or i == len(pdf) - 1):
                 out.append((pdf[key].iloc[0], entry[1], d, i - entry[0], c / entry[2] - 1 - cost))
                 entry = None
         return pd.DataFrame(out, columns=[key, "entered", "exited", "held", "net"])

@@ -118,6 +118,19 @@ def newey_west_mean(df: DataFrame, col: str, lags: int, by: str = "symbol") -> D
     return shifted.groupBy(by).agg(n.alias("n"), F.avg(col).alias("mean"), (F.sqrt(F.greatest(total, F.lit(0.0))) / n).alias("se"))
 
 
+def mean_with_auto_lags(df: DataFrame, col: str, by: list[str], order: str, *more: Column) -> DataFrame:
+    """Mean and its Newey-West error with floor(4 (n / 100)^(2/9)) lags per group: each row meets its few predecessors by an equi-join."""
+    g = df.where(F.col(col).isNotNull())
+    m = g.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("mean"), F.var_samp(col).alias("_v"), *more)
+    m = m.withColumn("_l", F.floor(4 * F.pow(F.col("n") / 100, F.lit(2.0 / 9))))
+    numbered = g.select(*by, col, F.row_number().over(Window.partitionBy(*by).orderBy(order)).alias("_i"))
+    u = numbered.join(m.select(*by, "n", "mean", "_l"), by).select(*by, "_i", "n", "_l", (F.col(col) - F.col("mean")).alias("_u"))
+    back = u.where("_l >= 1").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_l"))).withColumn("_i", F.col("_i") - F.col("_k"))
+    pairs = back.join(u.select(*by, "_i", F.col("_u").alias("_w")), [*by, "_i"])
+    sums = pairs.groupBy(*by).agg(F.sum(2 * (1 - F.col("_k") / (F.col("_l") + 1)) * F.col("_u") * F.col("_w") / F.col("n")).alias("_s"))
+    return m.join(sums, by, "left").withColumn("se", F.sqrt(F.greatest(F.col("_v") + F.coalesce("_s", F.lit(0.0)), F.lit(0.0)) / F.col("n"))).drop("_v", "_l", "_s")
+
+
 def two_samples(df: DataFrame, strata: list[str], value: str) -> DataFrame:
     """n1, m1, v1 of extreme and n2, m2, v2 of neutral days, where both have more than one."""
     side = {"1": F.when(F.col("strength") == "extreme", F.col(value)), "2": F.when(F.col("strength") == "neutral", F.col(value))}

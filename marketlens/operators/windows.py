@@ -54,6 +54,15 @@ def abdi_ranaldo(df: DataFrame, width: int = 20, out: str = "ar") -> DataFrame:
     return df.withColumn(out, full(2 * F.sqrt(F.greatest(F.avg("_x").over(frame(width)), F.lit(0.0))), F.col("_x"), width)).drop("_eta", "_x")
 
 
+def midpoint_spread(df: DataFrame, width: int = 20) -> DataFrame:
+    """Spread from the mean of 4 (close - mid)(close - last close), in basis points of the close, and its error by the delta method."""
+    df = df.withColumn("_x", 4 * (F.col("close") - (F.col("high") + F.col("low")) / 2) * (F.col("close") - F.lag("close").over(by_day())))
+    df = df.withColumns({"spread_sq": full(F.avg("_x").over(frame(width)), F.col("_x"), width), "_s": F.stddev_samp("_x").over(frame(width))})
+    scale = 10_000 / F.col("close")
+    error = F.col("_s") / math.sqrt(width) / (2 * F.sqrt(F.greatest("spread_sq", F.lit(1e-10))))
+    return df.withColumns({"spread_bps": F.when(F.col("spread_sq").isNotNull(), F.sqrt(F.greatest("spread_sq", F.lit(0.0))) * scale), "se_bps": error * scale}).drop("_x", "_s")
+
+
 def roll_measure(df: DataFrame, width: int = 20, out: str = "roll") -> DataFrame:
     df = df.withColumn("_lag", F.lag("ret").over(by_day()))
     cov = full(F.covar_samp("ret", "_lag").over(frame(width)), F.col("_lag"), width)

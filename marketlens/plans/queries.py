@@ -578,10 +578,10 @@ def evt01_event_study(spark, sf):
     return e.groupBy("symbol", "h").agg(F.count("x").alias("n"), r(F.avg("x")).alias("mean"), r(F.stddev_samp("x")).alias("std"), r(F.avg((F.col("x") > 0).cast("int"))).alias("hit"))
 
 
-@query(f"""{_RECURSIVE}, c AS (SELECT symbol, date, close, regime, row_number() {S} AS n FROM daily), t AS (SELECT symbol, 0::BIGINT AS n, NULL::BIGINT AS at, NULL::DOUBLE AS paid, NULL::DATE AS entered, NULL::DATE AS closed, NULL::BIGINT AS held, NULL::DOUBLE AS net FROM (SELECT DISTINCT symbol FROM c)
- UNION ALL SELECT c.symbol, c.n, CASE WHEN t.at IS NULL AND c.regime = 'extreme_fear' THEN c.n WHEN t.at IS NOT NULL AND (c.regime NOT IN ('extreme_fear', 'fear') OR c.n - t.at >= 10) THEN NULL ELSE t.at END,
+@query(f"""{_RECURSIVE}, c AS (SELECT symbol, date, close, regime, row_number() {S} AS n, count(*) OVER (PARTITION BY symbol) AS last FROM daily), t AS (SELECT symbol, 0::BIGINT AS n, NULL::BIGINT AS at, NULL::DOUBLE AS paid, NULL::DATE AS entered, NULL::DATE AS closed, NULL::BIGINT AS held, NULL::DOUBLE AS net FROM (SELECT DISTINCT symbol FROM c)
+ UNION ALL SELECT c.symbol, c.n, CASE WHEN t.at IS NULL AND c.regime = 'extreme_fear' THEN c.n WHEN t.at IS NOT NULL AND (c.regime NOT IN ('extreme_fear', 'fear') OR c.n - t.at >= 10 OR c.n = c.last) THEN NULL ELSE t.at END,
  CASE WHEN t.at IS NULL AND c.regime = 'extreme_fear' THEN c.close ELSE t.paid END, CASE WHEN t.at IS NULL AND c.regime = 'extreme_fear' THEN c.date ELSE t.entered END, c.date,
- CASE WHEN t.at IS NOT NULL AND (c.regime NOT IN ('extreme_fear', 'fear') OR c.n - t.at >= 10) THEN c.n - t.at END, CASE WHEN t.at IS NOT NULL AND (c.regime NOT IN ('extreme_fear', 'fear') OR c.n - t.at >= 10) THEN c.close / t.paid - 1 - 0.002 END FROM t JOIN c ON c.symbol = t.symbol AND c.n = t.n + 1)
+ CASE WHEN t.at IS NOT NULL AND (c.regime NOT IN ('extreme_fear', 'fear') OR c.n - t.at >= 10 OR c.n = c.last) THEN c.n - t.at END, CASE WHEN t.at IS NOT NULL AND (c.regime NOT IN ('extreme_fear', 'fear') OR c.n - t.at >= 10 OR c.n = c.last) THEN c.close / t.paid - 1 - 0.002 END FROM t JOIN c ON c.symbol = t.symbol AND c.n = t.n + 1)
  SELECT symbol, strftime(entered, '%Y-%m-%d') AS entered, strftime(closed, '%Y-%m-%d') AS exited, held, round(net, 6) AS net FROM t WHERE held IS NOT NULL""")
 def bt01_contrarian(spark, sf):
     return scans.contrarian_trades(daily(spark, sf)).withColumn("net", r("net"))

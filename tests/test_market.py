@@ -9,7 +9,7 @@ from marketlens.sources import views
 from marketlens.streaming import streams
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PICKED = ["src01_bars", "join01_daily_features", "join06_asof", "join07_grid_replay", "agg01_regime_statistics", "win17_durations", "tst15_premium", "tst05_corrections", "rsp01_bootstrap", "evt01_event_study"]
+PICKED = ["src01_bars", "join01_daily_features", "join06_asof", "join07_grid_replay", "agg01_regime_statistics", "win17_durations", "tst15_premium", "tst05_corrections", "rsp01_bootstrap", "evt01_event_study", "evt01_thresholds", "join07_two_sided_replay", "bt01_summary", "rsp01_slope", "win14_method_agreement", "win19_ewma_from_zero"]
 
 
 def plain(rows):
@@ -26,6 +26,16 @@ def test_query_equals_sql(spark, sf, name):
     assert plain(map(tuple, got.select(*names).collect())) == plain(con.sql(f"SELECT {', '.join(names)} FROM ({ORACLE[name]})").fetchall())
 
 
+def test_robust_error_of_a_mean_takes_its_own_lags(spark):
+    x = np.cumsum(np.random.default_rng(5).normal(size=150)) / 10
+    rows = [("a", i, float(v)) for i, v in enumerate(x)] + [("a", 200, None), ("b", 0, 1.0), ("b", 1, 2.0)]
+    got = {r.k: r for r in stats.mean_with_auto_lags(spark.createDataFrame(rows, "k string, n long, x double"), "x", ["k"], "n").collect()}
+    u, lags = x - x.mean(), int(4 * (150 / 100) ** (2 / 9))
+    variance = x.var(ddof=1) + sum(2 * (1 - j / (lags + 1)) * (u[j:] @ u[:-j]) / 150 for j in range(1, lags + 1))
+    assert got["a"].se == pytest.approx((variance / 150) ** 0.5) and got["a"].n == 150
+    assert got["b"].n == 2 and got["b"].mean == 1.5
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
