@@ -46,3 +46,25 @@ def neighbourhood(df: DataFrame, event: Column, reach: int, value: str) -> DataF
     series = Window.partitionBy("symbol").orderBy("date")
     marked = df.withColumns({"before": F.avg(value).over(series.rowsBetween(-reach, -1)), "after": F.avg(value).over(series.rowsBetween(1, reach)), "_e": event})
     return marked.where("_e").select("symbol", "date", "before", F.col(value).alias("at"), "after")
+
+
+def replay(df: DataFrame, key: str, ts: str, tie: str, marks: dict[str, tuple[Column, list[str]]], sums: dict[str, Column], width: str | int = "day") -> DataFrame:
+    """Beside each row the fields of the last row of each kind strictly before it (``<mark>_<field>``), and running sums that include it.
+
+    Rows are ordered by (``ts``, ``tie``) within a key; slots of time as in ``asof_join``, so a window holds one key's rows of a slot or one row
+    a slot.  A mark's fields travel as one struct, so nulls do not fall back to an older row.
+    """
+    slot = F.date_trunc(width, ts) if isinstance(width, str) else F.floor(F.col(ts) / width)
+    held = {f"_m_{m}": F.when(test, F.struct(*fields)) for m, (test, fields) in marks.items()}
+    rows = df.withColumns({"_slot": slot, **held, **{f"_s_{s}": c for s, c in sums.items()}})
+    at = F.struct(ts, tie)
+    ends = rows.groupBy(key, "_slot").agg(*[F.max_by(m, F.when(F.col(m).isNotNull(), at)).alias(f"{m}_0") for m in held], *[F.sum(f"_s_{s}").alias(f"_s_{s}_0") for s in sums])
+    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "_slot", *[F.last(f"{m}_0", ignorenulls=True).over(earlier).alias(f"{m}_0") for m in held], *[F.sum(f"_s_{s}_0").over(earlier).alias(f"_s_{s}_0") for s in sums])
+    inside = Window.partitionBy(key, "_slot").orderBy(ts, tie)
+    before, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({**{f"{m}_1": F.last(m, ignorenulls=True).over(before) for m in held}, **{f"_s_{s}_1": F.sum(f"_s_{s}").over(upto) for s in sums}})
+    rows = rows.join(carried, [key, "_slot"])
+    found = {f"{m}_{f}": F.coalesce(f"_m_{m}_1", f"_m_{m}_0")[f] for m, (_, fields) in marks.items() for f in fields}
+    totals = {f"{s}_total": F.coalesce(f"_s_{s}_1", F.lit(0.0)) + F.coalesce(f"_s_{s}_0", F.lit(0.0)) for s in sums}
+    return rows.withColumns({**found, **totals}).select(*df.columns, *found, *totals)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.operators import stats
+from marketlens.operators import scans, stats
 
 # fixed values: MacKinnon's response surfaces of the Dickey-Fuller test with a constant, KPSS levels, Johansen's 95 % values
 ADF_LEVELS = {"crit_1": (-3.43035, -6.5393, -16.786, -79.433), "crit_5": (-2.86154, -2.8903, -4.234, -40.040), "crit_10": (-2.56677, -1.5384, -2.809, 0.0)}
@@ -309,33 +309,59 @@ def block_shuffled_gap(df: DataFrame, value: str, n: int, in_place: bool, draw,
     return parts.groupBy(by, "rep").agg((mean(extreme) - mean(F.col("given") == "neutral")).alias("gap"))
 
 
-def autoregressive_gap(df: DataFrame, index: str, value: str, n: int, classify: Callable[[np.ndarray], np.ndarray], by: str = "symbol", order: str = "date", seed: int = 11, bundle: int = 50) -> DataFrame:
+class _Noise(scans.Scan):
+    """x = a + b x + s noise, for many replicates at once: an affine map with one added part a replicate."""
+
+    def __init__(self, by: str, index: str, value: str, order: str, n: int, bundle: int, seed: int, classify: Callable[[np.ndarray], np.ndarray]):
+        self.by, self.index, self.value, self.order, self.n, self.bundle, self.seed, self.classify = by, index, value, order, n, bundle, seed, classify
+
+    def _reps(self, rows: pd.DataFrame) -> np.ndarray:
+        part = int(rows["_bundle"].iloc[0])
+        return np.arange(part * self.bundle, min(self.n, (part + 1) * self.bundle))
+
+    def _made(self, rows: pd.DataFrame, state: list[float] | None) -> np.ndarray:
+        """The made-up values of each row and replicate; without a state the first row has its own index."""
+        a, b, s = (float(rows[c].iloc[0]) for c in ("_a", "_b", "_s"))
+        names = np.array([str(rows[self.by].iloc[0]), str(rows[self.order].iloc[0])], object)
+        rng = np.random.default_rng([self.seed, *(int(h) for h in pd.util.hash_array(names)), int(rows["_bundle"].iloc[0])])
+        noise = a + s * rng.standard_normal((len(rows), len(self._reps(rows))))
+        made = np.empty_like(noise)
+        made[0] = float(rows[self.index].iloc[0]) if state is None else b * np.array(state) + noise[0]
+        for t in range(1, len(rows)):
+            made[t] = b * made[t - 1] + noise[t]
+        return made
+
+    def fold(self, rows):
+        zero = [0.0] * len(self._reps(rows))
+        return [float(rows["_b"].iloc[0]) ** len(rows), self._made(rows, zero)[-1].tolist(), self._made(rows, None)[-1].tolist()]
+
+    def carry(self, state, folded):
+        decay, added, alone = folded
+        return alone if state is None else [decay * x + y for x, y in zip(state, added)]
+
+    def run(self, rows, state, last):
+        kind = self.classify(np.clip(self._made(rows, state), 0, 100))
+        v = rows[self.value].to_numpy(np.float64)[:, None]
+        there = ~np.isnan(v)
+        out = {self.by: rows[self.by].iloc[0], "rep": self._reps(rows)}
+        for k, name in ((1, "extreme"), (0, "neutral")):
+            own = there & (kind == k)
+            out |= {f"{name}_sum": np.where(own, v, 0).sum(axis=0), f"{name}_n": own.sum(axis=0)}
+        return pd.DataFrame(out)
+
+
+def autoregressive_gap(df: DataFrame, index: str, value: str, n: int, classify: Callable[[np.ndarray], np.ndarray], by: str = "symbol", order: str = "date", seed: int = 11, bundle: int = 50, width: scans.Width = None) -> DataFrame:
     """Extreme over neutral means under ``n`` made-up index series a key, AR(1) with the fitted coefficients, clipped to 0..100.
 
-    ``classify`` gives 1 for extreme, 0 for neutral and -1 for other values.  Replicates go out in bundles, a series once a bundle;
-    noise depends on the seed, the key and the bundle alone, so a task that runs again draws the same.  A series must fit a worker.
+    ``classify`` gives 1 for extreme, 0 for neutral and -1 for other values.  Replicates go out in bundles, a series once a bundle, cut
+    into segments; noise depends on the seed, the key, the segment's first day and the bundle alone, so a task that runs again draws the same.
     """
     series = Window.partitionBy(by).orderBy(order)
     pairs = df.where(F.col(index).isNotNull()).select(by, F.col(index).alias("_y"), F.lag(index).over(series).alias("_x")).where("_x is not null")
     line = pairs.groupBy(by).agg(F.regr_intercept("_y", "_x").alias("_a"), F.regr_slope("_y", "_x").alias("_b"), F.sqrt(F.var_pop("_y") - F.regr_r2("_y", "_x") * F.var_pop("_y")).alias("_s"))
     bundles = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // bundle))).alias("_bundle")
     rows = df.where(F.col(index).isNotNull()).select(by, order, index, value, bundles).join(line, by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        key, part = pdf[by].iloc[0], int(pdf["_bundle"].iloc[0])
-        a, b, s = (float(pdf[c].iloc[0]) for c in ("_a", "_b", "_s"))
-        reps = np.arange(part * bundle, min(n, (part + 1) * bundle))
-        rng = np.random.default_rng([seed, int(pd.util.hash_array(np.array([str(key)], object))[0]), part])
-        made = np.empty((len(pdf), len(reps)))
-        made[0] = pdf[index].iloc[0]
-        for t in range(1, len(pdf)):
-            made[t] = a + b * made[t - 1] + s * rng.standard_normal(len(reps))
-        kind = classify(np.clip(made, 0, 100))
-        v = pdf[value].to_numpy(np.float64)[:, None]
-        there = ~np.isnan(v)
-        mean = lambda k: np.divide(np.where(there & (kind == k), v, 0).sum(axis=0), (c := (there & (kind == k)).sum(axis=0)), out=np.full(len(reps), np.nan), where=c > 0)
-        return pd.DataFrame({by: key, "rep": reps, "gap": mean(1) - mean(0)})
-
-    out = rows.groupBy(by, "_bundle").applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, rep long, gap double")
-    return out.withColumn("gap", F.nanvl("gap", F.lit(None).cast("double")))
+    schema = f"{by} {df.schema[by].dataType.simpleString()}, rep long, extreme_sum double, extreme_n long, neutral_sum double, neutral_n long"
+    parts = scans.segmented(rows, _Noise(by, index, value, order, n, bundle, seed, classify), [by, "_bundle"], order, schema, width)
+    mean = lambda k: F.try_divide(F.sum(f"{k}_sum"), F.sum(f"{k}_n"))
+    return parts.groupBy(by, "rep").agg((mean("extreme") - mean("neutral")).alias("gap"))

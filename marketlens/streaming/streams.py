@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +13,45 @@ def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def kafka_json(spark: SparkSession, servers: str, topic: str, schema: str, per_trigger: int = 100_000) -> DataFrame:
-    """JSON messages of a topic from the latest offsets on, typed; what cannot be parsed is in ``_corrupt``."""
+def kafka_messages(spark: SparkSession, servers: str, topic: str, per_trigger: int = 100_000) -> DataFrame:
+    """Messages of a topic from the latest offsets on: ``value`` as text and ``arrived``; ``per_trigger`` bounds a batch and drops nothing."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "latest").option("maxOffsetsPerTrigger", per_trigger).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("m")).select("m.*")
+    return raw.select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrived"))
+
+
+# What stands for fields that a message lacks.
+BOOK_DEFAULTS = {"mid_price": 0.0, "best_bid": 0.0, "best_ask": 0.0, "spread_bps": 0.0, "imbalance": 0.0, "bid_volume": 0.0, "ask_volume": 0.0}
+SENTIMENT_DEFAULTS = {"sentiment": 0.0, "epistemic": 0.1, "aleatoric": 0.2}
+DEFAULT_SYMBOL, DEFAULT_SOURCE, DEFAULT_REGIME, SNIPPET = "BTCUSDT", "reddit", "neutral", 100
+
+
+def _fields(messages: DataFrame, value: str) -> DataFrame:
+    """The message as a map of texts; rows that are no JSON object have none."""
+    return messages.withColumn("_m", F.from_json(value, "map<string,string>"))
+
+
+def book_messages(messages: DataFrame, value: str = "value", arrived: str = "arrived", keep: Sequence[str] = ()) -> DataFrame:
+    """JSON book messages as typed rows, each missing or unreadable field by its default; what is no object is left out."""
+    m = _fields(messages, value).where("_m is not null")
+    at = F.coalesce(F.col("_m")["timestamp"].try_cast("timestamp"), F.col(arrived))
+    number = {n: F.coalesce(F.col("_m")[n].try_cast("double"), F.lit(d)) for n, d in BOOK_DEFAULTS.items()}
+    return m.select(*keep, at.alias("ts"), F.coalesce(F.col("_m")["symbol"], F.lit(DEFAULT_SYMBOL)).alias("symbol"), *[c.alias(n) for n, c in number.items()])
+
+
+def sentiment_messages(messages: DataFrame, value: str = "value", arrived: str = "arrived", keep: Sequence[str] = ()) -> DataFrame:
+    """JSON sentiment messages, analysed ones as they are and raw posts with neutral defaults, ``analysed`` telling which; texts as snippets.
+
+    A raw post's snippet is its title, or its text where it has none."""
+    m = _fields(messages, value).where("_m is not null")
+    f = lambda n: F.col("_m")[n]
+    done = F.map_contains_key("_m", "sentiment")
+    number = lambda n, key: F.when(done, F.coalesce(f(key).try_cast("double"), F.lit(SENTIMENT_DEFAULTS[n]))).otherwise(SENTIMENT_DEFAULTS[n]).alias(n)
+    text = lambda n, default: F.when(done, F.coalesce(f(n), F.lit(default))).otherwise(default).alias(n)
+    snippet = F.substring(F.coalesce(F.when(done, f("text")).otherwise(F.coalesce(f("title"), f("text"))), F.lit("")), 1, SNIPPET)
+    return m.select(
+        *keep, F.coalesce(f("timestamp").try_cast("timestamp"), F.col(arrived)).alias("ts"), number("sentiment", "sentiment"), number("epistemic", "epistemic_uncertainty"), number("aleatoric", "aleatoric_uncertainty"),
+        text("regime", DEFAULT_REGIME), text("source", DEFAULT_SOURCE), snippet.alias("snippet"), done.alias("analysed"),
+    )
 
 
 def kafka_sink(df: DataFrame, servers: str, topic: str, key: str, checkpoint: str):
@@ -35,29 +70,6 @@ def deduplicated(df: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if df.isStreaming else df.dropDuplicates([key])
 
 
-def aligned(ticks: DataFrame, max_age_s: int = 300, decay: float = 0.99) -> DataFrame:
-    """Latest value of each source beside each tick, with age, a stale flag and decay toward zero; state lives across batches."""
-    schema = "symbol long, ts timestamp, price double, other double, age_s double, stale boolean, decayed double"
-
-    def step(key, batches: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        other, since = state.get if state.exists else (None, None)
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        rows = []
-        for ts, price, source in zip(pdf["ts"], pdf["price"], pdf["source"]):
-            at = ts.timestamp()
-            if source == "view":
-                other, since = float(price), at
-            else:
-                age = None if since is None else at - since
-                rows.append((key[0], ts, price, other, age, age is None or age > max_age_s, None if age is None else other * decay ** (age / 60)))
-        state.update((other, since))
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "price", "other", "age_s", "stale", "decayed"])
-
-    return ticks.groupBy("symbol").applyInPandasWithState(step, schema, "other double, since double", "append", "NoTimeout")
-
-
 def composed_signals(signals: DataFrame, hold: int = 3, width: int = 5, alpha: float = 0.1, late: str = "1 hour", idle_s: int = 86_400) -> DataFrame:
     """Mean of the last ``width`` blends, state with hysteresis and an exponential mean of the blend, per symbol across batches.
 
@@ -91,12 +103,12 @@ def composed_signals(signals: DataFrame, hold: int = 3, width: int = 5, alpha: f
     return signals.withWatermark("ts", late).groupBy("symbol").applyInPandasWithState(step, schema, kept, "append", "EventTimeTimeout")
 
 
-def quotes(books: DataFrame, inventory_risk: float = 0.1, sensitivity: float = 1.0, least_bps: float = 5.0) -> DataFrame:
+def quotes(books: DataFrame, inventory_risk: float = 0.1, sensitivity: float = 1.0, least_bps: float = 5.0, digits: int = 2) -> DataFrame:
     """Bid and ask around a reservation price that inventory and sentiment shift; the spread has a floor in basis points."""
     mid, spread = (F.col("bid") + F.col("ask")) / 2, F.col("ask") - F.col("bid")
     inventory, sentiment = -F.col("inventory") * inventory_risk, F.col("sentiment") * sensitivity
     centre, half = mid + inventory + sentiment, F.greatest(spread / 2, mid * least_bps / 10_000)
-    return books.withColumns({"bid_price": F.round(centre - half, 2), "ask_price": F.round(centre + half, 2), "ref_price": F.round(centre, 2), "inv_skew": F.round(inventory, 4), "sent_skew": F.round(sentiment, 4)})
+    return books.withColumns({"bid_price": F.round(centre - half, digits), "ask_price": F.round(centre + half, digits), "ref_price": F.round(centre, digits), "inv_skew": F.round(inventory, 4), "sent_skew": F.round(sentiment, 4)})
 
 
 def counted(df: DataFrame, name: str, bad):
@@ -126,15 +138,6 @@ def scored(texts: DataFrame, analyse, batch_rows: int = 32, column: str = "text"
     return texts.mapInPandas(run, schema)
 
 
-def dated_sink(df: DataFrame, path: str, checkpoint: str, ts: str = "ts"):
-    """History as Parquet partitioned by date, each file sorted by key and time."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.withColumn("date", F.to_date(ts)).sortWithinPartitions("symbol", ts).write.mode("append").partitionBy("date").parquet(path)
-
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain a finite stream into Parquet and read it back."""
     query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
