@@ -4,8 +4,8 @@ Rows wait in state until the watermark has passed them; an event-time timer then
 the same ``Scan`` that runs over the segments of a stored table: a stretch between two watermarks is one more segment.  Results
 therefore equal those of the table, but for rows that came later than ``late``, which the watermark drops, and for rows it has not reached.
 
-State of a key: its waiting rows (as Arrow batches), the scan's state and the time of its last row.  A key without rows for ``idle``
-is forgotten.  These operators need the RocksDB state store.
+State of a key: its waiting rows (as Arrow batches), the scan's state and the time of its last row.  A key without rows for ``idle_s``
+starts anew and is forgotten meanwhile.  These operators need the RocksDB state store.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from marketlens.operators.scans import Scan
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-AT = "_at"
+AT = "event_us"  # no leading underscore: the stateful operator renames such columns
 
 
 def _plain(v: Any) -> Any:
@@ -76,8 +76,10 @@ class Replay(Scan):
 
 
 class _Ordered(StatefulProcessor):
-    def __init__(self, scan: Scan, order: list[str], idle_ms: int, schema: T.StructType):
-        self.scan, self.order, self.idle_ms, self.schema = scan, order, idle_ms, schema
+    """Event time is kept as microseconds alone, as pandas does not keep the zone of timestamps."""
+
+    def __init__(self, scan: Scan, order: list[str], idle_ms: int, ts: str, names: list[str]):
+        self.scan, self.order, self.idle_ms, self.ts, self.names = scan, order, idle_ms, ts, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -96,40 +98,46 @@ class _Ordered(StatefulProcessor):
     def _wake(self, at: int, watermark_ms: int) -> None:
         self.handle.registerTimer(max(-(-at // 1000), watermark_ms + 1))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         least = None
         for pdf in rows:
-            self.waiting.appendValue(self._pack(pdf))
+            self.waiting.appendValue(self._pack(pdf.drop(columns=self.ts)))
             least = int(pdf[AT].min()) if least is None else min(least, int(pdf[AT].min()))
         if least is not None:
-            self._wake(least, timer.getCurrentWatermarkInMs())
+            self._wake(least, timerValues.getCurrentWatermarkInMs())
         return iter([])
 
-    def handleExpiredTimer(self, key: Any, timer: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         import pyarrow as pa
 
-        watermark = timer.getCurrentWatermarkInMs()
+        watermark = timerValues.getCurrentWatermarkInMs()
         parts = [pa.ipc.open_stream(batch).read_pandas() for (batch,) in self.waiting.get()]
         state, at = self.kept.get() if self.kept.exists() else (json.dumps(self.scan.start), None)
-        if not parts:
-            if at is not None and at + self.idle_ms * 1000 <= watermark * 1000:
-                self.kept.clear()
-            return
-        rows = pd.concat(parts, ignore_index=True)
+        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({AT: np.array([], np.int64)})
         due = rows[AT] <= watermark * 1000
-        now, rest = rows[due].sort_values([AT, *self.order], kind="stable"), rows[~due]
+        now, rest = rows[due].sort_values([AT, *self.order], kind="stable") if parts else rows, rows[~due]
         self.waiting.clear()
         if len(rest):
             self.waiting.appendValue(self._pack(rest))
             self._wake(int(rest[AT].min()), watermark)
         if not len(now):
+            if at is not None and at + self.idle_ms * 1000 < watermark * 1000:
+                self.kept.clear()
             return
-        before = json.loads(state)
-        at = int(now[AT].max())
-        self.kept.update((json.dumps(self.scan.carry(before, json.loads(json.dumps(self.scan.fold(now))))), at))
+        # silence for longer than that starts anew, wherever batches end
+        times = now[AT].to_numpy()
+        cuts = np.flatnonzero(np.diff(times, prepend=times[0] if at is None else at) > self.idle_ms * 1000)
+        held, done = json.loads(state), []
+        for i, j in zip([0, *cuts], [*cuts, len(now)]):
+            held = self.scan.start if i in cuts else held
+            if j > i:
+                part = now.iloc[i:j]
+                done.append(self.scan.run(part, held, False)[self.names])
+                held = self.scan.carry(held, json.loads(json.dumps(self.scan.fold(part))))
+        self.kept.update((json.dumps(held), int(times[-1])))
         if not len(rest):
-            self.handle.registerTimer(max(at // 1000 + self.idle_ms, watermark + 1))
-        yield self.scan.run(now, before, False)
+            self.handle.registerTimer(max(int(times[-1]) // 1000 + self.idle_ms + 1, watermark + 1))
+        yield from done
 
     def close(self) -> None:
         pass
@@ -142,25 +150,10 @@ def streamed(df: DataFrame, scan: Scan, key: str, schema: str, ts: str = "ts", o
     out = T.StructType.fromDDL(schema)
     held = T.StructType([T.StructField(AT, T.LongType()) if f.name == ts else f for f in out])
     rows = df.withWatermark(ts, late).withColumn(AT, F.unix_micros(ts))
-    found = rows.groupBy(key).transformWithStateInPandas(_Keep(scan, list(order), idle_s * 1000, held, ts), held, "Append", "EventTime")
+    found = rows.groupBy(key).transformWithStateInPandas(_Ordered(scan, list(order), idle_s * 1000, ts, held.names), held, "Append", "EventTime")
     return found.select(*[F.timestamp_micros(AT).alias(ts) if f.name == ts else F.col(f.name) for f in out])
 
 
-class _Keep(_Ordered):
-    """Without the event time as a timestamp, whose zone pandas does not keep."""
-
-    def __init__(self, scan: Scan, order: list[str], idle_ms: int, schema: T.StructType, ts: str):
-        super().__init__(scan, order, idle_ms, schema)
-        self.ts = ts
-
-    def handleInputRows(self, key, rows, timer):
-        return super().handleInputRows(key, (pdf.drop(columns=self.ts) for pdf in rows), timer)
-
-    def handleExpiredTimer(self, key, timer, expired):
-        for out in super().handleExpiredTimer(key, timer, expired):
-            yield out[self.schema.names]
-
-
 # ---- alignment of books with sentiment
 
 # What stands for sentiment that was never seen, when decay starts and what it falls back to.

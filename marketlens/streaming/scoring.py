@@ -36,7 +36,8 @@ def sampled(texts: DataFrame, model: Callable[[], Callable[[list[str]], Any]], b
 
 def reduced(samples: Column) -> dict[str, Column]:
     """Score (last class less first), mean spread over the samples, entropy of the mean, and both uncertainties together."""
-    part = [F.transform(samples, lambda s, k=k: F.get(s, k)) for k in range(CLASSES)]
+    of = lambda k: F.transform(samples, lambda s: F.get(s, k))
+    part = [of(k) for k in range(CLASSES)]
     mean = F.array(*[E.mean_of(p) for p in part])
     spread = sum((E.pop_std(p) for p in part), F.lit(0.0)) / CLASSES
     return {"sentiment": F.get(mean, CLASSES - 1) - F.get(mean, 0), "epistemic": spread, "aleatoric": E.entropy(mean), "uncertainty": spread + E.entropy(mean)}
