@@ -43,6 +43,9 @@ def numbered_turns(conversations: DataFrame, stored: list[DataFrame]) -> DataFra
     g = F.unhex(F.sha2(F.concat(F.length(text("role")).cast("string"), F.lit(":"), text("role"), text("text")), 256))
     words = F.size(F.regexp_extract_all(text("text"), F.lit(WORD), F.lit(0))).cast("long")
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", g.alias("g"), words.alias("words"))
+    # the range partitioning reads its input twice
+    rows = materialize(rows, "digests")
+    stored.append(rows)
     order = ["conv_id", F.col("turn").asc_nulls_first(), "g"]
 
     def number(batches: Iterator) -> Iterator:
