@@ -202,3 +202,98 @@ def composite_volatility(implied: Column, vix: Column, realised: Column, default
     """0.7 implied + 0.3 VIX with fallbacks; a zero implied volatility counts as missing."""
     implied = F.nullif(implied, F.lit(0.0))
     return F.coalesce(0.7 * implied + 0.3 * vix, implied, vix, realised, F.lit(default))
+
+
+def stars(p: Column) -> Column:
+    """Marks of significance: below 0.1 %, 1 %, 5 % and 10 %."""
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").when(p < 0.1, "†").otherwise("")
+
+
+# Coefficients of the rational approximation of the inverse normal distribution (error below 1.15e-9), middle and tails.
+NORMAL_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+NORMAL_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+NORMAL_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+NORMAL_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+NORMAL_TAIL = 0.02425
+
+
+def _polynomial(x: Column, coefficients: tuple) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal value below which lies the share ``p`` (between 0 and 1, both excluded)."""
+    q, low = p - 0.5, F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    tail = _polynomial(low, NORMAL_C) / _polynomial(low, NORMAL_D)
+    middle = q * _polynomial(q * q, NORMAL_A) / _polynomial(q * q, NORMAL_B)
+    return F.when(p < NORMAL_TAIL, tail).when(p > 1 - NORMAL_TAIL, -tail).otherwise(middle)
+
+
+# Weights of the terms of both uncertainties, and what stands for the macro terms where a row has no macro data at all.
+EPISTEMIC_WEIGHTS = {"regulatory": 0.35, "missing": 0.25, "samples": 0.40}
+ALEATORIC_WEIGHTS = {"implied": 0.35, "vix": 0.15, "peg": 0.25, "entropy": 0.25}
+WITHOUT_MACRO = {"regulatory": 0.5, "missing": 1.0, "implied": 0.25, "vix": 0.25, "peg": 0.1}
+
+
+def uncertainty_breakdown(macro: Column, regime: Column, boosted: bool = True, **f: Column) -> dict[str, Column]:
+    """Each term of both uncertainties, their source and the totals; ``macro`` tells whether a row has macro data at all.
+
+    Fields: opacity, news, completeness, implied, implied_normal, realised, vix, vix_normal, peg, samples (spread) and entropy; absent ones may
+    be left out.  The 0.15 for a regulatory regime is left out where ``boosted`` is false.
+    """
+    none = F.lit(None).cast("double")
+    at = lambda n: f.get(n, none)
+    part = lambda x, low, width: F.when(x.isNotNull(), clamp((x - low) / width, 0.0, 1.0))
+    implied, realised = F.coalesce(at("implied_normal"), part(at("implied"), 30, 120)), part(at("realised"), 30, 120)
+    terms = {
+        "regulatory": F.coalesce(at("opacity") / 100, part(at("news"), 30, 50), F.lit(0.3)), "missing": 1 - F.coalesce(at("completeness"), F.lit(0.0)),
+        "implied": F.coalesce(implied, realised, F.lit(0.25)), "vix": F.coalesce(at("vix_normal"), part(at("vix"), 10, 40), F.lit(0.2)), "peg": F.coalesce(part(at("peg"), 0, 0.05), F.lit(0.1)),
+    }
+    terms = {n: F.when(macro, c).otherwise(WITHOUT_MACRO[n]) for n, c in terms.items()}
+    terms |= {"samples": clamp(at("samples") / 0.3, 0.0, 1.0), "entropy": clamp(at("entropy") / 1.1, 0.0, 1.0)}
+    source = F.when(macro & implied.isNotNull(), "implied").when(macro & realised.isNotNull(), "realised").otherwise("unavailable")
+    epistemic = sum((w * terms[n] for n, w in EPISTEMIC_WEIGHTS.items()), F.lit(0.0))
+    aleatoric = sum((w * terms[n] for n, w in ALEATORIC_WEIGHTS.items()), F.lit(0.0))
+    more = F.when(regime == "crisis", 0.2).when((regime == "regulatory") & F.lit(boosted), 0.15).otherwise(0.0)
+    totals = {"epistemic": clamp(epistemic + more, 0.0, 1.0), "aleatoric": clamp(aleatoric + F.when(regime == "crisis", 0.3).otherwise(0.0), 0.0, 1.0)}
+    return {**totals, **{f"{n}_term": c for n, c in terms.items()}, "source": source}
+
+
+# Share of prediction markets in the three-source blend.
+PREDICTION_WEIGHT = 0.2
+
+
+def third_source(sentiment: Column, epistemic: Column, market_sentiment: Column, market_uncertainty: Column, weight: float = PREDICTION_WEIGHT) -> dict[str, Column]:
+    """A tick blended with prediction markets, as it is where there are none: weighted sentiment, the greater epistemic uncertainty."""
+    there = market_sentiment.isNotNull()
+    return {"sentiment": F.when(there, weight * market_sentiment + (1 - weight) * sentiment).otherwise(sentiment), "epistemic": F.when(there, F.greatest(epistemic, market_uncertainty)).otherwise(epistemic)}
+
+
+# Weights of the composite index.
+COMPOSITE = {"pk": 0.35, "rv": 0.25, "cs": 0.20, "extreme": 0.20}
+
+
+def composite_index(z: dict[str, Column], extreme: Column, as_written: bool) -> Column:
+    """Weighted z values (cut at 2, over 4) and half the extreme flag, within 0 and 1.
+
+    ``as_written`` keeps a slip of precedence by which a half is added once per term, which puts most values at 1."""
+    parts = [F.when(c.isNotNull(), COMPOSITE[n] * clamp(c, -2.0, 2.0) / 4) for n, c in z.items()]
+    total = sum(parts, F.lit(0.5 * len(parts) if as_written else 0.5)) + COMPOSITE["extreme"] * 0.5 * extreme.cast("double")
+    return F.when(sum(parts, F.lit(0.0)).isNotNull(), clamp(total, 0.0, 1.0))
+
+
+# Limits and confidences of the regime detector.
+BULLISH, BEARISH, REGULATORY_BELOW, LEAST_ARTICLES = 0.25, -0.25, -0.35, 3
+
+
+def regime_candidate(smoothed: Column, alert: Column, regulatory: Column, articles: Column) -> dict[str, Column]:
+    """The regime that a day speaks for and how clearly: alerts first, then bad regulatory news in number, then the smoothed signal."""
+    crisis = F.coalesce(alert.isin("high", "critical"), F.lit(False))
+    news = F.coalesce((regulatory < REGULATORY_BELOW) & (articles >= LEAST_ARTICLES), F.lit(False))
+    above = lambda x: F.least(0.5 + x * 2, F.lit(0.95))
+    name = F.when(crisis, "crisis").when(news, "regulatory").when(smoothed > BULLISH, "bullish").when(smoothed < BEARISH, "bearish").otherwise("neutral")
+    clear = F.when(crisis, 0.9).when(news, 0.85).when(smoothed > BULLISH, above(smoothed - BULLISH)).when(smoothed < BEARISH, above(BEARISH - smoothed)).otherwise(0.5 + 0.3 * (1 - F.abs(smoothed) / BULLISH))
+    return {"candidate": name, "confidence": clear}

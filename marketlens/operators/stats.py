@@ -61,10 +61,9 @@ def autocorrelation(df: DataFrame, col: str, lags: list[int]) -> DataFrame:
     """Full-mean autocorrelation per symbol and lag."""
     series = Window.partitionBy("symbol").orderBy("date")
     base = df.where(F.col(col).isNotNull()).withColumn("_m", F.col(col) - F.avg(col).over(Window.partitionBy("symbol")))
-    out = base.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_m") * F.col("_m")).alias("v"))
     shifted = base.select("symbol", "_m", *[F.lag("_m", k).over(series).alias(f"_{k}") for k in lags])
-    sums = shifted.groupBy("symbol").agg(*[F.sum(F.col("_m") * F.col(f"_{k}")).alias(f"s{k}") for k in lags])
-    return out.join(sums, "symbol").select("symbol", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"s{k}"), F.col("v")).alias("acf")) for k in lags])).alias("x")).select("symbol", "n", "x.lag", "x.acf")
+    sums = shifted.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_m") * F.col("_m")).alias("v"), *[F.sum(F.col("_m") * F.col(f"_{k}")).alias(f"s{k}") for k in lags])
+    return sums.select("symbol", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"s{k}"), F.col("v")).alias("acf")) for k in lags])).alias("x")).select("symbol", "n", "x.lag", "x.acf")
 
 
 def normal_equations(df: DataFrame, y: str, xs: list[str], by: list[str]) -> DataFrame:
@@ -177,6 +176,33 @@ def f_sf(f: float, d1: float, d2: float) -> float:
     return 1.0 if f <= 0 else incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
+def chi2_sf(x: float, dof: float) -> float:
+    """The chance that a chi-square variable exceeds ``x``: the upper incomplete gamma function, by its series or continued fraction."""
+    a, z = dof / 2, x / 2
+    if z <= 0:
+        return 1.0
+    front = math.exp(a * math.log(z) - z - math.lgamma(a))
+    if z < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > abs(total) * 1e-16:
+            n += 1
+            term *= z / n
+            total += term
+        return 1 - front * total
+    b, c = z + 1 - a, 1e300
+    d = 1 / b
+    out = d
+    for i in range(1, 1000):
+        step = i * (a - i)
+        b += 2
+        d, c = 1 / (step * d + b), b + step / c
+        out *= d * c
+        if abs(d * c - 1) < 1e-16:
+            break
+    return front * out
+
+
 def power_of_t(d: float, n1: float, n2: float, alpha: float = 0.05) -> float:
     """Power of the two-sided two-sample t test, the non-central t by quadrature over the chi distribution."""
     dof, shift = n1 + n2 - 2, d * math.sqrt(n1 * n2 / (n1 + n2))
@@ -207,6 +233,10 @@ def t_tail(t: Column, dof: Column) -> Column:
     return _closing(t_sf, t, dof)
 
 
+def chi2_tail(x: Column, dof: Column) -> Column:
+    return _closing(chi2_sf, x, dof)
+
+
 def t_power(d: Column, n1: Column, n2: Column) -> Column:
     return _closing(power_of_t, d, n1, n2)
 

@@ -130,15 +130,65 @@ def divergence_log(df: DataFrame, value: str, price: str, threshold: float, ahea
     return events.where(F.abs(value) >= threshold).drop("_r", "_n")
 
 
-def effective_spread(df: DataFrame, price: str, buy: str, size: str, order: list[str], width: int = 50, least: int = 25, key: str = "symbol") -> DataFrame:
-    """Rolling median mid and VWAP of the last ``width`` trades, and what a trade pays over the mid, in basis points."""
-    last = Window.partitionBy(key).orderBy(*order).rowsBetween(-width + 1, 0)
+def numbered(df: DataFrame, key: str, order: list[str], part: str = "day", out: str = "rn") -> DataFrame:
+    """Row numbers by (key, order) from 1; a window holds one part of time (by the first column of ``order``) or one row a part."""
+    rows = df.withColumn("_slot", F.date_trunc(part, order[0]))
+    counts = rows.groupBy(key, "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(key, "_slot", F.coalesce(before, F.lit(0)).alias("_c"))
+    inside = F.row_number().over(Window.partitionBy(key, "_slot").orderBy(*order))
+    return rows.withColumn("_i", inside).join(counts, [key, "_slot"]).select(*df.columns, (F.col("_c") + F.col("_i")).alias(out))
+
+
+def with_halo(df: DataFrame, rn: str, halo: int, block: int = 4096) -> DataFrame:
+    """Numbered rows in blocks of ``block`` rows, the last ``halo`` of each once more in the next one: ``_block``, and ``_own`` where a row is at home.
+
+    A frame of ``halo`` rows before the present one can then be taken within (key, ``_block``), which is bounded."""
+    at = F.col(rn) - 1
+    home = F.floor(at / block).cast("long")
+    places = F.when(at % block >= block - halo, F.array(home, home + 1)).otherwise(F.array(home))
+    return df.withColumn("_block", F.explode(places)).withColumn("_own", F.col("_block") == home)
+
+
+def ranked(df: DataFrame, key: str, value: str, tie: str, slots: int = 32) -> DataFrame:
+    """Adds ``rank`` (by value, ties by ``tie``) and ``of`` (the key's rows): approximate quantiles cut a key's values into slots, a window holds one of them.
+
+    Rows without a value are left out."""
+    rows = df.where(F.col(value).isNotNull())
+    cuts = rows.groupBy(key).agg(F.percentile_approx(value, [i / slots for i in range(1, slots)], 10 * slots).alias("_cuts"))
+    rows = rows.join(cuts, key).withColumn("_s", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    sizes = rows.groupBy(key, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(key, "_s", F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_c").over(Window.partitionBy(key)).alias("of"))
+    inside = F.row_number().over(Window.partitionBy(key, "_s").orderBy(value, tie))
+    return rows.withColumn("_i", inside).join(sizes, [key, "_s"]).withColumn("rank", F.col("_base") + F.col("_i")).drop("_s", "_i", "_base")
+
+
+def effective_spread(df: DataFrame, price: str, buy: str, size: str, order: list[str], width: int = 50, least: int = 25, key: str = "symbol", part: str = "day", block: int = 4096) -> DataFrame:
+    """Rolling median mid and VWAP of the last ``width`` trades, and what a trade pays over the mid, in basis points.
+
+    The tape of a key is cut into blocks of trades that bring the ``width`` - 1 trades before them along."""
+    df = with_halo(numbered(df, key, order, part), "rn", width - 1, block)
+    last = Window.partitionBy(key, "_block").orderBy("rn").rowsBetween(-width + 1, 0)
     mid = F.when(F.count(F.lit(1)).over(last) >= least, F.percentile(price, F.lit(0.5)).over(last))
-    df = df.withColumns({"mid": mid, "vwap": F.sum(F.col(price) * F.col(size)).over(last) / F.sum(size).over(last)})
+    df = df.withColumns({"mid": mid, "vwap": F.sum(F.col(price) * F.col(size)).over(last) / F.sum(size).over(last)}).where("_own").drop("_block", "_own", "rn")
     over_mid = F.try_divide(F.col(price) - F.col("mid"), F.col("mid")) * 10_000
     return df.withColumns({"eff": 2 * F.abs(over_mid), "signed": F.when(F.col(buy), 2).otherwise(-2) * over_mid})
 
 
+def before_in_order(df: DataFrame, fields: list[str], order: list[str], key: str = "symbol", part: str = "day", prefix: str = "last_") -> DataFrame:
+    """The fields of the row before, by (key, order); a window holds one part of time, and the last row of each part is carried to the next.
+
+    One row a part travels, as one struct."""
+    slot = F.date_trunc(part, order[0])
+    rows = df.withColumns({"_slot": slot, "_f": F.struct(*fields)})
+    ends = rows.groupBy(key, "_slot").agg(F.max_by("_f", F.struct(*order)).alias("_e"))
+    carried = ends.select(key, "_slot", F.lag("_e").over(Window.partitionBy(key).orderBy("_slot")).alias("_e"))
+    inside = Window.partitionBy(key, "_slot").orderBy(*order)
+    found = F.coalesce("_b", "_e")
+    return rows.withColumn("_b", F.lag("_f").over(inside)).join(carried, [key, "_slot"]).select(*df.columns, *[found[f].alias(prefix + f) for f in fields])
+
+
 def institutional(df: DataFrame, retail: str, slow: str, vol: str, corr: str, out: str = "institutional") -> DataFrame:
     """Half the smoothed index, half calm of volatility, pulled against the index where it ran against prices; within -1 to 1."""
     low, high = 0.005, 0.065

@@ -168,6 +168,39 @@ def rsp02_permutation_p(spark, sf):
     return g.groupBy("symbol").agg(n_rows().alias("replicates"), r(F.first("seen"), 4).alias("gap"), r(F.avg((F.abs("gap") >= F.abs("seen")).cast("int"))).alias("p"))
 
 
+_MANY = 10_000
+
+
+@query(f"""{_ROWS}, x AS (SELECT symbol, rep, cs, strength, {_HASH} AS h FROM n, range({_MANY}) t(rep) WHERE strength IN ('extreme', 'neutral')), g AS (SELECT symbol, rep, sum(CASE WHEN strength = 'extreme' THEN w * cs END) / nullif(sum(CASE WHEN strength = 'extreme' THEN w END), 0) - sum(CASE WHEN strength = 'neutral' THEN w * cs END) / nullif(sum(CASE WHEN strength = 'neutral' THEN w END), 0) AS gap FROM (SELECT *, {_WEIGHT} AS w FROM x) GROUP BY 1, 2)
+ SELECT symbol, count(gap) AS replicates, round(quantile_cont(gap, 0.025), 4) AS low, round(avg(gap), 4) AS mean, round(quantile_cont(gap, 0.975), 4) AS high, round(stddev_samp(gap), 4) AS se FROM g GROUP BY 1""")
+def rsp01_gap_interval(spark, sf):
+    """Ten thousand replicates."""
+    g = R.bootstrap_gap(_numbered(spark, sf), "n", "cs", _MANY)
+    q = F.percentile("gap", F.array(F.lit(0.025), F.lit(0.975)))
+    return g.groupBy("symbol").agg(F.count("gap").alias("replicates"), r(F.get(q, 0), 4).alias("low"), r(F.avg("gap"), 4).alias("mean"), r(F.get(q, 1), 4).alias("high"), r(F.stddev_samp("gap"), 4).alias("se"))
+
+
+@query(f"""{_ROWS}, x AS (SELECT symbol, rep, cs, {_HASH} AS h FROM n, range(1000) t(rep)), g AS (SELECT symbol, rep, sqrt(sum(w * cs * cs) / nullif(sum(w), 0) - pow(sum(w * cs) / nullif(sum(w), 0), 2)) / nullif(sum(w * cs) / nullif(sum(w), 0), 0) AS v FROM (SELECT *, {_WEIGHT} AS w FROM x) GROUP BY 1, 2)
+ SELECT symbol, round(quantile_cont(v, 0.025), 5) AS low, round(median(v), 5) AS median, round(quantile_cont(v, 0.975), 5) AS high FROM g GROUP BY 1""")
+def rsp01_any_statistic(spark, sf):
+    """The interval of a statistic that the caller gives, here the coefficient of variation of spreads."""
+    y, one = F.col("cs"), F.lit(1.0)
+    m, m2 = F.try_divide("y", "w"), F.try_divide("yy", "w")
+    g = R.resampled(_numbered(spark, sf), "n", {"w": one, "y": y, "yy": y * y}, {"v": F.try_divide(F.sqrt(m2 - m * m), m)}, 1000, ["symbol"])
+    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return g.groupBy("symbol").agg(*[r(F.get(q, i), 5).alias(n) for i, n in enumerate(("low", "median", "high"))])
+
+
+@query()
+def rsp02_permutation_many(spark, sf):
+    """Ten thousand relabellings that keep the number of extreme days: two-sided p of the gap over all other days, and the spread of the null."""
+    d = _numbered(spark, sf)
+    extreme = F.col("strength") == "extreme"
+    seen = d.groupBy("symbol").agg((F.avg(F.when(extreme, F.col("cs"))) - F.avg(F.when(F.coalesce(~extreme, F.lit(True)), F.col("cs")))).alias("seen"))
+    g = R.permuted_gaps(d, "n", "cs", extreme, _MANY).join(seen, "symbol")
+    return g.groupBy("symbol").agg(n_rows().alias("replicates"), r(F.first("seen"), 4).alias("gap"), r(F.avg((F.abs("gap") >= F.abs("seen")).cast("int")), 4).alias("p"), r(F.avg("gap"), 4).alias("null_mean"), r(F.stddev_samp("gap"), 4).alias("null_std"))
+
+
 @query(f"""{DAILY}, b AS (SELECT symbol, regime, (cs - min(cs) OVER p) / nullif(max(cs) OVER p - min(cs) OVER p, 0) AS x, (rv - min(rv) OVER p) / nullif(max(rv) OVER p - min(rv) OVER p, 0) AS y FROM daily WHERE cs IS NOT NULL AND rv IS NOT NULL WINDOW p AS (PARTITION BY symbol)),
  m AS (SELECT symbol, s.a, s.b, avg(CASE WHEN regime = 'extreme_greed' THEN s.a * x + s.b * y END) AS g, avg(CASE WHEN regime = 'extreme_fear' THEN s.a * x + s.b * y END) AS f, avg(CASE WHEN regime = 'neutral' THEN s.a * x + s.b * y END) AS n FROM b, (VALUES {", ".join(map(str, _GRID))}) s(a, b) GROUP BY 1, 2, 3)
  SELECT symbol, count(*) AS scenarios, round(avg(coalesce(g > n AND f > n, false)::INT), 6) AS preserved FROM m GROUP BY 1""")

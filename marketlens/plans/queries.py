@@ -110,13 +110,6 @@ def flt03_outliers(spark, sf):
     return d.join(q, "symbol").where("cs > 0 and cs < q99").groupBy("symbol").agg(F.count(F.lit(1)).alias("kept"), r(F.avg("cs"), 4).alias("mean_cs"))
 
 
-@query(f"{DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back, row_number() {S} AS n FROM daily) SELECT symbol, date, round(close, 4) AS close FROM n WHERE back <= 100 AND n % 4 = 1")
-def flt06_last_and_every_fourth(spark, sf):
-    d = V.bars(spark, sf).join(V.index_daily(spark, sf), "date")
-    d = d.withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date").desc()))).withColumn("n", F.row_number().over(W.by_day()))
-    return d.where("back <= 100 and n % 4 = 1").select("symbol", "date", r("close", 4).alias("close"))
-
-
 @query(f"{DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM daily) SELECT symbol, date, round(close, 4) AS close FROM n WHERE back <= 100")
 def flt05_last_hundred(spark, sf):
     d = V.bars(spark, sf).join(V.index_daily(spark, sf), "date")

@@ -155,13 +155,15 @@ def exp28_cost_by_regime(spark, sf):
     return g.groupBy("symbol").agg(r(top / 2 * 252 / 100, 4).alias("worst_annual_pct"), F.max_by("regime", "cost").alias("worst_regime"), r((top - F.max(F.when(F.col("regime") == "neutral", F.col("cost")))) / 2, 4).alias("extra_bps"))
 
 
-@query(f"""{DAILY}, z AS (SELECT symbol, date, CASE WHEN rv IS NOT NULL THEN greatest(-2, least(2, (rv - avg(rv) OVER p) / nullif(stddev_samp(rv) OVER p, 0))) END AS a, CASE WHEN pk IS NOT NULL THEN greatest(-2, least(2, (pk - avg(pk) OVER p) / nullif(stddev_samp(pk) OVER p, 0))) END AS b FROM daily WINDOW p AS (PARTITION BY symbol))
- SELECT symbol, date, round(greatest(0, least(1, 0.5 + 0.15 * coalesce(a, 0) + 0.1 * coalesce(b, 0))), 6) AS index FROM z""")
+_Z = lambda c: f"greatest(-2, least(2, ({c} - avg({c}) OVER p) / nullif(stddev_samp({c}) OVER p, 0))) / 4"
+
+
+@query(f"""{DAILY}, z AS (SELECT symbol, date, strength, CASE WHEN pk IS NOT NULL AND rv IS NOT NULL AND cs IS NOT NULL THEN 0.35 * {_Z("pk")} + 0.25 * {_Z("rv")} + 0.20 * {_Z("cs")} END AS t FROM daily WINDOW p AS (PARTITION BY symbol))
+ SELECT symbol, date, CASE WHEN t IS NOT NULL THEN round(greatest(0, least(1, t + 1.5 + 0.2 * 0.5 * coalesce(strength = 'extreme', false)::INT)), 6) END AS as_written, CASE WHEN t IS NOT NULL THEN round(greatest(0, least(1, t + 0.5 + 0.2 * 0.5 * coalesce(strength = 'extreme', false)::INT)), 6) END AS mended FROM z""")
 def exp29_composite_index(spark, sf):
-    z = lambda c: E.clamp(F.try_divide(F.col(c) - F.avg(c).over(whole()), F.stddev_samp(c).over(whole())), -2.0, 2.0)
-    score = E.clamp(0.5 + 0.15 * F.coalesce("a", F.lit(0.0)) + 0.1 * F.coalesce("b", F.lit(0.0)), 0.0, 1.0)
-    kept = lambda c: F.when(F.col(c).isNotNull(), z(c))
-    return daily(spark, sf).withColumns({"a": kept("rv"), "b": kept("pk")}).select("symbol", "date", r(score).alias("index"))
+    d = daily(spark, sf).withColumns({f"z_{c}": F.try_divide(F.col(c) - F.avg(c).over(whole()), F.stddev_samp(c).over(whole())) for c in ("pk", "rv", "cs")})
+    z, extreme = {c: F.col(f"z_{c}") for c in ("pk", "rv", "cs")}, F.coalesce(F.col("strength") == "extreme", F.lit(False))
+    return d.select("symbol", "date", r(E.composite_index(z, extreme, True)).alias("as_written"), r(E.composite_index(z, extreme, False)).alias("mended"))
 
 
 # ---- filters and joins
@@ -259,16 +261,25 @@ def agg12_effective_summary(spark, sf):
 @query(f"WITH {_EFFECTIVE} SELECT symbol, count(*) AS n, round(avg(abs(p - p1)), 6) AS spread FROM f WHERE buy AND NOT b1 GROUP BY 1")
 def win11_sequence_spread(spark, sf):
     """What a buy pays over the sell before it."""
-    o = Window.partitionBy("symbol").orderBy("ts", "event_id")
-    t = V.ticks(spark, sf).withColumn("buy", F.col("source") == "click").withColumns({"p1": F.lag("price").over(o), "b1": F.lag("buy").over(o)})
-    return t.where("buy and not b1").groupBy("symbol").agg(n_rows().alias("n"), r(F.avg(F.abs(F.col("price") - F.col("p1")))).alias("spread"))
+    t = V.ticks(spark, sf).withColumn("buy", F.col("source") == "click")
+    t = W.before_in_order(t, ["price", "buy"], ["ts", "event_id"])
+    return t.where("buy and not last_buy").groupBy("symbol").agg(n_rows().alias("n"), r(F.avg(F.abs(F.col("price") - F.col("last_price")))).alias("spread"))
+
+
+_MARKETS = "k AS (SELECT symbol, date, volume, least(1, greatest(0, fg / 100 + (symbol - 1.5) * 0.1)) AS p FROM daily), m AS (SELECT date, count(*) AS n, avg(2 * (p - 0.5)) AS mean, CASE WHEN sum(volume) > 0 THEN sum(2 * (p - 0.5) * volume) / sum(volume) ELSE avg(2 * (p - 0.5)) END AS weighted, stddev_pop(2 * (p - 0.5)) AS spread, min(p) AS low, max(p) AS high, avg(abs(p - 0.5)) AS extremity FROM k GROUP BY 1)"
 
 
-@query(f"""{DAILY}, s AS (SELECT date, 2 * (fg / 100 - 0.5) AS s, volume FROM daily) SELECT date, round(CASE WHEN sum(volume) > 0 THEN sum(s * volume) / sum(volume) ELSE avg(s) END, 6) AS sentiment, round(stddev_pop(volume) / nullif(avg(volume), 0), 6) AS dispersion, round(least(1, coalesce(stddev_pop(volume) / nullif(avg(volume), 0), 0) / 0.5), 6) AS uncertainty FROM s GROUP BY 1""")
+def markets(spark, sf):
+    """A day's symbols as prediction markets, each with its own probability: sentiment, disagreement, range and extremity."""
+    p = E.clamp(F.col("fg") / 100 + (F.col("symbol") - 1.5) * 0.1, 0.0, 1.0)
+    d = daily(spark, sf).select("date", "volume", p.alias("p"), E.probability_sentiment(p).alias("s"))
+    weighted = F.when(F.sum("volume") > 0, F.sum(F.col("s") * F.col("volume")) / F.sum("volume")).otherwise(F.avg("s"))
+    return d.groupBy("date").agg(n_rows().alias("n"), F.avg("s").alias("mean"), weighted.alias("weighted"), F.stddev_pop("s").alias("spread"), F.min("p").alias("low"), F.max("p").alias("high"), F.avg(F.abs(F.col("p") - 0.5)).alias("extremity"))
+
+
+@query(f"""{DAILY}, {_MARKETS} SELECT date, n, round(mean, 6) AS mean, round(weighted, 6) AS weighted, round(spread, 6) AS spread, round(low, 6) AS low, round(high, 6) AS high, round(extremity, 6) AS extremity, round(least(1, spread / 0.5), 6) AS uncertainty FROM m""")
 def agg14_weighted_sentiment(spark, sf):
-    s, v = E.probability_sentiment(F.col("fg") / 100), F.col("volume")
-    spread = F.try_divide(F.stddev_pop(v), F.avg(v))
-    return daily(spark, sf).groupBy("date").agg(r(F.when(F.sum(v) > 0, F.sum(s * v) / F.sum(v)).otherwise(F.avg(s))).alias("sentiment"), r(spread).alias("dispersion"), r(F.least(F.lit(1.0), F.coalesce(spread, F.lit(0.0)) / 0.5)).alias("uncertainty"))
+    return markets(spark, sf).select("date", "n", *_each("mean", "weighted", "spread", "low", "high", "extremity"), r(F.least(F.lit(1.0), F.col("spread") / 0.5)).alias("uncertainty"))
 
 
 @query(f"{DAILY} SELECT symbol, count(*) AS n, strftime(min(date), '%Y-%m-%d') AS first_day, strftime(max(date), '%Y-%m-%d') AS last_day, round(min(close), 4) AS low, round(max(close), 4) AS high, round(avg(fg), 6) AS mean_fg, round(stddev_samp(fg), 6) AS std_fg FROM daily GROUP BY 1")
@@ -310,10 +321,21 @@ def agg22_stylised_facts(spark, sf):
     return _facts(spark, sf).select("symbol", *_each("std", "kurt", "acf1", "spread_acf", "fg_corr"))
 
 
-@query(f"{DAILY}, {_FACTS} SELECT symbol, round(pow((std - 0.025) / 0.025, 2) + 0.5 * pow((kurt - 5.0) / 5.0, 2) + 2 * pow((acf1 - 0.3) / 0.3, 2) + CASE WHEN acf1 < 0 THEN 1 ELSE 0 END, 6) AS distance FROM f")
+# Target and weight of each statistic, and limit and weight of the penalties for too large ones.
+TARGETS = {"std": (0.025, 10.0), "kurt": (5.0, 5.0), "spread_mean": (3.5, 15.0), "acf1": (0.30, 15.0), "mean": (0.0, 1.0), "spread_std": (2.0, 3.0), "acf5": (0.15, 2.0)}
+PENALTIES = {"spread_mean": (6.0, 20.0), "acf1": (0.45, 25.0), "kurt": (10.0, 5.0)}
+_DISTANCE = " + ".join([*(f"{w} * pow(({c} - {t}) / {t or 1.0}, 2)" for c, (t, w) in TARGETS.items()), *(f"CASE WHEN {c} > {t} THEN {w} * pow(({c} - {t}) / {t}, 2) ELSE 0 END" for c, (t, w) in PENALTIES.items())])
+
+
+@query(f"""{DAILY}, k AS (SELECT *, lag(ret, 1) {S} AS l1, lag(ret, 5) {S} AS l5 FROM daily), f AS (SELECT symbol, stddev_samp(ret) AS std, kurtosis_pop(ret) AS kurt, avg(cs) / 100 AS spread_mean, stddev_samp(cs) / 100 AS spread_std, corr(abs(ret), abs(l1)) AS acf1, corr(abs(ret), abs(l5)) AS acf5, avg(ret) AS mean FROM k GROUP BY 1)
+ SELECT symbol, round({_DISTANCE}, 3) AS distance FROM f""")
 def agg21_calibration_distance(spark, sf):
-    part = lambda c, target, w: w * F.pow((F.col(c) - target) / target, 2)
-    return _facts(spark, sf).select("symbol", r(part("std", 0.025, 1.0) + part("kurt", 5.0, 0.5) + part("acf1", 0.3, 2.0) + F.when(F.col("acf1") < 0, 1).otherwise(0)).alias("distance"))
+    """Weighted squared distance of a series' statistics from their targets, with penalties; spreads here are hundredths of basis points."""
+    d = daily(spark, sf).withColumns({f"l{k}": F.lag("ret", k).over(W.by_day()) for k in (1, 5)})
+    f = d.groupBy("symbol").agg(F.stddev_samp("ret").alias("std"), F.kurtosis("ret").alias("kurt"), (F.avg("cs") / 100).alias("spread_mean"), (F.stddev_samp("cs") / 100).alias("spread_std"), F.corr(F.abs("ret"), F.abs("l1")).alias("acf1"), F.corr(F.abs("ret"), F.abs("l5")).alias("acf5"), F.avg("ret").alias("mean"))
+    score = sum((w * F.pow((F.col(c) - t) / (t or 1.0), 2) for c, (t, w) in TARGETS.items()), F.lit(0.0))
+    score = sum((F.when(F.col(c) > t, w * F.pow((F.col(c) - t) / t, 2)).otherwise(0.0) for c, (t, w) in PENALTIES.items()), score)
+    return f.select("symbol", r(score, 3).alias("distance"))
 
 
 @query(f"{DAILY}, {_FACTS}, d AS (SELECT symbol, pow((std - 0.025) / 0.025, 2) AS score FROM f) SELECT arg_min(symbol, score) AS best, round(min(score), 6) AS score FROM d")

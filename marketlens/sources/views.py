@@ -48,21 +48,21 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.to_date(F.timestamp_seconds(F.col("d.timestamp").try_cast("long"))).alias("date"), F.col("d.value").try_cast("int").alias("fear_greed_value"), F.col("d.value_classification").alias("fear_greed_class"))
 
 
-def read_trades_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_trades_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Trade files with a header (plain or gzip); names are trimmed and lower-cased, the clock unit is found row by row."""
     raw = spark.read.csv(path, header=True)
     raw = require_columns(raw.toDF(*[c.strip().lower() for c in raw.columns]), "timestamp", "price", "size", "side")
     return raw.select(epoch_timestamp(F.col("timestamp").try_cast("double")).alias("ts"), F.col("price").try_cast("double").alias("price"), F.col("size").try_cast("double").alias("size"), F.lower("side").alias("side"), F.col("_metadata.file_name").alias("file"))
 
 
-def _csv(spark: SparkSession, path: str, *required: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str | list[str], *required: str) -> DataFrame:
     """CSV files with a header, plain or gzip; names trimmed and lower-cased, with the day that the file's name holds."""
     raw = spark.read.csv(path, header=True)
     raw = require_columns(raw.toDF(*[c.strip().lower() for c in raw.columns]), *required)
     return raw.withColumns({"file": F.col("_metadata.file_name"), "file_day": F.to_date(F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")))})
 
 
-def read_books_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_books_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Best bid and ask by time; a missing spread, mid, basis points, volume or imbalance is derived from what is there."""
     raw = _csv(spark, path, "timestamp", "bid", "ask")
     number = lambda c: F.col(c).try_cast("double") if c in raw.columns else F.lit(None).cast("double")
@@ -189,6 +189,90 @@ def save_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def read_ohlc(spark: SparkSession, path: str) -> DataFrame:
+    """Price history (JSON lists of time in ms, open, high, low, close), once per time."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<double>>")).alias("c"))
+    return rows.select(F.timestamp_millis(F.get("c", 0).cast("long")).alias("ts"), *[F.get("c", i).alias(n) for i, n in enumerate(("open", "high", "low", "close"), 1)]).where("ts is not null").dropDuplicates(["ts"])
+
+
+def read_snapshots(spark: SparkSession, path: str, currency: str = "usd") -> DataFrame:
+    """Current price and social figures, one JSON object a file; what a file lacks is null."""
+    market = "current_price:map<string,double>,total_volume:map<string,double>,price_change_percentage_24h:double"
+    schema = f"market_data struct<{market}>, sentiment_votes_up_percentage double, sentiment_votes_down_percentage double, community_data struct<reddit_subscribers:bigint,twitter_followers:bigint>"
+    d = spark.read.schema(schema).json(path, multiLine=True)
+    return d.select(
+        F.col("_metadata.file_name").alias("file"), F.col("market_data.current_price")[currency].alias("price"), F.col("market_data.price_change_percentage_24h").alias("change_24h"), F.col("market_data.total_volume")[currency].alias("volume_24h"),
+        F.col("sentiment_votes_up_percentage").alias("up_pct"), F.col("sentiment_votes_down_percentage").alias("down_pct"), F.col("community_data.reddit_subscribers").alias("readers"), F.col("community_data.twitter_followers").alias("followers"),
+    )
+
+
+IMPLIED_LOW, IMPLIED_HIGH = 30.0, 150.0  # fixed values
+
+
+def read_implied_volatility(spark: SparkSession, path: str) -> DataFrame:
+    """Implied-volatility candles (JSON objects whose ``data`` or ``result.data`` holds time in ms, open, high, low, close): the close as level and between 0 and 1."""
+    raw = spark.read.schema("data array<array<double>>, result struct<data:array<array<double>>>").json(path, multiLine=True)
+    rows = raw.select(F.explode(F.coalesce("data", "result.data")).alias("c"))
+    level = F.get("c", 4)
+    scaled = F.when(level.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (level - IMPLIED_LOW) / (IMPLIED_HIGH - IMPLIED_LOW))))
+    return rows.select(F.timestamp_millis(F.get("c", 0).cast("long")).alias("ts"), level.alias("dvol"), scaled.alias("dvol_normalized"), *[F.get("c", i).alias(n) for i, n in enumerate(("open", "high", "low"), 1)]).where("ts is not null").dropDuplicates(["ts"])
+
+
+def read_by_name(spark: SparkSession, folder: str, symbols: list[str]) -> DataFrame:
+    """All CSV files (plain or gzip) of the symbols' folders as one table, books and trades told apart by the file's name.
+
+    A file whose name holds "orderbook" has best bid and ask, any other has trades; ``kind`` says which, and columns of the other kind are null.
+    Symbols without such files give no rows."""
+    out = None
+    for symbol in symbols:
+        for kind, read in (("book", read_books_csv), ("trade", read_trades_csv)):
+            names = _files(spark, f"{folder.rstrip('/')}/{symbol.lower()}")
+            own = [n for n in names if n.lower().endswith((".csv", ".csv.gz")) and ("orderbook" in n.rsplit("/", 1)[-1].lower()) == (kind == "book")]
+            if own:
+                rows = read(spark, own).select(F.lit(symbol).alias("symbol"), F.lit(kind).alias("kind"), "*")
+                out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], "symbol string, kind string, ts timestamp, file string")
+    return out
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder, by the file system that Spark reads it with; none if it is absent."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(str(f.getPath()) for f in system.listStatus(at)) if system.exists(at) else []
+
+
+def recent_posts(posts: DataFrame, tie: str, most: int = 50, hours_back: int = 24, sort: str = "hot", source: str = "source") -> DataFrame:
+    """Posts (created, score, title, body) of the last hours before the newest one, at most ``most`` by source: the newest, or those of the highest score.
+
+    ``hot`` weighs score down by age; ``tie`` orders equal ones."""
+    cutoff = posts.agg((F.max("created") - F.make_dt_interval(F.lit(0), F.lit(hours_back))).alias("cutoff")).scalar()
+    rows = posts.where(F.col("created") >= cutoff)
+    by = {"new": F.col("created"), "top": F.col("score"), "hot": F.ln(F.greatest(F.col("score"), F.lit(1))) + F.unix_timestamp("created") / 3600}[sort]
+    rank = F.row_number().over(Window.partitionBy(source).orderBy(by.desc_nulls_last(), tie))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def post_text(title: Column, body: Column, most: int = 500) -> Column:
+    """Title and the first characters of the body, or the title alone."""
+    return F.when(F.coalesce(body, F.lit("")) == "", title).otherwise(F.concat(title, F.lit(" "), F.substring(body, 1, most)))
+
+
+def by_period(df: DataFrame, periods: dict[str, tuple[str, str]], date: str = "date") -> DataFrame:
+    """Rows of the named periods (first day, day after the last); a row of several periods comes once in each."""
+    inside = [F.when((F.col(date) >= F.lit(a).cast("date")) & (F.col(date) < F.lit(b).cast("date")), F.lit(n)) for n, (a, b) in periods.items()]
+    return df.withColumn("period", F.explode(F.array_compact(F.array(*inside))))
+
+
+def regime_mix(df: DataFrame, by: list[str]) -> DataFrame:
+    """Days and the percentage of each regime."""
+    from marketlens.functions.expressions import REGIMES
+
+    share = lambda n: (100 * F.count(F.when(F.col("regime") == n, 1)) / F.count(F.lit(1))).alias(n)
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("days"), *map(share, REGIMES))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per (symbol, day) from orders."""
     o = table(spark, sf_dir, "orders")

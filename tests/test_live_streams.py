@@ -122,7 +122,7 @@ def test_scored_stream_equals_batch(spark, tmp_path):
         score, total = mean[2] - mean[0], p.std(axis=0).mean() - (mean * np.log(mean)).sum()
         state[s] = (score, total) if s not in state else (0.3 * score + 0.7 * state[s][0], 0.3 * total + 0.7 * state[s][1])
         row = next(w for w in want if w[1] == seq)
-        assert row[2] == pytest.approx(score) and row[5] == pytest.approx(total) and row[6:] == pytest.approx(state[s])
+        assert [row[2], *row[5:]] == pytest.approx([score, total, *state[s]], abs=1e-8)
     late = START + dt.timedelta(days=2)
     for some in (rows[::2], rows[1::2], [(99, late, 900, "x")], [(99, late + dt.timedelta(hours=9), 901, "x")]):
         spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
