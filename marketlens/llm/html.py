@@ -3,7 +3,9 @@
 A page becomes a flat list of text blocks.  Each block has its word count and link density, those of its two neighbours, the
 evidence that its container is there for other things than the article (0 none; 1 a name that can mean either, such as
 ``share`` or ``notice``; 2 an element made for that, such as ``nav`` or ``form``, or a plain name, such as ``comments``) and whether it
-stands in an ``article`` or ``main`` element.  A decision tree, trained on the small labelled table below, keeps or drops it.
+stands in an ``article`` or ``main`` element.  A decision tree, trained on the small labelled table below, keeps or drops it: a long
+block with few links is text whatever stands beside it, and only short ones depend on their neighbours.  Equal splits go to the first feature
+and the lowest threshold.  A name for lists of links, such as ``related`` or ``menu``, says nothing in an article where the container has hardly a link.
 A class, id or form that only hints at such a container does not count where it holds most of the page's text and no
 article stands outside it, nor for an article or main element inside.  A block break is any block-level tag; ``br`` is white space.
 
@@ -30,16 +32,18 @@ RAW = frozenset("script style textarea title noscript iframe template svg math n
 CHROME_TAGS = frozenset("nav footer aside form menu dialog select button head search fieldset option".split())
 MAIN_TAGS = frozenset(("article", "main"))
 PLAIN_HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|subscribe|newsletter|nav\w*|menu|breadcrumbs?|pagination|pager|footer|sidebar|"
-    r"related|recommend\w*|trending|social|comments?|disqus|respond|replies)(?:$|[\s_-])|(?:^|\s)(?:site|page)-?header",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|subscribe|newsletter|footer|sidebar|comments?|disqus|respond|replies)(?:$|[\s_-])|(?:^|\s)(?:site|page)-?header",
     re.I,
 )
+LINK_HINTS = re.compile(r"(?:^|[\s_-])(?:nav\w*|menu|breadcrumbs?|pagination|pager|related|recommend\w*|trending|social)(?:$|[\s_-])", re.I)
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:banner|notice|alert|modal|overlay|signup|login|masthead|topbar|toolbar|side|widget|share|sharing|search|copyright|legal|disclaimer|skip|hidden|screen-reader)(?:$|[\s_-])",
     re.I,
 )
 LAYOUT = re.compile(r"(?:^|[\s_-])(?:has|with|without|no)[_-]\S*", re.I)
 WRAPPER_WORDS = 50
+FEW_LINKS = 0.1
+LINKS = 3
 ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu", re.I)
 # a tag's parts are taken whole and never given back, so a failed attempt reads a bounded stretch
 TAG = re.compile(r"""<(?P<close>/?)(?P<name>[A-Za-z][^\s/><]{0,63}+)(?P<attrs>(?:[^>"']{1,4096}+|"[^"]{0,4096}+"|'[^']{0,4096}+'){0,300}+)>""")
@@ -48,7 +52,7 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'
 
 # Labelled blocks (fixed values): words, link density, words and density of the block before, of the block after, evidence of
 # another container, in the article's element; last the label.  A star stands for each of NEIGHBOURS.
-NEIGHBOURS = ("0 0.00", "1 1.00", "3 0.00", "12 0.20", "30 0.00", "90 0.00")
+NEIGHBOURS = ("0 0.00", "1 1.00", "5 1.00", "14 0.95", "3 0.00", "12 0.20", "30 0.00", "90 0.00")
 LABELLED = """
 1 1.00  * * 2 0 0
 8 0.30  * * 2 0 0
@@ -84,6 +88,12 @@ LABELLED = """
 8 1.00  8 1.00  8 1.00 0 1 0
 6 0.85 60 0.00 12 0.90 0 1 0
 15 0.90 15 0.95 15 1.00 0 1 0
+2 1.00 30 0.00 40 0.00 0 1 1
+3 1.00 60 0.00 60 0.00 0 1 1
+5 1.00 90 0.00 45 0.00 0 1 1
+7 1.00 45 0.00 70 0.00 0 1 1
+9 0.90 30 0.00 30 0.00 0 1 1
+4 1.00 12 0.20 60 0.00 0 1 1
 18 0.00 * * 0 0 1
 24 0.05 * * 0 0 1
 45 0.10 * * 0 0 1
@@ -146,7 +156,7 @@ def trained_tree() -> tuple | float:
 
 
 def _evidence(name: str, attrs: str, in_main: bool) -> tuple[bool, int]:
-    """Whether an element is a container of other things for certain, and how far it hints at that (0 to 2)."""
+    """Whether an element is a container of other things for certain, and how far it hints at that (0 to 2; ``LINKS`` for a list of links)."""
     if attrs and name not in ("html", "body") and re.search(r"\shidden(?:\s|$|=)|display:\s*none", attrs, re.I) and name not in MAIN_TAGS:
         return True, 0
     if name in CHROME_TAGS and name != "form" or name == "header" and not in_main:
@@ -157,7 +167,9 @@ def _evidence(name: str, attrs: str, in_main: bool) -> tuple[bool, int]:
     role = found.get("role", "").lower()
     sure = name not in MAIN_TAGS and (bool(ROLES.search(role)) and role != "form" or found.get("aria-hidden") == "true")
     named = LAYOUT.sub(" ", found.get("class", "")) + " " + LAYOUT.sub(" ", found.get("id", ""))
-    return sure, 2 if name == "form" or role == "form" or PLAIN_HINTS.search(named) else int(bool(HINTS.search(named)))
+    if name == "form" or role == "form" or PLAIN_HINTS.search(named):
+        return sure, 2
+    return sure, LINKS if LINK_HINTS.search(named) else int(bool(HINTS.search(named)))
 
 
 def tags(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
@@ -196,7 +208,7 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
     # name, in a sure container, number of the innermost hinted one, in the article
     stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
     opened: dict[str, int] = {}
-    parent, level = [0], [0]
+    parent, level, in_main = [0], [0], [False]
     links, text, linked = 0, [], 0
 
     def flush() -> None:
@@ -253,6 +265,7 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
             elif hint:
                 parent.append(hints)
                 level.append(hint)
+                in_main.append(main)
                 inner = len(parent) - 1
             if (own, inner) != (sure, hints) and name not in BLOCK:
                 flush()
@@ -260,18 +273,21 @@ def blocks(page: str) -> list[tuple[str, float, int, bool]]:
             stack.append((name, own, inner, (main or name in MAIN_TAGS or 'role="main"' in attrs) if name in BLOCK else main))
     flush()
     # words and article blocks inside each hinted container
-    inside, article = [0.0] * len(parent), [0] * len(parent)
+    inside, article, linked_words = [0.0] * len(parent), [0] * len(parent), [0.0] * len(parent)
     for t, d, sure, k, main in out:
         inside[k] += 0 if sure else len(t.split()) * (1 - d)
+        linked_words[k] += 0 if sure else len(t.split()) * d
         article[k] += main and not sure
     words, articles = sum(inside), sum(article)
     for k in range(len(parent) - 1, 0, -1):
         inside[parent[k]] += inside[k] if parent[k] else 0
         article[parent[k]] += article[k] if parent[k] else 0
+        linked_words[parent[k]] += linked_words[k] if parent[k] else 0
     worst = [0] * len(parent)
     for k in range(1, len(parent)):
         layout = inside[k] >= WRAPPER_WORDS and 2 * inside[k] > words and article[k] == articles
-        worst[k] = max(worst[parent[k]], 0 if layout else level[k])
+        prose = level[k] == LINKS and in_main[k] and linked_words[k] <= FEW_LINKS * inside[k]
+        worst[k] = max(worst[parent[k]], 0 if layout or prose else min(2, level[k]))
     return [(t, d, 2 if sure else worst[k], main) for t, d, sure, k, main in out]
 
 
