@@ -1,7 +1,8 @@
 """Secrets in text: fixed patterns, and strings that a character Markov model finds random; DataFrame functions only.
 
-Two first-order character models are trained from labelled samples: random strings (digests in hex, base64 and
-upper-case base32) and ordinary identifiers (joined programming words in the usual styles, and words of the corpus).
+Two first-order character models are trained from labelled samples: random strings (digests in base64 and upper-case
+base32) and ordinary ones (joined programming words in the usual styles, numbers and codes such as dates, paths, UUIDs and
+ruled lines, and words of the corpus).
 A run of 20 or more token characters holds a secret if the log-likelihood ratio of its best segment passes a threshold:
 names, paths and words round a secret take nothing from it.  The span is the whole run.  What a pattern's span covers is left
 to the pattern and ends a run; what is left of the run on either side is scored.
@@ -45,7 +46,7 @@ WORDS = (
 SAMPLES = 4000
 CORPUS_DOCS = 2000
 SMOOTHING = 0.5
-LEAST_RATIO = 14.0
+LEAST_RATIO = 16.0
 SPAN_BLOCK = 128
 
 
@@ -54,17 +55,48 @@ def _pick(*salt) -> Column:
     return F.get(words, F.pmod(F.xxhash64(*salt), F.lit(len(WORDS))).cast("int"))
 
 
+def _numbers_and_codes(parts: list[Column], digest: Column) -> list[Column]:
+    """Ordinary strings that are no joined words: dates, paths and names with numbers, phone and book numbers, accounts, UUIDs, ruled
+    lines, counts, letters of a small alphabet, alphabets in order, plain letters in any order, names with acronyms, articles and addresses of devices."""
+    digits = F.translate(digest, "abcdef", "012345")
+    at = lambda start, n: F.substring(digits, start, n)
+    hexa = lambda start, n: F.substring(digest, start, n)
+    join = lambda sep, *c: F.concat_ws(sep, *c)
+    year = (F.col("id") % 80 + 1970).cast("string")
+    month, day = F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")
+    short = [F.upper(F.substring(p, 1, 3)) for p in parts]
+    title = [F.initcap(p) for p in parts]
+    uuid = join("-", hexa(1, 8), hexa(9, 4), hexa(13, 4), hexa(17, 4), hexa(21, 12))
+    turn = (F.col("id") % 26).cast("int")
+    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    turned = F.concat(F.substring(alphabet, turn + 1, F.lit(26)), F.substring(alphabet, F.lit(1), turn))
+    first = (F.col("id") % 20).cast("int")
+    small = lambda letters: F.translate(hexa(1, 40), "0123456789abcdef", letters)
+    letters = F.regexp_replace(F.lower(F.base64(F.unhex(digest))), "[^a-z]", "")
+    return [
+        join("-", year, month, day, at(1, 2), at(3, 2), at(5, 2), at(7, 3)), F.concat(short[0], F.lit("_"), year, month, day, F.lit("_"), at(10, 6), F.lit("_"), short[1]), join("/", *parts[:2], year, month, day, *parts[2:]),
+        uuid, F.upper(uuid), F.concat(F.lit("+"), join("-", at(1, 2), at(3, 3), at(6, 7), at(13, 5))), join("-", F.lit("978"), at(18, 1), at(19, 2), at(21, 6), at(27, 1)), F.concat(F.upper(F.substring(parts[0], 1, 2)), at(28, 20)),
+        F.array_join(F.transform(F.sequence(first + 1, first + 11), lambda i: i.cast("string")), "/"), F.repeat(F.substring(F.lit("-_/="), (F.col("id") % 4 + 1).cast("int"), F.lit(1)), F.lit(40)), at(1, 24),
+        small("ACGTACGTACGTACGT"), small("acgtacgtacgtacgt"), small("MDCLXVIMDCLXVIMD"), letters, turned, F.lower(turned), join("-", parts[0], parts[1], at(5, 4), parts[2]), F.concat(title[0], year, title[1], at(9, 3)),
+        F.concat(parts[0], F.upper(F.substring(parts[1], 1, 4)), title[2], title[3]), F.concat(title[0], short[1], title[2], at(12, 1)), join("-", short[0], at(13, 4), at(17, 8), F.substring(short[1], 1, 2), F.upper(parts[2])),
+        F.concat(short[0], at(25, 10), F.lit("-"), short[1], at(35, 9)), F.regexp_replace(F.upper(hexa(33, 16)), "(..)(?=.)", "$1-"), join("-", parts[0], at(44, 1), at(45, 1), parts[1], F.concat(F.lit("x"), at(46, 2)), at(48, 2), parts[2]),
+    ]
+
+
 def labelled_samples(docs: DataFrame) -> DataFrame:
-    """(label, word): label 1 random strings, label 0 identifiers; words of about ``CORPUS_DOCS`` documents are ordinary too."""
+    """(label, word): label 1 random strings, label 0 identifiers, numbers and codes; words of about ``CORPUS_DOCS`` documents are ordinary too.
+
+    Lower-case hex is no random sample: the pattern for it has its own kind, and UUIDs are ordinary."""
     ids = docs.sparkSession.range(SAMPLES)
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
     base64 = F.base64(F.unhex(digest))
-    kinds = F.array(F.substring(digest, 1, 40), F.substring(base64, 1, 40), F.translate(F.upper(F.substring(base64, 1, 32)), "+/=018", "QXZ234"), F.translate(F.substring(base64, 3, 36), "+/", "-_"), F.substring(base64, 5, 24))
+    kinds = F.array(F.substring(base64, 1, 40), F.translate(F.upper(F.substring(base64, 1, 32)), "+/=018", "QXZ234"), F.translate(F.substring(base64, 3, 36), "+/", "-_"), F.substring(base64, 5, 24))
     random = ids.select(F.lit(1).alias("label"), F.explode(kinds).alias("word"))
     parts = [_pick("id", F.lit(k)) for k in range(4)]
     number = F.pmod(F.xxhash64("id"), F.lit(100)).cast("string")
-    styles = F.array(F.concat_ws("_", *parts), F.concat_ws("-", *parts[:3]), F.concat(parts[0], *[F.initcap(p) for p in parts[1:]]), F.concat(*[F.initcap(p) for p in parts]), F.upper(F.concat_ws("_", *parts[:3])), F.concat_ws("/", *parts), F.concat(parts[0], F.initcap(parts[1]), number))
-    named = ids.select(F.lit(0).alias("label"), F.explode(styles).alias("word"))
+    styles = [F.concat_ws("_", *parts), F.concat_ws("-", *parts[:3]), F.concat(parts[0], *[F.initcap(p) for p in parts[1:]]), F.concat(*[F.initcap(p) for p in parts]), F.upper(F.concat_ws("_", *parts[:3])), F.concat_ws("/", *parts), F.concat(parts[0], F.initcap(parts[1]), number)]
+    other = F.sha2(F.concat(F.lit("ordinary-"), F.col("id").cast("string")), 256)
+    named = ids.select(F.lit(0).alias("label"), F.explode(F.array(*styles, *_numbers_and_codes(parts, other))).alias("word"))
     share = min(1.0, CORPUS_DOCS / max(1, docs.count()))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2**30)) < F.lit(share * 2**30))
     words = drawn.select(F.lit(0).alias("label"), F.explode(F.split("text", r"[^A-Za-z]+")).alias("word")).where(F.length("word") >= 6)
