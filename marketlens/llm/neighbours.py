@@ -3,7 +3,7 @@
 Inner products become distances by one more coordinate that brings every vector to the greatest norm.  A bounded sample is
 halved again and again along the line between two means, at the median, so that its leaves are balanced; their means are the
 centroids.  A neighbour graph over the centroids, searched best-first in memory, finds the lists to store a vector in: each
-list whose centroid is nearly as close as its closest (boundary vectors in several).  A query reads every list whose
+list whose centroid is nearly as close as its closest (boundary vectors in several).  The same graph finds a query's lists: every one whose
 distance is within a ratio of its closest, however many these are.  The ratio is measured: it is the one at which queries
 drawn from the sample find ``RECALL`` of their nearest in the sample; the nearest in the whole table are closer still.
 The closest lists come first; the others return only what is no worse than the last of the ``k`` found there.
@@ -39,6 +39,8 @@ BUNDLE = 16
 PART = 8192
 QUERY_PART = 1024
 DEGREE = 16
+BEAM = 16
+SLACK = 1.03
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -115,6 +117,38 @@ class CentroidGraph:
         found = sorted((-d, i) for d, i in best)
         return np.array([i for _, i in found]), np.sqrt(np.maximum(np.array([d for d, _ in found]) + size, 0))
 
+    def within(self, x: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, distances) up to ``ratio`` times the nearest one's distance, ``least`` at least, nearest first.
+
+        Best-first from the entries, ``BEAM`` nodes a step: links of nodes a little beyond the ratio are still followed, those
+        of farther ones are not, so what is read of the graph shrinks with the ratio."""
+        n, size = len(self.c), float(x @ x)
+        d = np.full(n, np.inf)
+        waiting = np.zeros(n, bool)
+        fresh = self.entries
+        while True:
+            d[fresh] = np.maximum(self.norm[fresh] - 2 * self.c[fresh] @ x + size, 0)
+            waiting[fresh] = True
+            met = np.isfinite(d)
+            reach = (ratio * SLACK) ** 2 * d.min() + 1e-12
+            if met.sum() > 2 * least:
+                reach = max(reach, np.partition(d, 2 * least - 1)[2 * least - 1])
+            else:
+                reach = np.inf
+            ahead = np.flatnonzero(waiting & (d <= reach))
+            if not len(ahead):
+                break
+            ahead = ahead[np.argsort(d[ahead], kind="stable")[:BEAM]]
+            waiting[ahead] = False
+            near = np.zeros(n, bool)
+            near[np.concatenate([self.links[i] for i in ahead])] = True
+            fresh = np.flatnonzero(near & ~met)
+        order = np.argsort(d, kind="stable")
+        inside = np.sqrt(d[order]) <= ratio * np.sqrt(d[order[0]]) + 1e-12
+        inside[:least] = True
+        order = order[inside & np.isfinite(d[order])]
+        return order, np.sqrt(d[order])
+
 
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(axis=1), 0))
@@ -197,18 +231,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     def ask(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        c = graph.value.c
+        g = graph.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                x = lift(_rows(part.column(1)), True)
-                d = distances(x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None], c)
-                order = np.argsort(d, axis=1, kind="stable")
-                inside = np.take_along_axis(d, order, axis=1) <= d.min(axis=1)[:, None] * ratio + 1e-12
-                kind_of = pa.list_(pa.struct([("bundle", pa.int64()), ("lists", pa.list_(pa.int64()))]))
-                lists = [pa.array([bundled(o) for o in order[:, :LEAST_LISTS].tolist()], kind_of)]
-                lists.append(pa.array([bundled(o[LEAST_LISTS:][i[LEAST_LISTS:]].tolist()) for o, i in zip(order, inside)], kind_of))
-                yield pa.RecordBatch.from_arrays([*lists, part.column(0), part.column(1)], ["closest", "others", "id", "v"])
+            if not batch.num_rows:
+                continue
+            x = lift(_rows(batch.column(1)), True)
+            x /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None]
+            order = [g.within(row, ratio, LEAST_LISTS)[0].tolist() for row in x]
+            kind_of = pa.list_(pa.struct([("bundle", pa.int64()), ("lists", pa.list_(pa.int64()))]))
+            lists = [pa.array([bundled(o[:LEAST_LISTS]) for o in order], kind_of), pa.array([bundled(o[LEAST_LISTS:]) for o in order], kind_of)]
+            yield pa.RecordBatch.from_arrays([*lists, batch.column(0), batch.column(1)], ["closest", "others", "id", "v"])
 
     reads = "array<struct<bundle: bigint, lists: array<bigint>>>"
     stored = materialize(data.select("id", "v").mapInArrow(store, f"list long, id long, v {kind}").withColumn("bundle", F.expr(f"list div {BUNDLE}")), "postings")
