@@ -247,3 +247,118 @@ def src20_regime_mix(spark, sf):
     """How periods differ in their regimes, in percent."""
     periods = {"early": ("1990-01-01", "1998-01-01"), "late": ("1998-01-01", "2010-01-01")}
     return V.regime_mix(V.by_period(daily(spark, sf), periods), ["symbol", "period"]).select("symbol", "period", "days", *_each(*E.REGIMES, digits=4))
+
+
+# ---- what single forms lacked
+
+
+_RESID = "l AS (SELECT symbol, regr_slope(cs, rv) AS s1, regr_intercept(cs, rv) AS i1, regr_slope(pk, rv) AS s2, regr_intercept(pk, rv) AS i2 FROM daily WHERE cs IS NOT NULL AND rv IS NOT NULL AND pk IS NOT NULL GROUP BY 1), e AS (SELECT d.symbol, regime, cs - i1 - s1 * rv AS y, pk - i2 - s2 * rv AS x FROM daily d JOIN l ON d.symbol = l.symbol WHERE cs IS NOT NULL AND rv IS NOT NULL AND pk IS NOT NULL)"
+
+
+def _residual(spark, sf):
+    d = daily(spark, sf).where("cs is not null and rv is not null and pk is not null")
+    return stats.residuals(stats.residuals(d, "cs", "rv", out="y"), "pk", "rv", out="x")
+
+
+@query(f"""{DAILY}, {_RESID}, g AS (SELECT symbol, count(CASE WHEN regime = 'extreme_greed' THEN 1 END) AS n1, count(CASE WHEN regime = 'extreme_fear' THEN 1 END) AS n2, avg(CASE WHEN regime = 'extreme_greed' THEN y END) AS m1, avg(CASE WHEN regime = 'extreme_fear' THEN y END) AS m2, var_samp(CASE WHEN regime = 'extreme_greed' THEN y END) AS v1, var_samp(CASE WHEN regime = 'extreme_fear' THEN y END) AS v2 FROM e GROUP BY 1),
+ p AS (SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS s FROM g WHERE n1 > 1 AND n2 > 1) SELECT symbol, n1 AS n_greed, n2 AS n_fear, round(m1, 4) AS greed, round(m2, 4) AS fear, round((m1 - m2) / (s * sqrt(1.0 / n1 + 1.0 / n2)), 5) AS t, round((m1 - m2) / s, 6) AS d FROM p""")
+def reg08_asymmetry(spark, sf):
+    """Is greed dearer than fear, volatility taken out?  Pooled t and Cohen's d."""
+    side = lambda n: F.when(F.col("regime") == n, F.col("y"))
+    g = _residual(spark, sf).groupBy("symbol").agg(*[f(side(n)).alias(f"{k}{i}") for i, n in ((1, "extreme_greed"), (2, "extreme_fear")) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]).where("n1 > 1 and n2 > 1")
+    n1, n2 = F.col("n1"), F.col("n2")
+    s = F.sqrt(((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2")) / (n1 + n2 - 2))
+    gap = F.col("m1") - F.col("m2")
+    return g.select("symbol", n1.alias("n_greed"), n2.alias("n_fear"), r("m1", 4).alias("greed"), r("m2", 4).alias("fear"), r(gap / (s * F.sqrt(1 / n1 + 1 / n2)), 5).alias("t"), r(gap / s).alias("d"))
+
+
+@query(f"{DAILY}, {_RESID} SELECT symbol, count(*) AS n, round(corr(x, y), 6) AS residual_correlation, round(regr_slope(y, x), 3) AS slope FROM e GROUP BY 1")
+def reg08_residual_correlation(spark, sf):
+    """Do spread and range still move together once volatility is taken out of both?"""
+    return _residual(spark, sf).groupBy("symbol").agg(n_rows().alias("n"), r(F.corr("x", "y")).alias("residual_correlation"), r(F.regr_slope("y", "x"), 3).alias("slope"))
+
+
+_U = "((((rep * 3 + {0}) * 7919 + 12345) % 2147483647 * 48271 % 2147483647 * 48271 % 2147483647 % 10000) + 0.5) / 10000"
+
+
+@query(f"""{DAILY}, b AS (SELECT symbol, regime, cs / avg(cs) OVER p AS a, rv / avg(rv) OVER p AS b, pk / avg(pk) OVER p AS c FROM daily WHERE cs IS NOT NULL AND rv IS NOT NULL WINDOW p AS (PARTITION BY symbol)), d AS (SELECT rep, -ln({_U.format(0)}) AS g0, -ln({_U.format(1)}) AS g1, -ln({_U.format(2)}) AS g2 FROM range(1000) t(rep)),
+ m AS (SELECT symbol, {", ".join(f"avg(CASE WHEN regime = '{g}' THEN {c} END) - avg(CASE WHEN regime = 'neutral' THEN {c} END) AS {k}{c}" for k, g in (("g", "extreme_greed"), ("f", "extreme_fear")) for c in "abc")} FROM b GROUP BY 1),
+ k AS (SELECT symbol, g0 / (g0 + g1 + g2) AS wa, g0 * ga + g1 * gb + g2 * gc > 0 AS greed, g0 * fa + g1 * fb + g2 * fc > 0 AS fear FROM m, d)
+ SELECT symbol, CASE WHEN greed AND fear THEN 'preserved' WHEN fear THEN 'greed fails' WHEN greed THEN 'fear fails' ELSE 'both fail' END AS outcome, count(*) AS draws, round(100.0 * count(*) / 1000, 4) AS pct, round(avg(wa), 5) AS mean_spread_weight FROM k WHERE greed IS NOT NULL AND fear IS NOT NULL GROUP BY 1, 2""")
+def rsp06_failures(spark, sf):
+    """A thousand random weightings: where the premium of both extremes holds, which side fails elsewhere, and under which weights."""
+    p = Window.partitionBy("symbol")
+    d = daily(spark, sf).where("cs is not null and rv is not null").select("symbol", "regime", *[(F.col(c) / F.avg(c).over(p)).alias(n) for c, n in (("cs", "a"), ("rv", "b"), ("pk", "c"))])
+    mean = lambda regime, c: F.avg(F.when(F.col("regime") == regime, F.col(c)))
+    gaps = d.groupBy("symbol").agg(*[(mean(regime, c) - mean("neutral", c)).alias(k + c) for k, regime in (("g", "extreme_greed"), ("f", "extreme_fear")) for c in "abc"])
+    gaps = gaps.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))))
+    g = [-F.ln(R.unit_draw(F.col("rep") * 3 + k)) for k in range(3)]
+    holds = lambda k: sum((w * F.col(k + c) for w, c in zip(g, "abc")), F.lit(0.0)) > 0
+    k = gaps.select("symbol", (g[0] / (g[0] + g[1] + g[2])).alias("wa"), holds("g").alias("greed"), holds("f").alias("fear")).where("greed is not null and fear is not null")
+    outcome = F.when(F.col("greed") & F.col("fear"), "preserved").when(F.col("fear"), "greed fails").when(F.col("greed"), "fear fails").otherwise("both fail")
+    return k.groupBy("symbol", outcome.alias("outcome")).agg(n_rows().alias("draws"), r(100 * n_rows() / 1000, 4).alias("pct"), r(F.avg("wa"), 5).alias("mean_spread_weight"))
+
+
+_BOTH = "CASE WHEN cs IS NOT NULL AND rv IS NOT NULL THEN {0} END"
+
+
+@query(f"""{DAILY}, c AS (SELECT symbol, count({_BOTH.format(1)}) {over(60)} AS n, (avg({_BOTH.format("cs * rv")}) {over(60)} - avg({_BOTH.format("cs")}) {over(60)} * avg({_BOTH.format("rv")}) {over(60)}) / nullif(stddev_pop({_BOTH.format("cs")}) {over(60)} * stddev_pop({_BOTH.format("rv")}) {over(60)}, 0) AS c FROM daily)
+ SELECT symbol, count(c) AS windows, round(avg(c), 5) AS mean, round(stddev_samp(c), 5) AS std, round(min(c), 5) AS low, round(max(c), 5) AS high, round(100 * avg((c > 0)::INT), 3) AS positive_pct FROM c WHERE n = 60 GROUP BY 1""")
+def win09_stability(spark, sf):
+    """How steady the sixty-day correlation of spread and volatility is."""
+    d = W.rolling_correlation(daily(spark, sf), "cs", "rv", 60, "c").where("c is not null")
+    return d.groupBy("symbol").agg(F.count("c").alias("windows"), *[r(f, 5).alias(n) for n, f in (("mean", F.avg("c")), ("std", F.stddev_samp("c")), ("low", F.min("c")), ("high", F.max("c")))], r(100 * F.avg((F.col("c") > 0).cast("int")), 3).alias("positive_pct"))
+
+
+@query(f"""WITH t AS (SELECT l_suppkey % {V.SYMBOLS} AS symbol, CAST(l_shipdate AS DATE) AS date, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS buy, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2) SELECT symbol, date, round(abs(buy / (volume + 1e-10) - 0.5), 9) AS imbalance FROM t""")
+def win07_flow_imbalance(spark, sf):
+    """How far the buyers' share of a day's volume is from a half."""
+    t = V.trades(spark, sf).groupBy("symbol", F.col("day").alias("date")).agg(F.sum(F.when(F.col("side") == "buy", F.col("size")).otherwise(0.0)).alias("buy"), F.sum("size").alias("volume"))
+    return t.select("symbol", "date", r(F.abs(F.col("buy") / (F.col("volume") + 1e-10) - 0.5), 9).alias("imbalance"))
+
+
+@query(f"""{DAILY}, m AS (SELECT symbol, date, abs((close / lag(close, 5) {S} - 1) - (close / lag(close, 20) {S} - 1)) AS m FROM daily) SELECT symbol, date, round(CASE WHEN count(m) {over(5)} = 5 THEN avg(m) {over(5)} END, 6) AS momentum FROM m""")
+def win07_momentum(spark, sf):
+    """Distance of short and long momentum, five days' mean."""
+    change = lambda k: F.col("close") / F.lag("close", k).over(W.by_day()) - 1
+    d = daily(spark, sf).withColumn("m", F.abs(change(5) - change(20)))
+    return d.select("symbol", "date", r(W.full(F.avg("m").over(W.frame(5)), F.col("m"), 5)).alias("momentum"))
+
+
+@query("""SELECT user_id AS symbol, epoch_us(time_bucket(INTERVAL 1 MINUTE, ts)) AS start_us, round(avg(value), 6) AS price, round(avg(0.02 * (1 + event_id % 4)), 6) AS spread, round(avg(((event_id % 5) - 2) / 2.0), 6) AS imbalance, count(*) AS n FROM events GROUP BY 1, 2""")
+def agg15_minute_books(spark, sf):
+    """Mean price, spread and imbalance by symbol and minute."""
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("p"), (0.02 * (1 + F.col("event_id") % 4)).alias("s"), ((F.col("event_id") % 5 - 2) / 2).alias("i"))
+    g = e.groupBy("symbol", F.window("ts", "1 minute").alias("w")).agg(F.avg("p").alias("price"), F.avg("s").alias("spread"), F.avg("i").alias("imbalance"), n_rows().alias("n"))
+    return g.select("symbol", F.unix_micros("w.start").alias("start_us"), *_each("price", "spread", "imbalance"), "n")
+
+
+@query(f"""{_RECURSIVE}, {_EVENTS} SELECT symbol, cut, n, round(v, 6) AS divergence, round(r7, 6) AS return7, (v > 0) = (r7 > 0) AS index_right, (v > 0) <> (r7 > 0) AS others_right FROM y""")
+def win23_who_was_right(spark, sf):
+    """Each spaced event with the return of the next week and whether the index or those against it were right."""
+    right = (F.col("v") > 0) == (F.col("r7") > 0)
+    return _events(spark, sf).select("symbol", "cut", "n", r("v").alias("divergence"), r("r7").alias("return7"), right.alias("index_right"), (~right).alias("others_right"))
+
+
+@query(f"""{DAILY}, l AS (SELECT symbol, abs(ret) AS a, {", ".join(f"lag(abs(ret), {k}) {S} AS a{k}" for k in (1, 5, 10, 20))} FROM daily) SELECT symbol, {", ".join(f"round(corr(a, a{k}), 6) AS lag{k}" for k in (1, 5, 10, 20))}, corr(a, a1) > 0.1 AS clustered FROM l GROUP BY 1""")
+def tst07_clustering(spark, sf):
+    """Do large moves follow large moves?"""
+    d = daily(spark, sf).select("symbol", F.abs("ret").alias("a"), *[F.lag(F.abs("ret"), k).over(W.by_day()).alias(f"a{k}") for k in (1, 5, 10, 20)])
+    return d.groupBy("symbol").agg(*[r(F.corr("a", f"a{k}")).alias(f"lag{k}") for k in (1, 5, 10, 20)], (F.corr("a", "a1") > 0.1).alias("clustered"))
+
+
+@query(f"{DAILY}, {_MACRO} SELECT symbol, date, round(coalesce(nullif(dvol, 0), 100 * rv, 60), 6) AS level, CASE WHEN nullif(dvol, 0) IS NOT NULL THEN 'implied' WHEN rv IS NOT NULL THEN 'realised' ELSE 'default' END AS source, CASE WHEN nullif(dvol, 0) IS NULL AND rv IS NULL THEN 0.25 ELSE round(greatest(0, least(1, (coalesce(nullif(dvol, 0), 100 * rv) - 30) / 120)), 6) END AS scaled, round(100 * rv, 6) AS realised FROM x")
+def exp23_volatility_source(spark, sf):
+    """The volatility that is used, where it comes from and its place between 30 and 150."""
+    implied, realised = F.nullif("dvol", F.lit(0.0)), 100 * F.col("rv")
+    source = F.when(implied.isNotNull(), "implied").when(realised.isNotNull(), "realised").otherwise("default")
+    scaled = F.when(source == "default", 0.25).otherwise(E.normalise(F.coalesce(implied, realised), 30, 150))
+    return _macro(spark, sf).select("symbol", "date", r(F.coalesce(implied, realised, F.lit(60.0))).alias("level"), source.alias("source"), r(scaled).alias("scaled"), r(realised).alias("realised"))
+
+
+@query()
+def tst15_quintiles_holm(spark, sf):
+    """The premium within volatility quintiles with p values adjusted over a symbol's five tests."""
+    d = W.quantile_bins(daily(spark, sf).where("rv is not null"), "rv", 5)
+    g = stats.premium(d, ["symbol", "bin"], "cs").withColumn("p", 2 * stats.t_tail(F.abs("t"), F.col("dof")))
+    return stats.adjusted_p(g, "symbol").select("symbol", "bin", r("gap", 4).alias("gap"), *_each("t", "p", "bonferroni", "holm", "bh"), (F.col("holm") < 0.05).alias("significant"))

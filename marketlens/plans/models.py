@@ -137,7 +137,7 @@ def rsp04_autoregressive(spark, sf):
     mean = lambda s: F.avg(F.when(F.col("strength") == s, F.col("cs")))
     found = d.groupBy("symbol").agg((mean("extreme") - mean("neutral")).alias("found"))
     share = lambda test: F.avg(test.cast("int"))
-    return gaps.join(F.broadcast(found), "symbol").groupBy("symbol", "found").agg(
+    return gaps.join(found, "symbol").groupBy("symbol", "found").agg(
         F.count("gap").alias("n"), F.avg("gap").alias("null_mean"), F.stddev_pop("gap").alias("null_std"), share(F.col("gap") >= F.col("found")).alias("p_one"), share(F.abs("gap") >= F.abs("found")).alias("p_two"),
     )
 

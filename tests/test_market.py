@@ -76,3 +76,18 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = streams.run_to_table(streams.deduplicated(stream, "event_id"), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert got.count() == ticks.count()
     assert streams.minute_rollup(ticks).groupBy().sum("n").first()[0] == ticks.count()
+
+
+def test_the_entry_works_without_the_training_data_operators(tmp_path):
+    """With both folders and the pipeline gone the other queries still register."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(here, "marketlens"), tmp_path / "marketlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(here, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'pipeline' not in q and not any(n.startswith('op') for n in q) and set(o) <= set(q); print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert out.returncode == 0 and int(out.stdout.split()[-1]) > 150, out.stderr
