@@ -175,7 +175,7 @@ def end_digests(blocks: DataFrame) -> DataFrame:
 
     Ids of one span of numbers are joined first, a bounded string each; the spans of a node then flow in order through one hash."""
     last = blocks.groupBy("conv_id").agg(F.max_by(F.struct("pa", "pb"), "block").alias("k")).select("conv_id", "k.pa", "k.pb")
-    # equal conversations have equal ids in a span once each
+    # a conversation ends once, so a span holds no more ids than its width
     spans = last.groupBy("pa", "pb", F.shiftright("conv_id", ID_SPAN_BITS).alias("span")).agg(F.sort_array(F.collect_list("conv_id")).alias("ids"))
     spans = spans.select("pa", "pb", "span", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
