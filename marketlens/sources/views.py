@@ -135,26 +135,34 @@ def parse_depth(messages: DataFrame, column: str = "value") -> tuple[DataFrame,
     return books, m.where(~F.col("_ok")).drop("m", "_ok", "_a", "_b")
 
 
-PRICE_FIELDS = ("price", "lastPrice", "last_price", "probability", "yes_price", "yesPrice", "mid", "close")
+# Names under which a price may stand, the first readable one counts.
+PRICE_FIELDS = ("price", "current_price", "yes_price", "probability", "prob", "last_price", "trade_price", "execution_price")
 
 
 def market_price(json: Column) -> Column:
-    """The first price field that is there, else the first side's or outcome's price, between 0 and 1."""
+    """A market's price between 0 and 1: its own field, that of its first side (where there are two) or outcome, else the middle of its book."""
     at = lambda path: F.get_json_object(json, f"$.{path}").try_cast("double")
-    found = F.coalesce(*[at(f) for f in PRICE_FIELDS], at("side_a.price"), at("yes.price"), at("outcomes[0].price"))
-    return F.when(found.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
+    named = lambda under: [at(f"{under}{f}") for f in PRICE_FIELDS]
+    two = F.get_json_object(json, "$.side_a").isNotNull() & F.get_json_object(json, "$.side_b").isNotNull()
+    own = F.coalesce(*named(""), F.when(two, F.coalesce(*named("side_a."))), *named("outcomes[0]."))
+    best = lambda side: F.coalesce(at(f"{side}[0][0]"), at(f"{side}[0].price"))
+    book = F.when((best("bids") > 0) & (best("asks") > 0), (best("bids") + best("asks")) / 2)
+    return F.coalesce(F.when(own.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), own))), book)
 
 
 def market_volume(json: Column) -> Column:
-    """A day's volume; a seventh of the week's where only that is given."""
-    at = lambda path: F.get_json_object(json, f"$.{path}").try_cast("double")
-    return F.coalesce(at("volume_24h"), at("volume24h"), at("volume"), at("volume_1_week") / 7, F.lit(0.0))
+    """A day's volume; a seventh of the week's where neither field of a day has one."""
+    at = lambda path: F.nullif(F.get_json_object(json, f"$.{path}").try_cast("double"), F.lit(0.0))
+    return F.coalesce(at("volume_24h"), at("volume_1_day"), at("volume_1_week") / 7, F.lit(0.0))
 
 
 def read_markets(spark: SparkSession, path: str) -> DataFrame:
-    """Prediction markets, one JSON object a line."""
+    """Prediction markets, one JSON object a line: a market, or an answer whose ``markets`` are a list of them."""
     raw = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    return raw.select(F.get_json_object("value", "$.slug").alias("market"), market_price(F.col("value")).alias("price"), market_volume(F.col("value")).alias("volume"))
+    listed = F.from_json(F.get_json_object("value", "$.markets"), "array<string>")
+    one = raw.select(F.explode(F.coalesce(listed, F.array("value"))).alias("value"))
+    name = F.coalesce(F.get_json_object("value", "$.market_slug"), F.get_json_object("value", "$.slug"))
+    return one.select(name.alias("market"), F.coalesce(F.get_json_object("value", "$.title"), F.get_json_object("value", "$.question"), name).alias("question"), market_price(F.col("value")).alias("price"), market_volume(F.col("value")).alias("volume"))
 
 
 def posts(submissions: DataFrame, comments: DataFrame) -> DataFrame:

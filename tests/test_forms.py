@@ -37,6 +37,16 @@ def test_price_history_snapshots_and_implied_volatility(spark, tmp_path):
     assert [(r.dvol, r.dvol_normalized) for r in rows] == [(90, 0.5), (500, 1), (10, 0)]
 
 
+def test_market_prices_by_name_side_outcome_and_book(spark, tmp_path):
+    lines = [
+        {"market_slug": "a", "current_price": "x", "prob": "0.3", "volume_24h": 0, "volume_1_day": 5}, {"market_slug": "b", "side_a": {"trade_price": 0.7}, "side_b": {}}, {"market_slug": "c", "side_a": {"price": 0.7}},
+        {"markets": [{"slug": "d", "outcomes": [{"yes_price": -2}], "question": "Why?"}, {"slug": "e", "bids": [[0.4, 1]], "asks": [{"price": "0.6"}]}]}, {"market_slug": "f", "bids": [[0.4, 1]], "asks": []},
+    ]
+    (tmp_path / "m.json").write_text("\n".join(map(json.dumps, lines)))
+    got = {r.market: (r.price, r.volume, r.question) for r in views.read_markets(spark, str(tmp_path / "m.json")).collect()}
+    assert got == {"a": (0.3, 5, "a"), "b": (0.7, 0, "b"), "c": (None, 0, "c"), "d": (0.0, 0, "Why?"), "e": (0.5, 0, "e"), "f": (None, 0, "f")}
+
+
 def test_files_are_read_by_their_names(spark, tmp_path):
     (tmp_path / "btc").mkdir()
     with gzip.open(tmp_path / "btc" / "OrderBook-1.csv.gz", "wt") as f:
@@ -115,3 +125,19 @@ def test_moment_conditions_against_numpy(spark, sf):
             assert weighting[symbol] == pytest.approx(want, rel=1e-5)
             assert second[symbol].objective == pytest.approx(min(v @ want @ v for v in at.values()), rel=1e-5)
     assert len(pd.Series(best)) == 4 and weighting
+
+
+def test_p_values_of_studies(spark):
+    """Recomputed from the other columns of each result."""
+    sf = "/root/testdata/sf0.01"
+    rows = forms.evt01_p_values(spark, sf).collect()
+    assert len(rows) > 20 and all(r.p == pytest.approx(2 * stats.t_sf(abs(r.mean / r.se), r.events - 1), abs=2e-3) for r in rows)
+    rows = forms.tst15_quintiles_holm(spark, sf).collect()
+    for symbol in {r.symbol for r in rows}:
+        own = sorted((r for r in rows if r.symbol == symbol), key=lambda r: r.p)
+        holm = np.maximum.accumulate([min(1.0, (len(own) - i) * r.p) for i, r in enumerate(own)])
+        assert [r.holm for r in own] == pytest.approx(holm.tolist(), abs=1e-5) and all(r.significant == (r.holm < 0.05) for r in own)
+    for r in forms.exp27_significance(spark, sf).collect():
+        assert r.stars == ("***" if r.p < 0.001 else "**" if r.p < 0.01 else "*" if r.p < 0.05 else "†" if r.p < 0.1 else "")
+        # many days, so the t is nearly normal
+        assert r.p == pytest.approx(math.erfc(abs(r.t) / math.sqrt(2)), abs=0.01)

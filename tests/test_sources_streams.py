@@ -40,7 +40,7 @@ def test_json_sources(spark, tmp_path):
     books, rejected = views.parse_depth(df)
     assert [r.bids for r in books.collect()] == [[[1.5, 2.0]]] and rejected.count() == 5
     (tmp_path / "m.json").write_text('{"slug": "a", "last_price": 1.4, "volume_1_week": 70}\n{"slug": "b", "outcomes": [{"price": "0.25"}]}\n{"slug": "c"}\n')
-    assert [tuple(r) for r in views.read_markets(spark, str(tmp_path / "m.json")).orderBy("market").collect()] == [("a", 1.0, 10.0), ("b", 0.25, 0.0), ("c", None, 0.0)]
+    assert [tuple(r) for r in views.read_markets(spark, str(tmp_path / "m.json")).select("market", "price", "volume").orderBy("market").collect()] == [("a", 1.0, 10.0), ("b", 0.25, 0.0), ("c", None, 0.0)]
     series = spark.createDataFrame([("vix", 1, 20.0), ("vix", 3, None), ("vix", 2, 25.0)], "name string, ts long, value double")
     assert views.macro_snapshot(series, {"vix": 15.0, "rate": 4.5}).first().asDict() == {"vix": 25.0, "rate": 4.5, "completeness": 0.5}
     views.save_csv(series, str(tmp_path / "c"))
