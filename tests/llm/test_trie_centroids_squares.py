@@ -85,7 +85,7 @@ def test_turns_are_numbered_over_partitions(spark):
     turns = prefix_trie.numbered_turns(rows, stored := [])
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = turns.orderBy("pos").collect()
-    assert [r.pos for r in got] == list(range(1, 5001)) and stored[0].select("part").distinct().count() > 1
+    assert [r.pos for r in got] == list(range(1, 5001)) and stored[-1].select("part").distinct().count() > 1
     assert got[41].g == hashlib.sha256(b"1:r41").digest()
 
 
