@@ -67,14 +67,24 @@ def pop_std(xs: Column) -> Column:
     return F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(xs))
 
 
-def book_features(bids: Column, asks: Column, depth: int = 10) -> dict[str, Column]:
-    """Best prices, mid, spread, side volumes and imbalance of nested levels [price, quantity]; null-safe on an empty side."""
+def divided(a: Column, b: Column) -> Column:
+    """a / b of floating-point numbers as IEEE 754 has it: infinite over a zero (by its sign), NaN for 0 / 0; null only if a part is null."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def book_features(bids: Column, asks: Column, depth: int = 10, ieee: bool = False) -> dict[str, Column]:
+    """Best prices, mid, spread, side volumes and imbalance of nested levels [price, quantity]; null-safe on an empty side.
+
+    Over a mid of zero the spread in basis points is null, over no volume the imbalance 0; with ``ieee`` both are as ``divided`` has them."""
     bid, ask = F.get(F.get(bids, 0), 0), F.get(F.get(asks, 0), 0)
     volume = lambda side: F.aggregate(side, F.lit(0.0), lambda a, level: a + F.get(level, 1))
     mid, b, a = (bid + ask) / 2, volume(bids), volume(asks)
+    ratio = divided if ieee else F.try_divide
+    imbalance = ratio(b - a, b + a)
     return {
-        "best_bid": bid, "best_ask": ask, "mid_price": mid, "spread": ask - bid, "spread_bps": F.try_divide(ask - bid, mid) * 10_000, "bid_volume": b, "ask_volume": a,
-        "imbalance": F.coalesce(F.try_divide(b - a, b + a), F.lit(0.0)), "bids": F.slice(bids, 1, depth), "asks": F.slice(asks, 1, depth),
+        "best_bid": bid, "best_ask": ask, "mid_price": mid, "spread": ask - bid, "spread_bps": ratio(ask - bid, mid) * 10_000, "bid_volume": b, "ask_volume": a,
+        "imbalance": imbalance if ieee else F.coalesce(imbalance, F.lit(0.0)), "bids": F.slice(bids, 1, depth), "asks": F.slice(asks, 1, depth),
     }
 
 

@@ -141,7 +141,7 @@ SELECT event_id, round((bid + ask) / 2, 6) AS mid_price, round((ask - bid) / ((b
 def exp09_book_features(spark, sf):
     """Three levels a side around each event's value."""
     level = lambda sign, mod: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.array(F.col("value") + sign * i, i + F.col("event_id") % mod + 0.0))
-    f = E.book_features(level(-1, 5), level(1, 7))
+    f = E.book_features(level(-1, 5), level(1, 7), ieee=True)
     return V.table(spark, sf, "events").select("event_id", r(f["mid_price"]).alias("mid_price"), r(f["spread_bps"], 4).alias("spread_bps"), f["bid_volume"].alias("bid_volume"), f["ask_volume"].alias("ask_volume"), r(f["imbalance"]).alias("imbalance"))
 
 
