@@ -54,7 +54,8 @@ def gram(df: DataFrame, cols: list[str], by: str) -> DataFrame:
             for key, own in pdf.groupby(by, dropna=False):
                 x = _matrix(own, cols)
                 held[key] = held.get(key, np.zeros((k, k))) + x.T @ x
-        yield pd.DataFrame({by: list(held), "part": [g.ravel() for g in held.values()]})
+        if held:  # of a task without rows pandas would make a column of numbers, not of arrays
+            yield pd.DataFrame({by: list(held), "part": [g.ravel() for g in held.values()]})
 
     return _add(rows.mapInPandas(run, f"`{by}` {df.schema[by].dataType.simpleString()}, part array<double>"), by, k * k)
 

@@ -83,10 +83,18 @@ def reg05_robust_wald(spark, sf):
 @query(f"""{DAILY}, x AS (SELECT symbol, cs AS y, (strength = 'extreme')::INT AS e FROM daily WHERE cs IS NOT NULL AND strength IS NOT NULL), m AS (SELECT symbol, count(*) AS n, avg(e) AS me, regr_slope(y, e) AS b, regr_intercept(y, e) AS a FROM x GROUP BY 1),
  s AS (SELECT symbol, any_value(n) AS n, any_value(b) AS b, sum(pow((e - me) * (y - a - b * e), 2)) / pow(any_value(n) * any_value(me) * (1 - any_value(me)), 2) AS v FROM x JOIN m USING (symbol) GROUP BY 1) SELECT symbol, round(b, 4) AS coef, round(sqrt(v * n / (n - 2)), 4) AS se, round(b * b / (v * n / (n - 2)), 4) AS wald FROM s""")
 def reg05_wald_of_extremes(spark, sf):
-    """The robust test of one dummy, HC1, by the same operator."""
-    d = daily(spark, sf).where("strength is not null").withColumn("e", (F.col("strength") == "extreme").cast("double"))
+    """The robust test of one dummy, HC1, by the same operator; every symbol with a spread has its row.
+
+    Where all days are alike the coefficient is 0 / 0 (NaN) without error and test (null); a line through two days has an error of 0 / 0."""
+    d = daily(spark, sf).where("cs is not null and strength is not null").withColumn("e", (F.col("strength") == "extreme").cast("double"))
     terms, joint = specs.robust_tests(d, "cs", {"one": ["e"]}, {"one": ["e"]}, "HC1")
-    return terms.where("term = 'e'").join(joint, "symbol").select("symbol", *_each("coef", "se", "wald", digits=4))
+    line = d.groupBy("symbol").agg((F.min("e") < F.max("e")).alias("told"), F.regr_slope("cs", "e").alias("slope"))
+    terms, joint = terms.where("term = 'e'").select("symbol", F.col("coef").alias("b"), F.col("se").alias("s")), joint.select("symbol", F.col("wald").alias("w"))
+    found = line.join(terms, "symbol", "left").join(joint, "symbol", "left")
+    nan = F.lit(float("nan"))
+    found = found.withColumns({"coef": F.when(F.col("told"), F.coalesce("b", "slope")).otherwise(nan), "se": F.when(F.col("told"), F.coalesce("s", nan))})
+    found = found.withColumn("wald", F.when(F.col("told"), F.coalesce("w", E.divided(F.col("coef") * F.col("coef"), F.col("se") * F.col("se")))))
+    return found.select("symbol", *_each("coef", "se", "wald", digits=4))
 
 
 @query(f"""{DAILY}, l AS (SELECT symbol, regr_slope(cs, rv) AS s, regr_intercept(cs, rv) AS i FROM daily WHERE cs IS NOT NULL AND rv IS NOT NULL GROUP BY 1), q AS (SELECT d.symbol, date, cs - i - s * rv AS e, strength FROM daily d JOIN l ON d.symbol = l.symbol), k AS (SELECT symbol, e, row_number() {S} AS n, {", ".join(f"lead(strength, {k}) {S} AS s{k}" for k in (1, 3, 5, 7))} FROM q),

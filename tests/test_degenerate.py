@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import expressions as E
-from marketlens.operators import stats
+from marketlens.operators import specs, stats
 from marketlens.plans import forms, queries, studies, sweeps  # noqa: F401  register their queries
 
 
@@ -67,6 +67,8 @@ SHAPES = {
     "few": [*[(NEUTRAL, [0, 1, 2])] * 9, (EXTREME, [1, 2, 3]), (EXTREME, [2, 3]), (EXTREME, [3]), (EXTREME, [3]), *[(NEUTRAL, [0, 1, 2])] * 3],
     # one spread a symbol, or none
     "short": [(NEUTRAL, [0, 1, 2]), (NEUTRAL, [0, 1]), (EXTREME, [3]), (EXTREME, [3])],
+    # symbol 0 has one neutral and one extreme day with a spread
+    "two": [(NEUTRAL, range(2)), (NEUTRAL, range(2)), (EXTREME, range(2)), (EXTREME, [1]), (NEUTRAL, [1])],
     "usual": [(EXTREME if n % 3 == 0 else NEUTRAL, range(4)) for n in range(20)],
 }
 FLAT = ["usual", "no extreme day"]
@@ -90,3 +92,13 @@ def test_premium_of_every_stratum(spark):
     got = {r.k: r for r in stats.premium(df, ["k"], "v", least=0, ieee=True).collect()}
     assert (got["a"].gap, got["a"].d, got["b"].gap, got["b"].d, got["b"].dof) == (None, None, 2.0, None, None) and (got["c"].d, got["c"].t) == (math.inf, math.inf)
     assert stats.premium(df, ["k"], "v").count() == 0 and {r.k: r.d for r in stats.premium(df, ["k"], "v", least=2).collect()} == {"c": None}
+
+
+@pytest.mark.parametrize("shape, flat", CASES)
+def test_robust_test_of_a_dummy_without_contrast_equals_sql(spark, tmp_path, shape, flat):
+    equals_sql(spark, tmp_path, "reg05_wald_of_extremes", shape, flat)
+
+
+def test_gram_where_tasks_have_no_rows(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 3.0)], "symbol long, a double, y double").repartition(8, "symbol")
+    assert [(r.symbol, r.total) for r in specs.gram(df, ["a", "y"], "symbol").collect()] == [(1, [2.0, 3.0, 5.0, 3.0, 5.0, 8.0, 5.0, 8.0, 13.0])]
